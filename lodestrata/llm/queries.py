@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import cooccur, shared_spans, split
+from lodestrata.llm import cooccur, knn, leak, shared_spans, split
 from lodestrata.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ def queries() -> dict[str, Query]:
         "p4_pieces": lambda s, d: split.split_oversized(table(s, d, "chunks")).drop("text"),
         "p5_found": lambda s, d: cooccur.associated(table(s, d, "commit_nodes")),
         "p5_pairs": lambda s, d: cooccur.cooccurrence(table(s, d, "commit_nodes")),
+        "p6_found": lambda s, d: knn.alike(table(s, d, "vector_records")),
+        "p6_top5": lambda s, d: knn.nearest(table(s, d, "vector_records")),
+        "p6_search": lambda s, d: knn.nearest(table(s, d, "vector_records"), query_mod=20),
+        "p7_found": lambda s, d: leak.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
+        "p7_leaks": lambda s, d: leak.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p7_clean": lambda s, d: leak.cleaned(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_found": lambda s, d: shared_spans.sharing_pairs(table(s, d, "documents")),
         "p9_shared": lambda s, d: shared_spans.shared_share(table(s, d, "documents")),
     }
