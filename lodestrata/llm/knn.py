@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import stage
+from lodestrata.runtime import parallelism, stage
 
 #: Rows a cell is meant to hold, cells a query visits at most, cells there are at most, rows centres are fitted on.
 CELL, PROBES, MOST_CELLS, SAMPLE = 16384, 16, 4096, 32768
 #: Width of the error bound in standard deviations.
-EPSILON = 2.4
+EPSILON = 2.2
+#: Bits of a code for each dimension: vectors are rotated into a space this many times as wide before signs are taken.
+BITS = 4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -41,9 +43,9 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 
 def rotation(dim: int) -> np.ndarray:
-    """A random orthogonal matrix, the same in every run."""
-    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+    """Rows of a random orthogonal matrix, the same in every run: turns ``dim`` numbers into ``BITS`` times as many."""
+    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((BITS * dim, BITS * dim)))
+    return (q * np.sign(np.diag(r)))[:dim].astype(np.float32)
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
@@ -65,7 +67,7 @@ def encode(x: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.
     r = (x - c).astype(np.float32)
     size = np.linalg.norm(r, axis=1)
     turned = r @ p
-    f = np.abs(turned).sum(1) / (np.sqrt(r.shape[1]) * np.maximum(size, 1e-12))
+    f = np.abs(turned).sum(1) / (np.sqrt(turned.shape[1]) * np.maximum(size, 1e-12))
     return np.packbits(turned > 0, axis=1), size, np.where(size > 1e-6, f, 1).astype(np.float32)
 
 
@@ -73,7 +75,7 @@ class Block:
     """Codes and vectors of (a block of) a cell, answering batches of queries."""
 
     def __init__(self, ids: np.ndarray, raw: np.ndarray, codes: np.ndarray, size: np.ndarray, f: np.ndarray, c: np.ndarray, p: np.ndarray) -> None:
-        dim = raw.shape[1]
+        dim = p.shape[1]
         self.ids, self.x, self.p, self.c = ids, unit(raw), p, c
         signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
         scale = size / (f * np.sqrt(np.float32(dim)))
@@ -86,7 +88,6 @@ class Block:
         n = len(self.ids)
         q32 = q.astype(np.float32)
         upper = (q32 @ self.p) @ self.codes
-        upper += (q32 @ self.c)[:, None]
         upper += self.error
         # A first exact bound: of some strips of the block the vector with the greatest bound.
         strips = min(n, 4 * k)
@@ -95,15 +96,16 @@ class Block:
         exact = np.einsum("qd,qsd->qs", q, self.x[lead])
         exact[self.ids[lead] == ids[:, None]] = -2
         floor = np.sort(exact, axis=1)[:, max(0, strips - k)] if strips >= k else np.full(len(q), -2.0)
-        rows, cols = np.nonzero(upper >= (floor - 1e-6).astype(np.float32)[:, None])
-        keep = self.ids[cols] != ids[rows]
-        rows, cols = rows[keep], cols[keep]
+        flat = np.flatnonzero(upper >= (floor - 1e-6 - q @ self.c).astype(np.float32)[:, None])
+        rows, cols = np.divmod(flat, n)
         cos = np.concatenate([np.einsum("ij,ij->i", q[rows[i : i + 65536]], self.x[cols[i : i + 65536]]) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
+        keep = (cos >= floor[rows] - 1e-9) & (self.ids[cols] != ids[rows])
+        rows, cols, cos, compared = rows[keep], cols[keep], cos[keep], len(rows)
         order = np.lexsort((self.ids[cols], -cos, rows))
         rows, cols, cos = rows[order], cols[order], cos[order]
         first = np.searchsorted(rows, np.arange(len(q)))
         last = np.minimum(np.searchsorted(rows, np.arange(len(q)), "right"), first + k)
-        return [(int(i), self.ids[cols[a:z]].tolist(), cos[a:z].tolist()) for i, a, z in zip(ids, first, last, strict=True) if z > a], len(rows)
+        return [(int(i), self.ids[cols[a:z]].tolist(), cos[a:z].tolist()) for i, a, z in zip(ids, first, last, strict=True) if z > a], compared
 
 
 def _floats(col: pa.Array, dim: int) -> np.ndarray:
@@ -198,7 +200,7 @@ def nearest_classes(reps: DataFrame, k: int, probes: int = PROBES, cell: int = C
 
     rows = reps.select("gid", "id", "vector", "ask").mapInArrow(spread, "gid int, cell int, block int, kind byte, id bigint, code binary, size float, f float, vec binary")
     near = (
-        rows.repartition("gid", "cell", "block")
+        rows.repartition(max(parallelism(spark), sum(int(m[3].sum()) for m in model.values())), "gid", "cell", "block")
         .sortWithinPartitions("gid", "cell", "block", "kind")
         .mapInArrow(answer, "gid int, id bigint, near array<struct<id: bigint, cos: double>>")
     )
