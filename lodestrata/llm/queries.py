@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import cooccur, knn, leak, shared_spans, split, unparsed
+from lodestrata.llm import cooccur, knn, leak, secrets, shared_spans, split, unparsed
 from lodestrata.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _scanned(s: SparkSession, d: str) -> DataFrame:
+    return secrets.scan(secrets.records(table(s, d, "chunks"), table(s, d, "vector_records")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: unparsed.unparsed(table(s, d, "source_files")),
         "p1_errors": lambda s, d: unparsed.parsed(table(s, d, "source_files")),
         "p1_rates": lambda s, d: unparsed.acceptance(table(s, d, "source_files")),
+        "p3_found": lambda s, d: secrets.lines(_scanned(s, d)),
+        "p3_redacted": lambda s, d: secrets.redacted(_scanned(s, d)),
         "p4_found": lambda s, d: split.split_oversized(table(s, d, "chunks")).select("chunk_id").distinct(),
         "p4_pieces": lambda s, d: split.split_oversized(table(s, d, "chunks")).drop("text"),
         "p5_found": lambda s, d: cooccur.associated(table(s, d, "commit_nodes")),
