@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import cooccur, knn, leak, secrets, shared_spans, split, unparsed
+from lodestrata.llm import cooccur, knn, leak, provenance, secrets, shared_spans, split, unparsed
 from lodestrata.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,8 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: unparsed.unparsed(table(s, d, "source_files")),
         "p1_errors": lambda s, d: unparsed.parsed(table(s, d, "source_files")),
         "p1_rates": lambda s, d: unparsed.acceptance(table(s, d, "source_files")),
+        "p2_found": lambda s, d: provenance.not_handwritten(table(s, d, "source_files"), table(s, d, "chunks")),
+        "p2_labels": lambda s, d: provenance.labelled(table(s, d, "source_files"), table(s, d, "chunks")).select("repo", "path", "label", "probability"),
         "p3_found": lambda s, d: secrets.lines(_scanned(s, d)),
         "p3_redacted": lambda s, d: secrets.redacted(_scanned(s, d)),
         "p4_found": lambda s, d: split.split_oversized(table(s, d, "chunks")).select("chunk_id").distinct(),
