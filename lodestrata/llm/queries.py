@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import cooccur, knn, leak, provenance, secrets, shared_spans, split, unparsed
+from lodestrata.llm import cooccur, knn, leak, mix, provenance, secrets, shared_spans, split, unparsed
 from lodestrata.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,8 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: leak.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
         "p7_leaks": lambda s, d: leak.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p7_clean": lambda s, d: leak.cleaned(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_taken": lambda s, d: mix.taken(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_report": lambda s, d: mix.report(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_found": lambda s, d: shared_spans.sharing_pairs(table(s, d, "documents")),
         "p9_shared": lambda s, d: shared_spans.shared_share(table(s, d, "documents")),
     }
