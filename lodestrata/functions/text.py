@@ -1,0 +1,148 @@
+"""Column functions on text: tokenizers, normal forms, fingerprints, redaction, counts and rule ladders.
+
+All are built-in expressions, so they stay inside code generation.  A null text gives null unless stated.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Token classes and patterns whose results others rely on.
+TOKEN = r"[a-z0-9_][a-z0-9_\-]+"
+PATHISH = r"[A-Za-z0-9_./-]+"
+KEY_TOKEN = r"[a-zA-Z][a-zA-Z0-9_]{3,}"
+SUB_TOKEN = r"[A-Z][a-z]*|[a-z]+|[0-9]+"
+STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "into", "are", "was", "you", "please")
+
+
+def tokens(c: Column) -> Column:
+    """Lower-case words of two or more letters, digits, underscores; hyphens inside."""
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+
+
+def path_tokens(c: Column) -> Column:
+    return F.filter(F.regexp_extract_all(c, F.lit(PATHISH), F.lit(0)), lambda t: F.length(t) > 1)
+
+
+def key_tokens(c: Column) -> Column:
+    """Distinct words of four or more characters that start with a letter, lower-case, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z][a-z0-9_]{3,}"), F.lit(0))))
+
+
+def sub_tokens(c: Column) -> Column:
+    """Parts of an identifier: whole, by underscores and by camel case; lower-case, sorted, distinct."""
+    parts = F.transform(F.regexp_extract_all(c, F.lit(SUB_TOKEN), F.lit(0)), F.lower)
+    return F.array_sort(F.array_distinct(F.concat(F.array(F.lower(c)), F.filter(F.split(F.lower(c), "_"), lambda x: x != ""), parts)))
+
+
+def alias_form(c: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
+
+
+def slug(c: Column, most: int = 60, empty: str | None = None) -> Column:
+    """Lower-case with hyphens for all else, none at the ends, at most ``most`` characters."""
+    s = F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, most)
+    return F.coalesce(F.nullif(s, F.lit("")), F.lit(empty)) if empty else s
+
+
+def canonical(c: Column) -> Column:
+    """Line feeds only, blanks inside lines collapsed, ends stripped (Unicode composition is left to the source)."""
+    lf = F.regexp_replace(c, r"\r\n|\r", "\n")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(lf, r"[ \t]+", " "), r" ?\n ?", "\n"), r"^[ \n]+|[ \n]+$", "")
+
+
+def query_key(c: Column) -> Column:
+    return F.sha2(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "), 256)
+
+
+def claim_id(c: Column) -> Column:
+    return F.concat(F.lit("clm_"), F.substring(F.sha2(F.lower(F.trim(c)), 256), 1, 8))
+
+
+def signature(c: Column) -> Column:
+    """Sixteen digits of a hash of the first 24 distinct sorted words of three or more characters that are no stop words."""
+    words = F.filter(F.array_distinct(tokens(c)), lambda t: F.length(t) >= 3)
+    kept = F.slice(F.array_sort(F.array_except(words, F.array(*map(F.lit, STOPWORDS)))), 1, 24)
+    return F.substring(F.sha1(F.array_join(kept, " ")), 1, 16)
+
+
+def fingerprint(kind: Column, path: Column, message: Column) -> Column:
+    """Errors that differ in digits alone share it."""
+    m = F.substring(F.regexp_replace(message, r"[0-9]+", "#"), 1, 300)
+    return F.substring(F.sha1(F.concat_ws("|", kind, path, m)), 1, 16)
+
+
+def template(c: Column) -> Column:
+    """Addresses, times, ids and numbers of a message replaced."""
+    return F.regexp_replace(c, r"0x[0-9a-fA-F]+|[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.]+Z?|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9]+", "<LITERAL>")
+
+
+def redact(c: Column) -> Column:
+    """Issued tokens and the values of secret-looking assignments masked; keys are kept."""
+    for p in (r"AKIA[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"sk_live_[A-Za-z0-9]{16,}", r"AIza[A-Za-z0-9_-]{35}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"):
+        c = F.regexp_replace(c, p, "[REDACTED]")
+    return F.regexp_replace(c, r"((?:PASSWORD|SECRET|TOKEN|API_KEY)[A-Z_]*=)[^\s\"']+", "$1[REDACTED]")
+
+
+def labelled_secrets(c: Column) -> Column:
+    """How often a label like ``password: x`` stands in the text."""
+    return F.regexp_count(F.lower(c), F.lit(r"(password|passwd|secret|token|api_key)\s*[:=]\s*[^\s]+"))
+
+
+MARKERS = {"system_prompt": r"system prompt", "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY", "aws": r"AKIA[A-Z0-9]{16}", "bearer": r"[Bb]earer [A-Za-z0-9._-]{16,}", "traceback": r"Traceback \(most recent", "password": r"[Pp]assword\s*[:=]"}
+
+
+def markers(c: Column) -> Column:
+    """Names of the leak markers a text shows."""
+    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in MARKERS.items()]))
+
+
+def line_count(c: Column) -> Column:
+    return F.size(F.split(c, "\n"))
+
+
+def splice(c: Column, most: int) -> Column:
+    """At most ``most`` bytes from the start, without a broken last character."""
+    return F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, most), "UTF-8"), "\\uFFFD+$", "")
+
+
+def occurrences(c: Column, word: str) -> Column:
+    """Non-overlapping occurrences of a word in the lower-case text."""
+    low = F.lower(c)
+    return ((F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / F.lit(len(word))).cast("bigint")
+
+
+def overlap(c: Column, words: Sequence[str]) -> Column:
+    """Share of the distinct query words that the text holds."""
+    q = F.array(*map(F.lit, sorted(set(words))))
+    have = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+"), F.lit(0))
+    return F.size(F.array_intersect(q, have)) / F.lit(float(len(set(words)) or 1))
+
+
+def ladder(c: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
+    """The label of the first rule (label, pattern) that the lower-case text matches."""
+    low = F.lower(c)
+    return F.coalesce(*[F.when(low.rlike(p), F.lit(label)) for label, p in rules], F.lit(default))
+
+
+INTENTS = (("debug", "error|fail|exception|broken"), ("implement", "implement|create|build|add "), ("explain", "why|how|explain|what"), ("review", "review|check|audit"))
+SEVERITY = (("critical", "critical|fatal|corrupt|bind"), ("high", "error|exception|traceback|fail"), ("medium", "warn|timeout|retry"))
+
+
+def language(path: Column) -> Column:
+    """Language of a file by its extension."""
+    table = {"py": "python", "js": "javascript", "json": "json", "toml": "toml", "xml": "xml", "sh": "shell", "md": "markdown", "sql": "sql", "feature": "gherkin", "yml": "yaml", "yaml": "yaml", "ts": "typescript"}
+    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(m[F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))], F.lit("unknown"))
+
+
+def module_name(path: Column) -> Column:
+    """Dotted module of a Python path; a package's init file is the package."""
+    return F.regexp_replace(F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit(".")), r"\.__init__$", "")
+
+
+def estimate_tokens(c: Column) -> Column:
+    return F.floor((F.length(c) + 3) / 4).cast("bigint")
