@@ -106,7 +106,7 @@ def line_count(c: Column) -> Column:
 
 def splice(c: Column, most: int) -> Column:
     """At most ``most`` bytes from the start, without a broken last character."""
-    return F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, most), "UTF-8"), "\\uFFFD+$", "")
+    return F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, most).cast("string")), "\\uFFFD+$", "")
 
 
 def occurrences(c: Column, word: str) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.runtime import stage
 
+#: Steps of a propagation between two tables written: fewer writes for a plan still small.
+STEPS = 3
+
 
 def neighbours(edges: DataFrame, node: str, reverse: bool = False) -> DataFrame:
     a, b = ("dst", "src") if reverse else ("src", "dst")
@@ -88,18 +91,25 @@ def cyclic(edges: DataFrame) -> DataFrame:
         nodes = e.select(F.col("src").alias("node")).distinct()
         colour = stage(nodes.withColumn("c", F.col("node")), "colour")
         while True:
-            told = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("t"))
-            new = stage(colour.join(told, "node", "left").select("node", F.least("c", F.coalesce("t", "c")).alias("c")), "colour")
+            new = colour
+            for _ in range(STEPS):
+                told = e.join(new.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("t"))
+                new = new.join(told, "node", "left").select("node", F.least("c", F.coalesce("t", "c")).alias("c"))
+            new = stage(new, "colour")
             if new.join(colour, ["node", "c"], "left_anti").isEmpty():
                 break
             colour = new
         same = stage(e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst").where("c = c2").select("src", "dst", "c"), "same")
         back = stage(colour.where("node = c").select("node", "c"), "back")
-        front = back
-        while not front.isEmpty():
-            step = same.join(front.select(F.col("node").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("node"), "c").distinct()
-            front = stage(step.join(back, ["node", "c"], "left_anti"), "front")
-            back = stage(back.unionByName(front), "back")
+        while True:
+            more = back
+            for _ in range(STEPS):
+                step = same.join(more.select(F.col("node").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("node"), "c")
+                more = more.unionByName(step).distinct()
+            more = stage(more, "back")
+            if more.count() == back.count():
+                break
+            back = more
         whole = back.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
         part = back.join(whole, "c", "left_semi").select("node", F.col("c").alias("component"))
         found = stage(part if found is None else found.unionByName(part), "found")

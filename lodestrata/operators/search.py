@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
+from lodestrata.runtime import stage
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,10 +20,6 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def _equals(word: str):
-    return lambda x: x == F.lit(word)
-
-
 def bm25(docs: DataFrame, key: str, text: str, query: Sequence[str], k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The ``k`` best documents of a query: (key, score); a term asked for twice weighs twice; ties go to the smaller key.
 
@@ -32,8 +29,9 @@ def bm25(docs: DataFrame, key: str, text: str, query: Sequence[str], k: int = 20
     asked = Counter(w.lower() for w in query)
     words = F.col("w")
     terms = docs.select(F.col(key), T.tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
-    tf = [F.size(F.filter(words, _equals(t))).alias(f"tf{i}") for i, t in enumerate(asked)]
-    counted = terms.select(key, F.size("w").alias("dl"), *tf)
+    tf = [(F.size("w") - F.size(F.array_remove(words, F.lit(t)))).alias(f"tf{i}") for i, t in enumerate(asked)]
+    # A few numbers a document, written once: statistics and scores both read them.
+    counted = stage(terms.select(key, F.size("w").alias("dl"), *tf), "bm25")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])
     # One row of statistics.
     joined = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(asked))) or "false").join(F.broadcast(stats))

@@ -19,7 +19,8 @@ def scan(spark: SparkSession, root: str, extensions: Sequence[str] = ("py", "js"
     """(files, skipped) under a root of repositories, read by the binary source.
 
     files: repo, path, extension, size, mtime, content_hash, text.  skipped: repo, path, reason out of excluded,
-    extension, empty, too_large, sensitive_path, sensitive_content, binary.
+    extension, empty, too_large, sensitive_path, sensitive_content, binary.  Bytes that are no UTF-8 become U+FFFD.  The
+    file source itself does not list names that begin with a dot or an underscore.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
@@ -31,11 +32,11 @@ def scan(spark: SparkSession, root: str, extensions: Sequence[str] = ("py", "js"
         F.when(F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, EXCLUDED))), "excluded")
         .when(F.col("path").rlike(SENSITIVE), "sensitive_path").when(F.col("path").rlike(BINARY), "binary").when(~ext.isin(*extensions), "extension")
         .when(F.col("size") == 0, "empty").when(F.col("size") > most_bytes, "too_large")
-        .when(F.decode(F.substring("content", 1, 64), "UTF-8").contains("PRIVATE KEY"), "sensitive_content")
+        .when(F.substring("content", 1, 64).cast("string").contains("PRIVATE KEY"), "sensitive_content")
         .when(F.hex(head).rlike("^(?:[0-9A-F]{2})*00"), "binary")
     )
     marked = f.withColumn("reason", reason)
-    good = marked.where(F.col("reason").isNull()).select("repo", "path", ext.alias("extension"), "size", "mtime", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), F.decode("content", "UTF-8").alias("text"))
+    good = marked.where(F.col("reason").isNull()).select("repo", "path", ext.alias("extension"), "size", "mtime", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return good, marked.where(F.col("reason").isNotNull()).select("repo", "path", "reason")
 
 
@@ -74,8 +75,10 @@ def list_value(value: Column) -> Column:
 def json_log(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, bad): rows of a log of JSON lines by a declared schema, and the lines that are none."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
-    return raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), raw.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE"}).alias("r"))
+    good = parsed.where(F.col("r._corrupt_record").isNull()).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
+    return good, parsed.where(F.col("r._corrupt_record").isNotNull()).select("value")
 
 
 def git_log(text: DataFrame, column: str = "value") -> DataFrame:
