@@ -90,7 +90,7 @@ def _evidence(path: Column) -> list[Column]:
     alike = js_py & ~is_blob & (c("rows") >= 30) & (c("rows") - c("same") <= 8 + 0.01 * c("rows"))
     is_min = js & ~is_blob & (c("code") >= 100) & (c("gaps") <= 0.15 * c("code")) & (c("code") >= 80 * c("rows")) & (c("words") >= 20)
     is_lock = path.rlike(r"(?i)\.json$") & (c("lock") >= 3)
-    hand = when(is_kept, 5.0) + when(js_py & ~is_blob & ~is_min & ~alike, 1.0)
+    hand = when(is_kept, 5.0) + when(js_py & ~is_blob & ~is_min & ~alike, 1.0) + when(~js_py & ~is_lock, 5.0)
     generated = when((c("made") > 0) & ~is_kept, 8.0) + when(path.rlike(_MADE_NAME.pattern), 3.0) + when(alike, 6.0) + when(is_lock, 9.0)
     minified = when(is_min, 7.0) + when(path.rlike(r"(?i)[.-]min\.(js|css)$"), 3.0)
     vendored = when(c("copied") > 0, 8.0)

@@ -666,8 +666,10 @@ class Line:
 
     def item(self) -> None:
         self.expression()
-        if self.at("as") and "a" not in self.unary():
-            self.fail("cannot assign here")
+        if self.at("as"):
+            self.at("*")
+            if "a" not in self.unary():
+                self.fail("cannot assign here")
 
     # Patterns of a case.
 
@@ -957,6 +959,7 @@ def check(source: str) -> list[Fault]:
     held_line = 0
     held_at = 0
     depth = 0
+    loose = False  # after a bracket given up, a deeper line may be the block that was meant
     for j in range(len(ends) - 1):
         a, z = ends[j], ends[j + 1]
         line_no += 1
@@ -974,7 +977,7 @@ def check(source: str) -> list[Fault]:
         low, net = _known.get(body) or _known.keep(body, _depth(body))
         if depth and body and body[0] in _STARTS:
             faults.append(Fault(held_line, "a bracket was never closed"))
-            depth, held, opener = 0, (), ""
+            depth, held, opener, loose = 0, (), "", True
             blocks[-1][2] = ""
         if depth or net or low:
             if not depth:
@@ -1012,8 +1015,10 @@ def check(source: str) -> list[Fault]:
                 faults.append(Fault(first_line, f"expected an indented block after {opener!r}"))
             opener = ""
         elif col > blocks[-1][0]:
-            faults.append(Fault(first_line, "unexpected indent"))
+            if not loose:
+                faults.append(Fault(first_line, "unexpected indent"))
             blocks.append([col, alt, "", "?"])
+        loose = False
         top = blocks[-1]
         while col < top[0]:
             if top[2] == "try":
