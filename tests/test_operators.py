@@ -199,3 +199,17 @@ def test_streams(spark, tmp_path):
     seen = []
     E.drain(E.outcomes(read()), str(tmp_path / "c4"), handle=lambda b, i: seen.append(b.count()))
     assert sum(seen) == 3
+
+
+def test_rules_and_embedder(spark):
+    from lodestrata.functions import rules as U
+    from lodestrata.functions.embed import bag, embedder
+
+    d = spark.createDataFrame([("a.b.c", 1, "x"), ("a.b.c", 3, None), ("a", 2, "x")], "cur string, lev int, m string")
+    assert [r[0] for r in d.select(U.resolve_relative(F.col("cur"), F.col("lev"), F.col("m"))).collect()] == ["a.b.x", "", None]
+    trace = 'Traceback (most recent call last):\n  File "/x/a.py", line 3, in f\n  File "/y/b.py", line 4, in g\nE'
+    other = trace.replace("line 3", "line 9").replace("/x/", "/z/")
+    got = spark.createDataFrame([(trace,), (other,), ("",)], "t string").select(U.stack_signature(F.col("t")), U.wikilinks(F.lit("[[A|b]] [[C#d]] [[A]]")), U.goal_parts(F.lit("do a. then b\n- c"))).collect()
+    assert got[0][0] == got[1][0] != got[2][0] and got[0][1] == ["A", "C"] and got[0][2] == ["do a", "b", "c"]
+    v = spark.createDataFrame([("red fox",), ("fox RED",), (None,)], "t string").select(embedder(16)(F.col("t"))).collect()
+    assert v[0][0] == v[1][0] == pytest.approx(bag("red fox", 16)) and sum(v[2][0]) == 0
