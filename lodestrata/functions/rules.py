@@ -74,4 +74,4 @@ def match_sanitised(query: Column) -> Column:
 
 def goal_parts(text: Column) -> Column:
     """Parts of a goal: bullets, numbered items, sentences, and what "then" joins."""
-    return F.filter(F.transform(F.split(text, r"\n\s*(?:[-*]|[0-9]+[.)])\s+|[.;]\s+|\bthen\b|\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*(?:[-*]|[0-9]+[.)])\s+|[.;]\s+|\bthen\b|\n"), lambda x: F.trim(x)), lambda x: x != "")

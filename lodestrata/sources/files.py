@@ -88,7 +88,7 @@ def git_log(text: DataFrame, column: str = "value") -> DataFrame:
     """
     rec = text.select(F.explode(F.split(column, "\x1e")).alias("r")).where(F.trim("r") != "")
     f = F.split("r", "\x1f")
-    names = F.filter(F.transform(F.split(F.coalesce(F.get(f, F.lit(5)), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(F.coalesce(F.get(f, F.lit(5)), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return rec.select(F.trim(F.get(f, F.lit(0))).alias("sha"), F.get(f, F.lit(1)).alias("author"), F.get(f, F.lit(2)).alias("date"), F.get(f, F.lit(3)).alias("subject"), F.get(f, F.lit(4)).alias("body"), names.alias("files"))
 
 
