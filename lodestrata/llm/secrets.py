@@ -38,8 +38,12 @@ _FIRST = frozenset("api access secret private deploy service signing sign encryp
 _SECOND = frozenset("key keys token tokens salt auth".split())
 _TOKENS = frozenset("auth access refresh api bearer id session client security push csrf github gitlab slack bot npm pypi deploy service webhook".split())
 _WEAK = frozenset("token tokens key keys auth login salt credentialref".split())
-_NO_SECRET_LAST = frozenset("id ids ref refs sha256 sha1 sha512 md5 checksum etag fingerprint hint url uri path file".split())
+_NO_SECRET_LAST = frozenset("id ids ref refs sha256 sha1 sha512 md5 checksum etag hint url uri path file".split())
 _GENERIC = frozenset("value default data content text string literal val".split())
+#: Words run together, as in capitals: what they end with, and what may stand before a shorter end.
+_ENDS = ("password", "passwd", "passphrase", "passcode", "passwort", "kennwort", "contrasena", "secret", "credential", "credentials", "apikey")
+_SHORT_ENDS = ("key", "token", "salt", "auth", "pass", "pw", "pwd")
+_BEFORE = _FIRST | _TOKENS | frozenset("smtp db database admin root user login replica x mail ftp ldap redis mysql pg".split())
 _CAMEL = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-ZÀ-Þ]?[a-zà-ÿ]+|[0-9]+")
 
 
@@ -50,7 +54,7 @@ def key_strength(key: str) -> int:
         words.pop()
     if not words or words[-1] in _NO_SECRET_LAST and len(words) > 1 and words[-1] in ("ref", "refs", "url", "uri", "path", "file", "hint"):
         return 0
-    if any(w in _ALONE for w in words):
+    if any(w in _ALONE or w.endswith(_ENDS) for w in words) or any(w.endswith(e) and w[: -len(e)] in _BEFORE for w in words for e in _SHORT_ENDS):
         return 2
     for a, b in zip(words, words[1:], strict=False):
         if (a in _FIRST and b in _SECOND) or (a in _TOKENS and b in ("token", "tokens")) or (a == "x" and b == "auth"):
@@ -254,7 +258,9 @@ def find(text: str, extension: str = "") -> list[Credential]:
     if "-----BEGIN" in text:
         for m in _PRIVATE.finditer(text):
             body = _BODY.match(text, m.end())
-            if body:
+            if not body and not text[m.end() :].strip(" \t\r\n\"'`"):
+                found.append(Credential(m.start(), len(text), "private key", "", ((m.end(), m.end()),)))  # the rest is in the next part
+            elif body:
                 end = _PRIVATE_END.search(text, body.end())
                 z = end.start() if end else len(text)
                 if not end:
