@@ -35,8 +35,8 @@ class Credential(NamedTuple):
 # Names of keys, by their words.
 _ALONE = frozenset("password passwd pwd pw pass passphrase passcode passwort kennwort contrasena contraseña senha clave parola motdepasse secret secrets bearer apikey credential credentials clientsecret webhooksecret refreshtoken accesstoken authtoken apitoken accesskey secretkey privatekey signingkey servicekey deploykey xauth pgpassword".split())
 _FIRST = frozenset("api access secret private deploy service signing sign encryption master account ssh auth storage license shared app client consumer session".split())
-_SECOND = frozenset("key keys token tokens salt auth".split())
-_TOKENS = frozenset("auth access refresh api bearer id session client security push csrf github gitlab slack bot npm pypi deploy service webhook".split())
+_SECOND = frozenset("key keys salt auth".split())
+_TOKENS = frozenset("auth access refresh api bearer security csrf github gitlab slack bot npm pypi deploy service webhook".split())
 _WEAK = frozenset("token tokens key keys auth login salt credentialref".split())
 _NO_SECRET_LAST = frozenset("id ids ref refs sha256 sha1 sha512 md5 checksum etag hint url uri path file".split())
 _GENERIC = frozenset("value default data content text string literal val".split())
@@ -86,6 +86,8 @@ _PLACEHOLDER = re.compile(
     r"|(?:todo|dummy|change[-_ ]?(?:me|it|this)|example|placeholder|none|null|nil|undefined|true|false|(?:is)?redacted|masked|hidden|fixme|tbd|unset|n/?a|\.{2,}|password|passwd|secret|token|api[-_]?key|default|string|sample|fake|mock|test|optional|required|empty|removed)[.!]*$"
     r"|.*\b(?:your|my|the|insert|enter|replace)[-_ ]|.*example(?:key)?$|.*redacted|.*\.\.\."
 )
+#: Values that tell their own kind: checksums with the name of the method, embedded data.
+_DIGESTED = re.compile(r"(?i)(?:sha(?:1|256|384|512)|md5)[-:]|data:")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)$")
 _WORDS = re.compile(r"[a-z]+(?:-[a-z]+){2,}-?[0-9]+$")
@@ -124,11 +126,13 @@ def random_like(v: str, hexes: bool = False) -> bool:
 def literal_counts(key: str, value: str) -> bool:
     """Whether the literal under a key is a credential."""
     strength = key_strength(key)
-    if not strength or placeholder(value) or len(value) < 5:
+    if not strength or placeholder(value) or len(value) < 5 or _DIGESTED.match(value):
+        return False
+    if "://" in value:
         return False
     if strength == 1:
         return len(value) <= 120 and random_like(value)
-    if any(c.isspace() for c in value) or value.startswith(("data:", "-----")) or "://" in value:
+    if any(c.isspace() for c in value) or value.startswith("-----"):
         return False
     if value[0] in "./" and "/" in value and not random_like(value.replace("/", ""), True):
         return False
@@ -163,7 +167,7 @@ _ENCODED = re.compile(r"\b[Bb]asic\s+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])
 _HEXED = re.compile(r"(?:fromhex|unhexlify|a2b_hex|Buffer\.from|decodeHex|hex\.DecodeString)\(\s*[\"']([0-9A-Fa-f]{32,})[\"']")
 _SIGNS = re.compile(r"(?i)\b(?:signs?|signing|encrypts?|decrypts?|hmac|secret|private|unlocks?|authenticates?|key)\b|secret|hmac|_key|key_")
 _COMMENT = re.compile(r"^\s*(?:#|//|--|/?\*|<!--|;|>|-\s)|(?:\s#|\s//|\s--)\s")
-_POSITIONS = re.compile(r"\((.*)\)\s*;?\s*(?:#|//|--)\s*([\w ]+(?:,[\w ]+)+)\s*$")
+_POSITIONS = re.compile(r"(?:#|//|--)\s*([\w ]+(?:,[\w ]+)+)\s*$")
 _TAG = re.compile(r"<([A-Za-z_][\w.:-]*)((?:\s+[\w.:-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*)\s*(/?)>([^<]*)")
 _ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)')")
 #: A line is parsed if it holds one of these (in any case); all rules below need one.
@@ -241,6 +245,20 @@ def _leaf(path: tuple[str, ...]) -> str:
     return path[-2] if len(path) > 1 and path[-1].lower() in _GENERIC else path[-1]
 
 
+def _arguments(line: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of literals in a call whose trailing comment names its arguments, as in f("a", "b")  # user, password."""
+    at = max(line.rfind("#"), line.rfind("//"), line.rfind("--"))
+    m = _POSITIONS.match(line, at) if at > 0 else None
+    if not m:
+        return []
+    head = line[:at].rstrip().removesuffix(";").rstrip()
+    if not head.endswith(")"):
+        return []
+    names = [x.strip() for x in m[1].split(",")]
+    found = [_body(x) for x in _LITERAL.finditer(head, max(0, len(head) - 400))]
+    return [(s, e, n) for (s, e), n in zip(found[-len(names) :], names, strict=False)] if len(found) >= len(names) else []
+
+
 def _basic(v: str) -> bool:
     try:
         return b":" in base64.b64decode(v + "=" * (-len(v) % 4), validate=True)
@@ -340,16 +358,9 @@ def find(text: str, extension: str = "") -> list[Credential]:
             g = next(k for k in (2, 3, 4, 5) if m.group(k))
             if not placeholder(m[g]):
                 add([(start + m.start(g), start + m.end(g))], "command line", m[1] or "user")
-        m = _POSITIONS.search(line)
-        if m:
-            names = [x.strip() for x in m[2].split(",")]
-            literals = [(m.start(1) + x.start(), x) for x in _LITERAL.finditer(m[1])]
-            if len(literals) == len(names):
-                for (_, x), name in zip(literals, names, strict=True):
-                    s, e = _body(x)
-                    s, e = start + m.start(1) + s, start + m.start(1) + e
-                    if literal_counts(name, text[s:e]):
-                        add([(s, e)], "argument", name)
+        for s, e, name in _arguments(line):
+            if literal_counts(name, line[s:e]):
+                add([(start + s, start + e)], "argument", name)
         if prose or _COMMENT.search(line):
             m = _PROSE.search(line)
             if m and not placeholder(m[1]) and random_like(m[1], True):
