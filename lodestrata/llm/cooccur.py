@@ -43,11 +43,15 @@ def pair_counts(b: DataFrame, min_count: int, block: int = BLOCK) -> DataFrame:
     items = b.select("item_kind", "repo", "sha", F.explode("items").alias("item"))
     n_item = items.groupBy("item_kind", "repo", "item").agg(F.count(F.lit(1)).alias("n_item")).where(F.col("n_item") >= min_count)
     total = b.groupBy("item_kind", "repo").agg(F.count(F.lit(1)).alias("n"))
-    # A frequent item can hold a third of the rows: its rows are salted by commit, its count is copied to each salt.
-    salts = 8
-    salted = n_item.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    kept = items.withColumn("salt", F.pmod(F.xxhash64("sha"), F.lit(salts)).cast("int")).join(salted, ["item_kind", "repo", "item", "salt"], "left_semi")
-    frequent = kept.groupBy("item_kind", "repo", "sha").agg(F.sort_array(F.collect_list("item")).alias("i")).where(F.size("i") > 1)
+    if min_count > 1:
+        # A frequent item can hold a third of the rows: its rows are salted by commit, its count is copied to each salt.
+        salts = 8
+        salted = n_item.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        kept = items.withColumn("salt", F.pmod(F.xxhash64("sha"), F.lit(salts)).cast("int")).join(salted, ["item_kind", "repo", "item", "salt"], "left_semi")
+        frequent = kept.groupBy("item_kind", "repo", "sha").agg(F.sort_array(F.collect_list("item")).alias("i"))
+    else:
+        frequent = b.select("item_kind", "repo", "sha", F.sort_array("items").alias("i"))
+    frequent = frequent.where(F.size("i") > 1)
 
     small = frequent.where(F.size("i") <= block).select("item_kind", "repo", F.col("i").alias("x"), F.col("i").alias("y"), F.lit(True).alias("same"))
     chunks = F.expr(f"transform(sequence(0, int((size(i) - 1) / {block})), k -> slice(i, k * {block} + 1, {block}))")

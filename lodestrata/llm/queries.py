@@ -28,7 +28,7 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: split.split_oversized(table(s, d, "chunks")).select("chunk_id").distinct(),
         "p4_pieces": lambda s, d: split.split_oversized(table(s, d, "chunks")).drop("text"),
         "p5_found": lambda s, d: cooccur.associated(table(s, d, "commit_nodes")),
-        "p5_pairs": lambda s, d: cooccur.cooccurrence(table(s, d, "commit_nodes")),
+        "p5_pairs": lambda s, d: cooccur.cooccurrence(table(s, d, "commit_nodes"), min_count=1),
         "p6_found": lambda s, d: knn.alike(table(s, d, "vector_records")),
         "p6_top5": lambda s, d: knn.nearest(table(s, d, "vector_records")),
         "p6_search": lambda s, d: knn.nearest(table(s, d, "vector_records"), query_mod=20),

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from lodestrata.llm import cooccur, knn, mix
+from lodestrata.llm import cooccur, knn, mix, queries
 
 
 def test_cooccurrence_against_brute_force(spark):
@@ -38,6 +38,13 @@ def test_cooccurrence_against_brute_force(spark):
     assert cooccur.cooccurrence(df.limit(0)).count() == 0
 
 
+def test_registered_pairs_hold_rare_ones(spark, tmp_path):
+    rows = [("r", "s1", ["a", "b", "c"], None), ("r", "s2", ["./a", "b"], ["f", "g"]), ("r", "s3", ["d"], None)]
+    spark.createDataFrame(rows, "repo string, sha string, files array<string>, functions array<string>").write.parquet(str(tmp_path / "commit_nodes.parquet"))
+    got = {(r.item_kind, r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in queries.queries()["p5_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("file", "a", "b"): (2, 2, 2, 3), ("file", "a", "c"): (1, 2, 1, 3), ("file", "b", "c"): (1, 2, 1, 3), ("function", "f", "g"): (1, 1, 1, 1)}
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 16)).astype(np.float32)
