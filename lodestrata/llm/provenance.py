@@ -50,23 +50,65 @@ _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _DATA = re.compile(r"\d[\w.]*")
 _MARK = re.compile(r"^\s*(?:#+!?|//+|/\*+!?|\*+|<!--|--|;+|\"\"\"|''')\s*(.*?)\s*(?:\*/|-->)?\s*$")
 
-STATS = ("made", "kept", "copied", "lock", "chars", "solid", "rows", "data", "words", "same", "code", "gaps")
+#: Block comments and texts that can stand before the code: how they open and close; other lines that end no heading.
+_BLOCK = re.compile(r"[rRuU]?(/\*|<!--|\"\"\"|''')")
+_CLOSE = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+_HEADING = re.compile(r"(?:#|//|--|;;|;\s|<\?[^>]*\?>$|[rRuU]?(?:\"[^\"]*\"|'[^']*');?$|$)")
 
+STATS = ("made", "kept", "copied", "late_made", "late_copied", "lock", "chars", "solid", "rows", "data", "words", "same", "code", "gaps")
+#: Lines from the start of a file that count as its heading even if code stands among them.
+NEAR = 12
 
-def statistics(text: str, head: bool) -> tuple[int, ...]:
-    """Counts that add up over the parts of a file: marks in its first lines, sizes, data in literals, alike lines."""
-    made = kept = copied = 0
+
+def _after(rest: str) -> str | None:
+    return "" if rest.strip() in ("", ";") else None
+
+
+def marks(lines: list[str], state: str | None = "", near: int = NEAR) -> tuple[tuple[int, ...], list[str | None]]:
+    """Marks in comments of a part of a file: (made, kept, copied) of its heading, (made, copied) of what follows.
+
+    The heading are all comments before the first code, however long, and the first ``near`` lines.  ``state`` tells
+    where the part begins: "" between comments of the heading, the closing sign within one, None past the first code.
+    Also returned: the state after each line.
+    """
+    made = kept = copied = late_made = late_kept = late_copied = 0
+    states: list[str | None] = []
+    fresh = True  # a paragraph may begin
+    for k, line in enumerate(lines):
+        within, m = state, _MARK.match(line)
+        text = line.strip()
+        if state:
+            if state in line:
+                text, rest = (x.strip() for x in line.split(state, 1))
+                state = _after(rest)
+        elif state == "":
+            o = _BLOCK.match(text)
+            if o:
+                body, sign, rest = text[o.end() :].partition(_CLOSE[o[1]])
+                state = _after(rest) if sign else _CLOSE[o[1]]
+                if not m:
+                    within, text, fresh = _CLOSE[o[1]], body.strip(), True
+            elif not _HEADING.match(text):
+                state = None
+        states.append(state)
+        # Lines of a block without a sign of their own are prose; a mark there begins a paragraph.
+        said = m[1] if m else text if within and fresh else None
+        fresh = not text.strip("/*<!-\"' ")
+        if not said:
+            continue
+        keeps = bool(_KEPT.search(said))
+        makes = not keeps and bool(_MADE.match(said))
+        copies = bool(_COPIED.search(said) if m else _COPIED.match(said))
+        if k < near or within is not None and (within or state is not None or _BLOCK.match(line.strip())):
+            made, kept, copied = made + makes, kept + keeps, copied + copies
+        else:
+            late_made, late_kept, late_copied = late_made + makes, late_kept + keeps, late_copied + copies
+    return (made, kept, copied, 0 if late_kept else late_made, late_copied), states
+
+
+def statistics(text: str, found: tuple[int, ...]) -> tuple[int, ...]:
+    """Counts that add up over the parts of a file: its marks as ``found``, sizes, data in literals, alike lines."""
     lines = text.splitlines()
-    if head:
-        for line in lines[:12]:
-            m = _MARK.match(line)
-            if m:
-                if _KEPT.search(m[1]):
-                    kept += 1
-                elif _MADE.match(m[1]):
-                    made += 1
-                if _COPIED.search(m[1]):
-                    copied += 1
     solid = [x for line in lines if (x := line.strip())]
     bare = _COMMENT.sub("", text)
     code = _LITERAL.sub("", bare)
@@ -75,7 +117,7 @@ def statistics(text: str, head: bool) -> tuple[int, ...]:
     data = sum(len(x) for x in _LITERAL.findall(bare) if len(x.split(None, 2)) < 2) + sum(map(len, _DATA.findall(code)))
     same = len(solid) - len({_DATA.sub("0", _WORD.sub("a", _LITERAL.sub("s", x))) for x in solid})
     tight = "".join(code.split())
-    return made, kept, copied, len(_LOCK_KEY.findall(text)), len(text), len("".join(text.split())), len(solid), data, words, same, len(tight), len(code) - len(tight)
+    return *found, len(_LOCK_KEY.findall(text)), len(text), len("".join(text.split())), len(solid), data, words, same, len(tight), len(code) - len(tight)
 
 
 def _evidence(path: Column) -> list[Column]:
@@ -91,9 +133,9 @@ def _evidence(path: Column) -> list[Column]:
     is_min = js & ~is_blob & (c("code") >= 100) & (c("gaps") <= 0.15 * c("code")) & (c("code") >= 80 * c("rows")) & (c("words") >= 20)
     is_lock = path.rlike(r"(?i)\.json$") & (c("lock") >= 3)
     hand = when(is_kept, 5.0) + when(js_py & ~is_blob & ~is_min & ~alike, 1.0) + when(~js_py & ~is_lock, 5.0)
-    generated = when((c("made") > 0) & ~is_kept, 8.0) + when(path.rlike(_MADE_NAME.pattern), 3.0) + when(alike, 6.0) + when(is_lock, 9.0)
+    generated = when((c("made") > 0) & ~is_kept, 8.0) + when((c("made") == 0) & (c("late_made") > 0) & ~is_kept, 3.0) + when(path.rlike(_MADE_NAME.pattern), 3.0) + when(alike, 6.0) + when(is_lock, 9.0)
     minified = when(is_min, 7.0) + when(path.rlike(r"(?i)[.-]min\.(js|css)$"), 3.0)
-    vendored = when(c("copied") > 0, 8.0)
+    vendored = when(c("copied") > 0, 8.0) + when((c("copied") == 0) & (c("late_copied") > 0), 3.0)
     blob = when(is_blob, 8.0)
     return [hand, generated, minified, vendored, blob]
 
@@ -121,16 +163,41 @@ def _down(prefix: str, minus: str) -> list[Column]:
     return [_lse([F.col(f"{prefix}{p}") - F.col(f"{minus}{p}") + F.lit(t[p][j]) for p in K]) for j in K]
 
 
-def _stats_of(table: DataFrame, head: Column) -> DataFrame:
+def _overlap(before: list[str], lines: list[str]) -> int:
+    """How many of the last lines of a part begin the next one again."""
+    return next((k for k in range(min(len(before), len(lines)), 0, -1) if before[-k:] == lines[:k]), 0)
+
+
+def _stats_of(table: DataFrame) -> DataFrame:
+    """Statistics of each row of (repo, path, chunk_index, text); the parts of a file come together and in order.
+
+    A chunk_index of null or 0 begins a file; the heading of a file may run on into its later parts.
+    """
     names = ["repo", "path", *STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None, None)
+        before, states, start, line_no = [], [], None, 0
         for batch in batches:
-            got = [statistics(t.as_py(), h) for t, h in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+            got = []
+            for repo, path, index, t in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                text = t.as_py()
+                lines = text.splitlines()
+                if not index:
+                    state, line_no = "", 0
+                elif last == (repo, path, index - 1):
+                    shared = _overlap(before, lines)
+                    at = len(before) - shared
+                    state, line_no = states[at - 1] if at else start, line_no + at
+                else:
+                    state, line_no = None, NEAR
+                found, now = marks(lines, state, NEAR - line_no)
+                last, before, states, start = (repo, path, index or 0), lines, now, state
+                got.append(statistics(text, found))
             cols = list(zip(*got, strict=True)) if got else [[]] * len(STATS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in cols]], names)
 
-    rows = table.select("repo", "path", F.coalesce("text", F.lit("")).alias("text"), head.alias("head")).where(F.col("repo").isNotNull() & F.col("path").isNotNull())
+    rows = table.select("repo", "path", "chunk_index", F.coalesce("text", F.lit("")).alias("text")).where(F.col("repo").isNotNull() & F.col("path").isNotNull())
     return rows.mapInArrow(run, "repo string, path string, " + ", ".join(f"{s} bigint" for s in STATS))
 
 
@@ -141,10 +208,11 @@ def labelled(files: DataFrame, chunks: DataFrame) -> DataFrame:
     known by its chunks is judged by them.  Null texts count as empty, rows with null repo or path are left out, a
     repeated row counts once.
     """
-    whole = _stats_of(files, F.lit(True)).groupBy("repo", "path").agg(*[F.max(s).alias(s) for s in STATS])
+    whole = _stats_of(files.withColumn("chunk_index", F.lit(None).cast("int"))).groupBy("repo", "path").agg(*[F.max(s).alias(s) for s in STATS])
     parts = chunks.select("repo", "path", "text", "chunk_index")
     known = files.select("repo", "path").distinct()
-    parts = _stats_of(parts.join(known, ["repo", "path"], "left_anti"), F.coalesce(F.col("chunk_index") == 0, F.lit(True))).distinct()
+    parts = parts.join(known, ["repo", "path"], "left_anti").repartition("repo", "path").sortWithinPartitions("repo", "path", "chunk_index", "text")
+    parts = _stats_of(parts).distinct()
     parts = parts.groupBy("repo", "path").agg(*[F.sum(s).alias(s) for s in STATS])
     judged = whole.unionByName(parts)
     evidence = _evidence(F.col("path"))

@@ -144,3 +144,22 @@ def test_provenance(spark):
     got = {r.path for r in provenance.not_handwritten(files, chunks).collect()}
     assert got == {"src/b.py", "src/d_pb2.py", "static/e.js", "vendor/lib-x/f.py", "vendor/lib-x/g.py", "src/i.py", "src/j.py", "src/package-lock.json", "src/n.py"}
     assert provenance.labelled(files.limit(0), chunks.limit(0)).count() == 0
+
+
+def test_marks_below_a_long_heading(spark):
+    hand = "import os\n\n\ndef f(a):\n    return [x for x in a if x.n > 3]\n"
+    banner = lambda n, sign="#": "".join(f"{sign} Term {k} of the licence: keep this notice.\n" for k in range(n))
+    made, part = "Code generated by toolx v1.2. DO NOT EDIT.\n", "This file is part of the plinth project\n"
+    rows = [
+        ("a.py", "#!/usr/bin/env python\n" + banner(30) + "\n# " + made + hand), ("b.js", "/*\n" + banner(20, " *") + " * @license MIT\n */\n'use strict';\nlet x = 1;\n"), ("c.py", '"""Notes.\n\n' + banner(20, "-") + "\n" + made + '"""\n' + hand),
+        ("d.py", banner(30) + "# " + part + hand), ("e.py", banner(30) + "# This file is not generated; edit it freely.\n" + hand), ("f.py", hand * 4 + "# " + made + hand), ("g.py", '"""Reader.\n\n' + "It reads things.\n" * 20 + "It takes code that was\ngenerated by toolx.\n" + '"""\n' + hand),
+    ]
+    text = banner(130) + "# " + made + hand
+    lines = text.splitlines(keepends=True)
+    chunks = [("k", "k.py", "".join(lines[k : k + 60]), n) for n, k in enumerate(range(0, len(lines) - 10, 50))] + [("l", "l.py", hand * 4, 0), ("l", "l.py", "# " + made + hand, 1)]
+    files = spark.createDataFrame([(p, p, t) for p, t in rows], "repo string, path string, text string")
+    out = {r.path: r.label for r in provenance.labelled(files, spark.createDataFrame(chunks, "repo string, path string, text string, chunk_index int")).collect()}
+    assert out == {"a.py": "generated", "b.js": "vendored", "c.py": "generated", "d.py": "vendored", "e.py": "handwritten", "f.py": "handwritten", "g.py": "handwritten", "k.py": "generated", "l.py": "handwritten"}
+    later = ("t_pb2.py", hand * 4 + "# " + made + hand)
+    files = spark.createDataFrame([("q", *later)], "repo string, path string, text string")
+    assert [r.label for r in provenance.labelled(files, spark.createDataFrame(chunks[:0], "repo string, path string, text string, chunk_index int")).collect()] == ["generated"]
