@@ -118,10 +118,14 @@ def _classes(documents: DataFrame, min_span: int) -> DataFrame:
     return documents.select("doc_id", "text").where((F.length("text") >= min_span) & F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("cls"))
 
 
-def shared_spans(documents: DataFrame, min_span: int = 400) -> DataFrame:
-    """Every span of at least ``min_span`` characters that two different texts share, once per pair of places.
+def _shared_places(documents: DataFrame, min_span: int) -> tuple[DataFrame, DataFrame]:
+    """What texts share, in two parts.
+
+    Spans (cls_a, lo_a, cls_b, lo_b, length) of digests found in up to ``HOT`` places, once per pair of places; and
+    windows (digest, cls, at) of ``min_span`` characters round the other digests that stand in two texts or more, at
+    every place.
 
-    Columns: cls_a, lo_a, cls_b, lo_b, length, with cls_a < cls_b; cls is the 64-bit hash of a whole text, the class of
+    Columns of spans: cls_a, lo_a, cls_b, lo_b, length, with cls_a < cls_b; cls is the 64-bit hash of a whole text, the class of
     its exact copies.  ``length`` is a lower bound where the span runs over ``min_span`` characters past a run; the
     next run of the same span carries it on.
     """
@@ -201,7 +205,17 @@ def shared_spans(documents: DataFrame, min_span: int = 400) -> DataFrame:
     w = seen.where("n = 0").select("digest", "cls", "at")
     # The windows of a hot run that stand in one text only are dropped before any are paired.
     kept = w.groupBy("digest").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("digest")
-    w = w.join(kept, "digest", "left_semi").groupBy("digest", "cls").agg(F.min("at").alias("at"))
+    return cold, w.join(kept, "digest", "left_semi")
+
+
+def shared_spans(documents: DataFrame, min_span: int = 400) -> DataFrame:
+    """Spans of at least ``min_span`` characters that two different texts share, for every two texts that share any.
+
+    Columns: cls_a, lo_a, cls_b, lo_b, length, with cls_a < cls_b.  Every pair of places of spans found in up to ``HOT``
+    places; of a window found in more, the first place in each text.
+    """
+    cold, w = _shared_places(documents, min_span)
+    w = w.groupBy("digest", "cls").agg(F.min("at").alias("at"))
     hot = w.select("digest", F.col("cls").alias("cls_a"), F.col("at").alias("lo_a")).join(w.select("digest", F.col("cls").alias("cls_b"), F.col("at").alias("lo_b")), "digest")
     hot = hot.where("cls_a < cls_b").select("cls_a", "lo_a", "cls_b", "lo_b", F.lit(min_span).cast("bigint").alias("length"))
     return cold.unionByName(hot)
@@ -227,8 +241,9 @@ def shared_share(documents: DataFrame, min_span: int = 400) -> DataFrame:
     Columns: doc_id, n_chars, copies, shared_chars, shared_share.  A null text counts as empty; an empty one has share
     0.  A text with exact copies (and of span length) is shared wholly.
     """
-    spans = shared_spans(documents, min_span)
+    spans, windows = _shared_places(documents, min_span)
     side = spans.select(F.col("cls_a").alias("cls"), F.col("lo_a").alias("lo"), "length").unionByName(spans.select(F.col("cls_b").alias("cls"), F.col("lo_b").alias("lo"), "length"))
+    side = side.unionByName(windows.select("cls", F.col("at").alias("lo"), F.lit(min_span).cast("bigint").alias("length")))
     side = side.groupBy("cls", "lo").agg(F.max(F.col("lo") + F.col("length")).alias("hi"))
     w = Window.partitionBy("cls").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     covered = side.withColumn("seen", F.max("hi").over(w)).groupBy("cls").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce("seen", "lo")))).alias("covered"))

@@ -59,6 +59,20 @@ def test_hot_spans_by_windows(spark, monkeypatch):
     assert {tuple(r) for r in shared_spans.sharing_pairs(df).collect()} == {(a, b) for a in range(8) for b in range(a + 1, 8)}
 
 
+def test_share_counts_every_copy_of_a_hot_passage(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
+    note = word(500)
+    rows = [(k, word(100) + "<" + note + ">" + word(200) + "<" + note + ">" * (k < 3) + word(50)) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cold = {tuple(r) for r in shared_spans.shared_share(df).collect()}
+    monkeypatch.setattr(shared_spans, "HOT", 3)
+    hot = {tuple(r) for r in shared_spans.shared_share(df).collect()}
+    assert hot == cold and all(r[3] >= 1000 for r in hot) and len(hot) == 6
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=30))
 def test_automaton_against_brute_force(items, seq):
