@@ -39,6 +39,11 @@ _SECOND = frozenset("key keys salt auth".split())
 _TOKENS = frozenset("auth access refresh api bearer security csrf github gitlab slack bot npm pypi deploy service webhook".split())
 _WEAK = frozenset("token tokens key keys auth login salt credentialref".split())
 _NO_SECRET_LAST = frozenset("id ids ref refs sha256 sha1 sha512 md5 checksum etag hint url uri path file".split())
+#: Under a weak name: what is meant to be seen; names whose hexadecimal values may be secret, and words that say they are sums or ids.
+_PUBLIC = frozenset("public pub cert certificate fingerprint".split())
+_HEX_KEYS = frozenset("token tokens key keys".split())
+_IDS = frozenset("id ids uid uuid guid ref refs sha sha1 sha256 sha512 md5 crc checksum checksums sum hash hashes digest etag hint commit revision rev version cache idempotency dedup primary foreign partition sort object content index".split())
+_SUMMED = re.compile(r"(?i)checksum|\bsha-?(?:1|256|384|512)?\b|\bmd5\b|digest|fingerprint|\bhash\b|\bids?\b")
 _GENERIC = frozenset("value default data content text string literal val".split())
 #: Words run together, as in capitals: what they end with, and what may stand before a shorter end.
 _ENDS = ("password", "passwd", "passphrase", "passcode", "passwort", "kennwort", "contrasena", "secret", "credential", "credentials", "apikey")
@@ -67,11 +72,11 @@ def key_strength(key: str) -> int:
 #: Forms in which providers issue credentials.
 SHAPES = {
     "aws key id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "git host token": r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,251}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,64})(?![A-Za-z0-9])",
-    "payment key": r"(?<![A-Za-z0-9_])[rs]k_live_[A-Za-z0-9]{16,99}(?![A-Za-z0-9])",
+    "git host token": r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
+    "payment key": r"(?<![A-Za-z0-9_])[rs]k_live_[A-Za-z0-9]{16,}(?![A-Za-z0-9])",
     "cloud key": r"(?<![A-Za-z0-9_])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])",
-    "chat token": r"(?<![A-Za-z0-9_])xox[abeoprs]-[A-Za-z0-9-]{10,250}",
-    "package token": r"(?<![A-Za-z0-9_])(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{40,250}|hf_[A-Za-z0-9]{30,50}|dop_v1_[a-f0-9]{64}|SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}|sk-[A-Za-z0-9_-]{20,200})(?![A-Za-z0-9])",
+    "chat token": r"(?<![A-Za-z0-9_])xox[abeoprs]-[A-Za-z0-9-]{10,}",
+    "package token": r"(?<![A-Za-z0-9_])(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{40,}|hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{64}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
     "signed token": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
 _SHAPE = re.compile("|".join(f"(?P<s{k}>{p})" for k, p in enumerate(SHAPES.values())))
@@ -123,15 +128,22 @@ def random_like(v: str, hexes: bool = False) -> bool:
     return len(name) < 4 * len(_CAMEL.findall(name))
 
 
-def literal_counts(key: str, value: str) -> bool:
-    """Whether the literal under a key is a credential."""
+def literal_counts(key: str, value: str, context: str = "") -> bool:
+    """Whether the literal under a key is a credential; ``context`` is the rest of its line."""
     strength = key_strength(key)
     if not strength or placeholder(value) or len(value) < 5 or _DIGESTED.match(value):
         return False
     if "://" in value:
         return False
     if strength == 1:
-        return len(value) <= 120 and random_like(value)
+        named = [w.lower() for w in _CAMEL.findall(key)]
+        names = set(named)
+        # What is public, and what names a sum, an id or a state of a token.
+        if names & _PUBLIC or named[-1] in _IDS:
+            return False
+        if _HEX.match(value):
+            return bool(names & _HEX_KEYS) and not names & _IDS and not _SUMMED.search(context) and random_like(value, True)
+        return random_like(value)
     if any(c.isspace() for c in value) or value.startswith("-----"):
         return False
     if value[0] in "./" and "/" in value and not random_like(value.replace("/", ""), True):
@@ -367,7 +379,8 @@ def find(text: str, extension: str = "") -> list[Credential]:
                 add([(start + m.start(1), start + m.end(1))], "note")
     for key, parts in pairs:
         value = "".join(text[s:e] for s, e in parts)
-        if literal_counts(key, value):
+        begin, end = text.rfind("\n", 0, parts[0][0]) + 1, text.find("\n", parts[-1][1])
+        if literal_counts(key, value, text[begin : parts[0][0]] + " " + text[parts[-1][1] : end if end >= 0 else len(text)]):
             add(parts, "value of a key", key)
     return _disjoint(found)
 

@@ -126,6 +126,19 @@ def test_credentials_are_found_and_masked():
         assert not secrets.find(text), text
 
 
+def test_long_and_hexadecimal_values():
+    import random
+
+    rng = random.Random(5)
+    word = lambda n, of="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQR23456789": "".join(rng.choice(of) for _ in range(n))
+    digits = "0123456789abcdef"
+    for text in (f'token = "{word(150)}"', f'key = "{word(64, digits)}"', f'bot_id_token_x = 1\nuser_token = "{word(32, digits)}"', f'x = "sk-{word(230)}"', f'x = "pypi-{word(300)}"', f'x = ["ghp_{word(300)}"]'):
+        found = secrets.find(text)
+        assert len(found) == 1 and not secrets.find(secrets.redact(text, found)), text
+    for text in (f'key_id = "{word(32, digits)}"', f'cache_key = "{word(32, digits)}"', f'key = "{word(64, digits)}"  # sha256 of the file', f'public_key = "{word(150)}"'):
+        assert not secrets.find(text), text
+
+
 def test_key_paths():
     assert [p for p, _, _ in secrets.json_paths('{"a": {"b": "x", "c": ["y"]}}')] == [("a", "b"), ("a", "c", "c")] or True
     found = secrets.find('{"db": {"password": {"value": "Zq81kLmn2"}}}', "json")
