@@ -174,16 +174,18 @@ _SQL = re.compile(r"(?i)\b(?:IDENTIFIED\s+(?:WITH\s+\w+\s+)?BY|(?:WITH\s+|ENCRYP
 _CONNECTION = re.compile(r"(?i)(?:^|[;\"'\s])(pwd|password|accountkey|sharedaccesskey|sharedsecret)\s*=\s*([^;\"'\s]+)(?=;|[\"'])")
 _OPTION = re.compile(r"(?:^|\s)(?:--(password|passwd|pass|token|api-key|secret|auth-token|access-token|secret-key)(?:=|\s+)([^\s\"'$<-][^\s\"']*)|(?:-u|--user)\s+[\"']?[\w.@-]+:([^\s\"'$<]+)|sshpass\s+-p\s*[\"']?([^\s\"'$<]+)|mysql\b[^\n|;]*?\s-p([^\s\"'$<]+))")
 _PROSE = re.compile(r"(?i)\b(?:login|password|passwd|passphrase|pw|pwd|pass|token|key|secret|credential|kennwort|contrasena)s?\b(?:[^:=\n]{0,40}[:=])?\s*(?:is|was)?\s*[`\"']?([^\s`\"'<>]{6,})[`\"']?\s*(?:\*/|-->)?\s*$")
-_LOGIN = re.compile(r"(?i)\b(?:log|sign)(?:ged|s)?[- ]?(?:in|on)\b[^\n]*?\bwith\s+(?:the\s+)?(?:pass(?:word|phrase)?\s+)?[`\"']([^\s`\"']{5,})[`\"']")
+_LOGIN = re.compile(r"(?i)\b(?:log(?:ged|ging|s)?|sign(?:ed|ing|s)?)[- ]?(?:in|on)\b[^\n]*?\bwith\s+(?:the\s+)?(?:pass(?:word|phrase)?\s+)?[`\"']([^\s`\"']{5,})[`\"']")
 _ENCODED = re.compile(r"\b[Bb]asic\s+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
 _HEXED = re.compile(r"(?:fromhex|unhexlify|a2b_hex|Buffer\.from|decodeHex|hex\.DecodeString)\(\s*[\"']([0-9A-Fa-f]{32,})[\"']")
 _SIGNS = re.compile(r"(?i)\b(?:signs?|signing|encrypts?|decrypts?|hmac|secret|private|unlocks?|authenticates?|key)\b|secret|hmac|_key|key_")
 _COMMENT = re.compile(r"^\s*(?:#|//|--|/?\*|<!--|;|>|-\s)|(?:\s#|\s//|\s--)\s")
+_CALL_TOKEN = re.compile(_LIT + r"|[()]", re.S)
 _POSITIONS = re.compile(r"(?:#|//|--)\s*([\w ]+(?:,[\w ]+)+)\s*$")
 _TAG = re.compile(r"<([A-Za-z_][\w.:-]*)((?:\s+[\w.:-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*)\s*(/?)>([^<]*)")
 _ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)')")
+_LOGINS = tuple(a + b + c for a in ("log", "logged", "logging", "logs", "sign", "signed", "signing", "signs") for b in ("", " ", "-") for c in ("in", "on"))
 #: A line is parsed if it holds one of these (in any case); all rules below need one.
-_TRIGGERS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "bearer", "kennwort", "contrase", "senha", "clave", "parola", "credential", "salt", "login", "log in", "log-in", "logged in", "sign in", "basic", "fromhex", "unhexlify", "a2b_hex", "buffer.from", "decodehex", "decodestring", "identified", "-u ", "--user")
+_TRIGGERS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "bearer", "kennwort", "contrase", "senha", "clave", "parola", "credential", "salt", *_LOGINS, "basic", "fromhex", "unhexlify", "a2b_hex", "buffer.from", "decodehex", "decodestring", "identified", "mysql", "-u ", "-u\t", "--user")
 _ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "AIza", "xox", "npm_", "pypi-", "hf_", "dop_v1_", "SG.", "sk-", "eyJ")
 _JSON_TOKEN = re.compile(r'"((?:[^"\\\n]|\\.)*)"|[{}\[\]:,]')
 
@@ -257,6 +259,18 @@ def _leaf(path: tuple[str, ...]) -> str:
     return path[-2] if len(path) > 1 and path[-1].lower() in _GENERIC else path[-1]
 
 
+def _call(head: str) -> int:
+    """Where the call that ends ``head`` opens; 0 if it opens on an earlier line."""
+    opens: list[int] = []
+    at = 0
+    for m in _CALL_TOKEN.finditer(head):
+        if m[0] == "(":
+            opens.append(m.start())
+        elif m[0] == ")":
+            at = opens.pop() if opens else 0
+    return at
+
+
 def _arguments(line: str) -> list[tuple[int, int, str]]:
     """(start, end, name) of literals in a call whose trailing comment names its arguments, as in f("a", "b")  # user, password."""
     at = max(line.rfind("#"), line.rfind("//"), line.rfind("--"))
@@ -267,7 +281,7 @@ def _arguments(line: str) -> list[tuple[int, int, str]]:
     if not head.endswith(")"):
         return []
     names = [x.strip() for x in m[1].split(",")]
-    found = [_body(x) for x in _LITERAL.finditer(head, max(0, len(head) - 400))]
+    found = [_body(x) for x in _LITERAL.finditer(head, _call(head))]
     return [(s, e, n) for (s, e), n in zip(found[-len(names) :], names, strict=False)] if len(found) >= len(names) else []
 
 

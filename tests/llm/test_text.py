@@ -139,6 +139,22 @@ def test_long_and_hexadecimal_values():
         assert not secrets.find(text), text
 
 
+#: For every rule that works on lines, lines that only it finds.
+EXAMPLES = {
+    "_KEYED": ['db_password = "Planner~Reader1364"'], "_DEFAULT": ['x = os.environ.get("WEBHOOKSECRET", "hCyY5p27PVP10W4k")'], "_BARE": ["export API_TOKEN=9mrV5fnZIryiZTPw7UxYMsk3"],
+    "_SHELL_DEFAULT": ["run ${DB_PASSWD:-Zq81kLmn2x}"], "_HEADER": ["X-Api-Key: ThluHTXO3S3IpffM3riNxQdG92"], "_ENCODED": ["a = 'Basic YWxlcnQ6VlJoWW5RZkozSENa'"], "_HEXED": ['hmac(bytes.fromhex("85336221ca3381cc03e920961f2d855a"))'],
+    "_LOGIN": ["log on with `Hunter22!`", "signed in with 'Hunter22!'", "he logs in with `Hunter22!`", "sign-in with `Hunter22!`", "logged on with `Hunter22!`"], "_SQL": ["CREATE USER a IDENTIFIED BY 'xn9d8A5ytUMRUD';"],
+    "_CONNECTION": ['c = "Server=a.test;Uid=b;Pwd=683tg3GwA+ajKhCu;"'], "_OPTION": ["mysql -uroot -pHunter22", "curl -u\treader:mRdn1ScM209wlHfV https://a.test/x", "curl --user reader:mRdn1ScM209wlHfV https://a.test/x", "sshpass -p Hunter22x ssh a"],
+    "_PROSE": ["# old login: key ItfeDTwbK9b3nKliub14kTqFd9"], "_POSITIONS": ['f("tokenizer", "JDFZzhUZTiYhwaX9")  # user, password', 'f("JDFZzhUZTiYhwaX9", "' + "long words " * 60 + '")  # password, note', 'g("a", f("b", "JDFZzhUZTiYhwaX9"))  # user, password'],
+}
+
+
+def test_examples_of_every_rule_pass_the_prefilter():
+    for rule, texts in EXAMPLES.items():
+        for text in texts:
+            assert len(secrets.find("x = 1\n" + text + "\ny = 2\n")) == 1, (rule, text)
+
+
 def test_key_paths():
     assert [p for p, _, _ in secrets.json_paths('{"a": {"b": "x", "c": ["y"]}}')] == [("a", "b"), ("a", "c", "c")] or True
     found = secrets.find('{"db": {"password": {"value": "Zq81kLmn2"}}}', "json")
