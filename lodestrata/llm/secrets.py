@@ -44,6 +44,9 @@ _PUBLIC = frozenset("public pub cert certificate fingerprint".split())
 _HEX_KEYS = frozenset("token tokens key keys".split())
 _IDS = frozenset("id ids uid uuid guid ref refs sha sha1 sha256 sha512 md5 crc checksum checksums sum hash hashes digest etag hint commit revision rev version cache idempotency dedup primary foreign partition sort object content index".split())
 _SUMMED = re.compile(r"(?i)checksum|\bsha-?(?:1|256|384|512)?\b|\bmd5\b|digest|fingerprint|\bhash\b|\bids?\b")
+#: Keys whose value names what a sibling holds, and those siblings.
+_NAMING = frozenset("name key id property variable var".split())
+_VALUED = frozenset("value val data literal default content string".split())
 _GENERIC = frozenset("value default data content text string literal val".split())
 #: Words run together, as in capitals: what they end with, and what may stand before a shorter end.
 _ENDS = ("password", "passwd", "passphrase", "passcode", "passwort", "kennwort", "contrasena", "secret", "credential", "credentials", "apikey")
@@ -179,6 +182,12 @@ _ENCODED = re.compile(r"\b[Bb]asic\s+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])
 _HEXED = re.compile(r"(?:fromhex|unhexlify|a2b_hex|Buffer\.from|decodeHex|hex\.DecodeString)\(\s*[\"']([0-9A-Fa-f]{32,})[\"']")
 _SIGNS = re.compile(r"(?i)\b(?:signs?|signing|encrypts?|decrypts?|hmac|secret|private|unlocks?|authenticates?|key)\b|secret|hmac|_key|key_")
 _COMMENT = re.compile(r"^\s*(?:#|//|--|/?\*|<!--|;|>|-\s)|(?:\s#|\s//|\s--)\s")
+_FLOW_TOKEN = re.compile(r"\"\"\"([\s\S]*?)\"\"\"|'''([\s\S]*?)'''|\"((?:[^\"\\\n]|\\.)*)\"|'([^'\n]*)'|([^\s\"'{}\[\],:=#][^\s{}\[\],:=#]*)|#[^\n]*|[{}\[\],:=\n]")
+_SECTION = re.compile(r"[ \t]*\[\[?[ \t]*([^\[\]\n]+?)[ \t]*\]\]?[ \t]*(?:[#;].*)?\r?$")
+_ASSIGNED = re.compile(r"[ \t]*(?:export[ \t]+)?((?:[\w-]+|\"[^\"\n]*\"|'[^'\n]*')(?:[ \t]*\.[ \t]*(?:[\w-]+|\"[^\"\n]*\"|'[^'\n]*'))*)[ \t]*[=:][ \t]*")
+_PLAIN = re.compile(r"[ \t]*([^\s\"'`#(){}<>&*!|\[]\S*)[ \t]*(?:[#;].*)?\r?$")
+_YAML = re.compile(r"([ ]*(?:-[ ]+)*)(\"[^\"\n]*\"|'[^'\n]*'|[^\s#:{}\[\],&*!|>'\"%@`-][^:#\n]*?)[ ]*:(?:[ \t]+(?:![\w!]*[ \t]+)?|(?=\r?$))")
+_SCALAR = re.compile(r"[|>][-+0-9]*[ \t]*(?:#.*)?\r?$")
 _CALL_TOKEN = re.compile(_LIT + r"|[()]", re.S)
 _POSITIONS = re.compile(r"(?:#|//|--)\s*([\w ]+(?:,[\w ]+)+)\s*$")
 _TAG = re.compile(r"<([A-Za-z_][\w.:-]*)((?:\s+[\w.:-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*)\s*(/?)>([^<]*)")
@@ -209,16 +218,60 @@ def _chain(text: str, at: int, group: bool) -> list[tuple[int, int]]:
     return parts
 
 
-def json_paths(text: str) -> Iterator[tuple[tuple[str, ...], int, int]]:
-    """(key path, start, end) of every string value of JSON, whole or a fragment."""
+#: Where a value stands: the mapping that holds it, its key path, start and end.
+Entry = tuple[int, tuple[str, ...], int, int]
+
+
+def _flow(text: str, at: int, end: int, sign: str, base: tuple[str, ...], mapping: int, line_ends: bool) -> tuple[list[Entry], int]:
+    """String values of a value in brackets, of JSON, TOML and YAML alike, and where it ends; keys stand before ``sign``."""
+    out: list[Entry] = []
+    stack: list[tuple[tuple[str, ...], int, bool]] = []
+    path, here, listed, waiting = base, mapping, True, False
+    held: tuple[str, int, int] | None = None
+    last = at
+    for m in _FLOW_TOKEN.finditer(text, at, end):
+        c, last = m[0][0], m.end()
+        if c == "\n" and not line_ends or c == "#":
+            continue
+        g = next((k for k in range(1, 6) if m[k] is not None), 0)
+        if g:
+            held = (m[g], *m.span(g))
+            continue
+        if c in sign:
+            if not stack or not stack[-1][2]:
+                waiting, path = True, (*(stack[-1][0] if stack else base), *((held[0],) if held else ()))
+                held = None
+            continue
+        if held:
+            if waiting or listed and stack and stack[-1][2]:
+                out.append((here, path, held[1], held[2]))
+            held = None
+        if c in "{[":
+            stack.append((path, here, c == "["))
+            here = here if c == "[" else m.start() + 1
+            listed, waiting = c == "[", False
+        elif c in "}]" and stack:
+            path, here, _ = stack.pop()
+            waiting = False
+            if not stack:
+                break
+        else:
+            waiting = False
+            path = stack[-1][0] if stack else base
+    return out, last
+
+
+def json_entries(text: str) -> Iterator[Entry]:
+    """Every string value of JSON, whole or a fragment."""
     stack: list[str | None] = []
+    objects = [0]
     key: str | None = None
     waiting = False
     for m in _JSON_TOKEN.finditer(text):
         c = m[0][0]
         if c == '"':
             if waiting or (stack and stack[-1] is not None and stack[-1].startswith("[")):
-                yield (*(k.lstrip("[") for k in stack if k), key or ""), *m.span(1)
+                yield objects[-1], (*(k.lstrip("[") for k in stack if k), key or ""), *m.span(1)
                 waiting = False
             else:
                 key = m[1]
@@ -226,15 +279,106 @@ def json_paths(text: str) -> Iterator[tuple[tuple[str, ...], int, int]]:
             waiting = True
         elif c in "{[":
             stack.append(("[" if c == "[" else "") + (key or "") if waiting or c == "[" else "")
+            objects.append(m.start() + 1)
             waiting = False
         elif c in "}]":
             if stack:
                 stack.pop()
+                objects.pop()
             waiting = False
         else:
             waiting = False
 
 
+def json_paths(text: str) -> Iterator[tuple[tuple[str, ...], int, int]]:
+    """(key path, start, end) of every string value of JSON, whole or a fragment."""
+    return (x[1:] for x in json_entries(text))
+
+
+def _keys(dotted: str) -> tuple[str, ...]:
+    return tuple(k.strip().strip("\"'") for k in re.findall(r"\"[^\"\n]*\"|'[^'\n]*'|[^.\"'\s]+", dotted))
+
+
+def section_entries(text: str, brackets: bool = True) -> Iterator[Entry]:
+    """Values of TOML (with values in ``brackets``), INI and properties under their sections, whole or a fragment."""
+    section: tuple[str, ...] = ()
+    mapping = at = 0
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if m := _SECTION.match(text, at, end):
+            section, mapping = _keys(m[1]), at + 1
+        elif m := _ASSIGNED.match(text, at, end):
+            path = section + _keys(m[1])
+            if v := _LITERAL.match(text, m.end()):
+                yield mapping, path, *_body(v)
+                end = max(end, v.end())
+            elif brackets and text[m.end() : m.end() + 1] in ("{", "["):
+                found, z = _flow(text, m.end(), len(text), "=", path, mapping, False)
+                yield from found
+                end = max(end, z)
+            elif v := _PLAIN.match(text, m.end(), end):
+                yield mapping, path, *v.span(1)
+        at = end + 1
+
+
+def yaml_entries(text: str) -> Iterator[Entry]:
+    """Values of YAML under the keys that indent them, block scalars included, whole or a fragment."""
+    open_keys: list[tuple[int, str]] = []
+    items: list[tuple[int, int]] = []  # mappings by their indent
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        m = _YAML.match(text, at, end)
+        if m:
+            indent = m.end(1) - at
+            dashed = "-" in m[1]
+            outer = len(m[1]) - len(m[1].lstrip(" "))
+            while open_keys and open_keys[-1][0] >= (outer + 1 if dashed and open_keys[-1][0] < indent else indent):
+                open_keys.pop()
+            while items and (items[-1][0] > indent or dashed and items[-1][0] >= indent):
+                items.pop()
+            if not items or items[-1][0] < indent:
+                items.append((indent, at + 1))
+            key = m[2].strip().strip("\"'")
+            path, mapping, v = (*(k for _, k in open_keys), key), items[-1][1], m.end()
+            if q := _LITERAL.match(text, v, end):
+                yield mapping, path, *_body(q)
+            elif text[v : v + 1] in ("{", "["):
+                found, z = _flow(text, v, len(text), ":", path, mapping, False)
+                yield from found
+                end = max(end, z)
+            elif _SCALAR.match(text, v, end):
+                rows, z = [], end
+                while z < len(text):
+                    to = text.find("\n", z + 1)
+                    to = len(text) if to < 0 else to
+                    row = text[z + 1 : to]
+                    if row.strip() and len(row) - len(row.lstrip()) <= outer:
+                        break
+                    if row.strip():
+                        rows.append((z + 1 + len(row) - len(row.lstrip()), z + 1 + len(row.rstrip())))
+                    z = to
+                if rows:
+                    yield mapping, path, rows[0][0], rows[-1][1]
+            elif b := _PLAIN.match(text, v, end):
+                yield mapping, path, *b.span(1)
+            elif not text[v:end].strip() or text[v] == "#":
+                open_keys.append((indent, key))
+        at = end + 1
+
+
+def _named(text: str, entries: list[Entry]) -> Iterator[tuple[str, int, int]]:
+    """(key, start, end) of values; one under a generic key goes by its sibling's name or by the key above, whichever tells more."""
+    names = {c: text[s:e] for c, p, s, e in entries if p and p[-1].lower() in _NAMING}
+    for c, p, s, e in entries:
+        key = _leaf(p)
+        if p[-1].lower() in _VALUED and c in names and key_strength(names[c]) > key_strength(key):
+            key = names[c]
+        yield key, s, e
+
+
 def xml_paths(text: str) -> Iterator[tuple[tuple[str, ...], int, int]]:
     """(key path, start, end) of attribute values and of element texts, whole or a fragment."""
     for m in _TAG.finditer(text):
@@ -335,7 +479,11 @@ def find(text: str, extension: str = "") -> list[Credential]:
         return _disjoint(found)
     pairs: list[tuple[str, list[tuple[int, int]]]] = []
     if extension == "json":
-        pairs += [(_leaf(p), [(s, e)]) for p, s, e in json_paths(text)]
+        pairs += [(k, [(s, e)]) for k, s, e in _named(text, list(json_entries(text)))]
+    elif extension in ("toml", "ini", "cfg", "conf", "properties"):
+        pairs += [(k, [(s, e)]) for k, s, e in _named(text, list(section_entries(text, extension == "toml")))]
+    elif extension in ("yaml", "yml"):
+        pairs += [(k, [(s, e)]) for k, s, e in _named(text, list(yaml_entries(text)))]
     if "</" in text or "/>" in text:
         pairs += [(_leaf(p), [(s, e)]) for p, s, e in xml_paths(text)]
     loose = extension in ("env", "ini", "cfg", "conf", "properties", "yaml", "yml")

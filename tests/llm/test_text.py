@@ -161,6 +161,19 @@ def test_key_paths():
     assert [(c.key, c.rule) for c in found] == [("password", "value of a key")]
 
 
+def test_key_paths_of_configuration():
+    v = "Zq81kLmn2x"
+    for extension, text in (
+        ("toml", f'[auth.password]\nvalue = "{v}"\n'), ("toml", f'[auth]\npassword = {{ kind = "a", value = "{v}" }}\n'), ("toml", f'[[env]]\nname = "DB_PASSWORD"\nvalue = "{v}"\n[[env]]\nname = "MODE"\nvalue = "Rq81kLmn2z"\n'),
+        ("ini", f"[smtp.password]\nvalue = {v}\n[other]\nvalue = Rq81kLmn2z\n"), ("properties", f"db.password.value={v}\n"),
+        ("yaml", f"env:\n  - name: DB_PASSWORD\n    value: {v}\n  - name: MODE\n    value: Rq81kLmn2z\n"), ("yml", f"env:\n- value: '{v}'\n  name: DB_PASSWORD\n"), ("yaml", f"db:\n  password:\n    value: {v}\n  other:\n    value: Rq81kLmn2z\n"),
+        ("yaml", f"db:\n  password: |-\n    {v}\n  user: Rq81kLmn2z\n"), ("yaml", f"env: [{{name: DB_PASSWORD, value: {v}}}, {{name: MODE, value: Rq81kLmn2z}}]\n"), ("json", f'{{"env": [{{"name": "DB_PASSWORD", "value": "{v}"}}, {{"name": "MODE", "value": "Rq81kLmn2z"}}]}}'),
+    ):
+        found = secrets.find(text, extension)
+        assert [text[c.start : c.end] for c in found] == [v], text
+        assert secrets.redact(text, found) == text.replace(v, "REDACTED")
+
+
 def test_scan_table(spark):
     chunks = spark.createDataFrame([("c1", "a.py", "x\r\nké = 1\npassword = 'Zq81kLmn2x'\n", 3), ("c1", "a.py", "x\r\nké = 1\npassword = 'Zq81kLmn2x'\n", 4), ("c2", "a.py", None, 1), ("c3", None, "", 1)], "chunk_id string, path string, text string, line_no int")
     vectors = spark.createDataFrame([(5, "a.py", "y = 1\nurl='redis://a:Lw4AavtfUg7fp0f@h/x'")], "vec_id bigint, path string, text string")
