@@ -112,9 +112,21 @@ def _floats(col: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def nearest_classes(reps: DataFrame, k: int, probes: int = PROBES, cell: int = CELL) -> DataFrame:
+def reach(x: np.ndarray, c: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Greatest cosine that each unit vector can have with a unit vector within ``radius`` of each centre."""
+    by_length = x @ c.T + radius
+    size = np.maximum(np.linalg.norm(c, axis=1), 1e-9)
+    least = np.clip((1 + size * size - radius * radius) / (2 * size), -1, 1)
+    angle = np.arccos(np.clip(x @ c.T / size, -1, 1)) - np.arccos(least)
+    return np.minimum(by_length, np.cos(np.maximum(0, angle)))
+
+
+def nearest_classes(reps: DataFrame, k: int, probes: int = PROBES, cell: int = CELL, least: float = -2.0) -> DataFrame:
     """(gid, id, near array<struct<id, cos>>) of every vector of ``reps`` (gid, id, vector, ask) that asks.
 
+    A query visits its ``probes`` nearest cells, then every other cell that by its radius can hold a vector as near as
+    its k-th best so far; with ``least``, only cells that can hold a cosine of at least that.
+
     ``reps`` must hold distinct vectors.  Centres are fitted on at most ``SAMPLE`` rows a group, in order of a hash of
     the id; the number of cells follows the group's size.
     """
@@ -198,23 +210,77 @@ def nearest_classes(reps: DataFrame, k: int, probes: int = PROBES, cell: int = C
                     ["gid", "id", "near"],
                 )
 
-    rows = reps.select("gid", "id", "vector", "ask").mapInArrow(spread, "gid int, cell int, block int, kind byte, id bigint, code binary, size float, f float, vec binary")
-    near = (
-        rows.repartition(max(parallelism(spark), sum(int(m[3].sum()) for m in model.values())), "gid", "cell", "block")
-        .sortWithinPartitions("gid", "cell", "block", "kind")
-        .mapInArrow(answer, "gid int, id bigint, near array<struct<id: bigint, cos: double>>")
-    )
-    best = F.array_sort(F.flatten(F.collect_list("near")), lambda a, b: F.when(a["cos"] > b["cos"], -1).when(a["cos"] < b["cos"], 1).otherwise(F.signum((a["id"] - b["id"]).cast("double")).cast("int")))
-    return near.groupBy("gid", "id").agg(F.slice(best, 1, k).alias("near"))
+    layout = "gid int, cell int, block int, kind byte, id bigint, code binary, size float, f float, vec binary"
+    rows = reps.select("gid", "id", "vector", "ask").mapInArrow(spread, layout)
 
+    def answered(rows: DataFrame) -> DataFrame:
+        return (
+            rows.repartition(max(parallelism(spark), sum(int(m[3].sum()) for m in model.values())), "gid", "cell", "block")
+            .sortWithinPartitions("gid", "cell", "block", "kind")
+            .mapInArrow(answer, "gid int, id bigint, near array<struct<id: bigint, cos: double>>")
+        )
 
-def nearest(vectors: DataFrame, k: int = 5, probes: int = PROBES, cell: int = CELL, query_mod: int = 1) -> DataFrame:
+    order = lambda a, b: F.when(a["cos"] > b["cos"], -1).when(a["cos"] < b["cos"], 1).otherwise(F.signum((a["id"] - b["id"]).cast("double")).cast("int"))
+    best = F.array_sort(F.flatten(F.collect_list("near")), order)
+    if all(len(m[1]) <= probes for m in model.values()):
+        return answered(rows).groupBy("gid", "id").agg(F.slice(best, 1, k).alias("near"))
+
+    rows = stage(rows, "codes")
+    first = stage(answered(rows).groupBy("gid", "id").agg(F.slice(best, 1, k).alias("near")), "first")
+    radius = {g: np.full(len(m[1]), -np.inf) for g, m in model.items()}
+    for g, own, size in rows.where("kind = 0").groupBy("gid", "cell").agg(F.max("size")).collect():
+        radius[g][own] = size + 1e-5
+    radii = spark.sparkContext.broadcast(radius)
+
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1024):
+                batch = whole.slice(s, 1024)
+                gids = batch.column(0).to_numpy()
+                for g in np.unique(gids).tolist():
+                    dim, c, _, blocks = held.value[g]
+                    if len(c) <= probes:
+                        continue
+                    at = pa.array(np.flatnonzero(gids == g))
+                    part = batch.take(at)
+                    raw = np.array(part.column(2).flatten().to_numpy(), np.float32).reshape(-1, dim)
+                    x, i, floor = unit(raw), part.column(1).to_numpy(), part.column(3).to_numpy()
+                    near = x.astype(np.float32) @ c.T - 0.5 * (c * c).sum(1)
+                    # Cells at the edge of the first visit may be met again.
+                    edge = -np.partition(-near, probes - 1, axis=1)[:, probes - 1]
+                    there = np.isfinite(radii.value[g])
+                    cols = np.flatnonzero(there)
+                    can = np.zeros(near.shape, bool)
+                    can[:, cols] = reach(x, c[cols].astype(np.float64), radii.value[g][cols]) >= floor[:, None] - 1e-5
+                    a, cc = np.nonzero(can & (near <= edge[:, None] + 1e-4))
+                    b = np.concatenate([np.arange(n) for n in blocks[cc]] or [np.zeros(0, int)])
+                    a, cc = np.repeat(a, blocks[cc]), np.repeat(cc, blocks[cc])
+                    for z in range(0, len(a), 65536):
+                        aa = a[z : z + 65536]
+                        n = len(aa)
+                        none = pa.nulls(n, pa.float32())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, g), types[0]), pa.array(cc[z : z + n], types[1]), pa.array(b[z : z + n], types[2]), pa.array(np.ones(n), types[3]), pa.array(i[aa], types[4]), pa.nulls(n, pa.binary()), none, none, pa.array([raw[j].tobytes() for j in aa.tolist()], types[8])], names
+                        )
+
+    kth = F.greatest(F.lit(float(least)), F.coalesce(F.when(F.size("near") >= k, F.element_at("near", k)["cos"]), F.lit(-2.0)))
+    asked = reps.where("ask").select("gid", "id", "vector").join(first, ["gid", "id"], "left").select("gid", "id", "vector", kth.alias("floor"))
+    second = answered(rows.where("kind = 0").unionByName(asked.mapInArrow(more, layout))).groupBy("gid", "id").agg(F.slice(best, 1, 2 * k).alias("late"))
+    none = F.array().cast("array<struct<id: bigint, cos: double>>")
+    # A vector met twice counts once.
+    both = first.join(second, ["gid", "id"], "full").select("gid", "id", F.coalesce("near", none).alias("near"), F.coalesce("late", none).alias("late"))
+    new = F.filter("late", lambda x: ~F.exists("near", lambda y: y["id"] == x["id"]))
+    return both.select("gid", "id", F.slice(F.array_sort(F.concat("near", new), order), 1, k).alias("near"))
+
+
+def nearest(vectors: DataFrame, k: int = 5, probes: int = PROBES, cell: int = CELL, query_mod: int = 1, least: float = -2.0) -> DataFrame:
     """The ``k`` most similar vectors (cosine) of the same embed_model and dim, for every vector or a stated query set.
 
     Columns: vec_id, rank (1..k), near_id, cosine.  Ties go to the smaller id.  Vectors that are null, of the wrong
     length, not finite or all zero, and rows without id, model or dim, take no part; a repeated row counts once.
     Exact copies are one entry of the index and are expanded afterwards, at most ``k`` for each vector.  With
-    ``query_mod`` only vectors whose id is divisible by it are asked about, against all.
+    ``query_mod`` only vectors whose id is divisible by it are asked about, against all.  With ``least`` those of at
+    least that cosine are listed whole, others perhaps.
     """
     v = usable(vectors)
     v = v.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit("second"), "vector")})
@@ -228,7 +294,7 @@ def nearest(vectors: DataFrame, k: int = 5, probes: int = PROBES, cell: int = CE
     members = v.select("gid", "h1", "h2", "vec_id").distinct().join(reps.select("gid", "h1", "h2", "id"), ["gid", "h1", "h2"]).select("gid", "id", "vec_id")
     w = Window.partitionBy("gid", "id").orderBy("vec_id")
     first = members.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1).groupBy("gid", "id").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    near = nearest_classes(reps, k, probes, cell)
+    near = nearest_classes(reps, k, probes, cell, least)
     flat = near.select("gid", "id", F.explode("near").alias("n")).select("gid", "id", F.col("n.id").alias("other"), F.col("n.cos").alias("cosine"))
     others = flat.join(first.select("gid", F.col("id").alias("other"), "ids"), ["gid", "other"]).groupBy("gid", "id").agg(F.collect_list(F.struct("cosine", "ids")).alias("others"))
     own = first.join(reps.where("ask").select("gid", "id"), ["gid", "id"]).join(others, ["gid", "id"], "left")
@@ -246,5 +312,5 @@ def nearest(vectors: DataFrame, k: int = 5, probes: int = PROBES, cell: int = CE
 
 def alike(vectors: DataFrame, least: float = 0.9, k: int = 5) -> DataFrame:
     """(vec_id_a < vec_id_b) with cosine at least ``least`` of which one is among the other's ``k`` most similar."""
-    n = nearest(vectors, k).where(F.col("cosine") >= least)
+    n = nearest(vectors, k, least=least - 1e-9).where(F.col("cosine") >= least)
     return n.select(F.least("vec_id", "near_id").alias("vec_id_a"), F.greatest("vec_id", "near_id").alias("vec_id_b")).distinct()

@@ -74,6 +74,24 @@ def test_nearest_against_brute_force(spark):
     assert knn.nearest(df.limit(0)).count() == 0
 
 
+def test_no_cell_that_may_hold_a_neighbour_is_skipped(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 12)).astype(np.float32)
+    x[:300] = x[300:] + 0.3 * rng.standard_normal((300, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, "m", 12, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embed_model string, dim int, vector array<float>")
+    u = knn.unit(x)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    order = np.argsort(-s, axis=1)[:, :5]
+    for least in (-2.0, 0.9):
+        got = defaultdict(set)
+        for r in knn.nearest(df, 5, probes=2, cell=16, least=least).collect():
+            got[r.vec_id].add(r.near_id)
+        want = [(i, j) for i in range(600) for j in order[i].tolist() if s[i, j] >= least]
+        assert all(len(v) <= 5 for v in got.values()) and len(want) > 300
+        assert sum(j in got[i] for i, j in want) / len(want) > 0.97
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(5)
     raw = rng.standard_normal((400, 32)).astype(np.float32)
