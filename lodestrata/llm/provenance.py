@@ -171,17 +171,21 @@ def _overlap(before: list[str], lines: list[str]) -> int:
 def _stats_of(table: DataFrame) -> DataFrame:
     """Statistics of each row of (repo, path, chunk_index, text); the parts of a file come together and in order.
 
-    A chunk_index of null or 0 begins a file; the heading of a file may run on into its later parts.
+    A row that follows its equal is left out.  A chunk_index of null or 0 begins a file; the heading of a file may run on into its later parts.
     """
     names = ["repo", "path", *STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None, None)
+        same: tuple | None = None
         before, states, start, line_no = [], [], None, 0
         for batch in batches:
-            got = []
-            for repo, path, index, t in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            got, keep = [], []
+            for k, (repo, path, index, t) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True)):
                 text = t.as_py()
+                if same == (same := (repo, path, index, text)):
+                    continue
+                keep.append(k)
                 lines = text.splitlines()
                 if not index:
                     state, line_no = "", 0
@@ -195,7 +199,8 @@ def _stats_of(table: DataFrame) -> DataFrame:
                 last, before, states, start = (repo, path, index or 0), lines, now, state
                 got.append(statistics(text, found))
             cols = list(zip(*got, strict=True)) if got else [[]] * len(STATS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in cols]], names)
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *[pa.array(x, pa.int64()) for x in cols]], names)
 
     rows = table.select("repo", "path", "chunk_index", F.coalesce("text", F.lit("")).alias("text")).where(F.col("repo").isNotNull() & F.col("path").isNotNull())
     return rows.mapInArrow(run, "repo string, path string, " + ", ".join(f"{s} bigint" for s in STATS))
@@ -212,7 +217,7 @@ def labelled(files: DataFrame, chunks: DataFrame) -> DataFrame:
     parts = chunks.select("repo", "path", "text", "chunk_index")
     known = files.select("repo", "path").distinct()
     parts = parts.join(known, ["repo", "path"], "left_anti").repartition("repo", "path").sortWithinPartitions("repo", "path", "chunk_index", "text")
-    parts = _stats_of(parts).distinct()
+    parts = _stats_of(parts)
     parts = parts.groupBy("repo", "path").agg(*[F.sum(s).alias(s) for s in STATS])
     judged = whole.unionByName(parts)
     evidence = _evidence(F.col("path"))

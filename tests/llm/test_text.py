@@ -219,3 +219,13 @@ def test_marks_below_a_long_heading(spark):
     later = ("t_pb2.py", hand * 4 + "# " + made + hand)
     files = spark.createDataFrame([("q", *later)], "repo string, path string, text string")
     assert [r.label for r in provenance.labelled(files, spark.createDataFrame(chunks[:0], "repo string, path string, text string, chunk_index int")).collect()] == ["generated"]
+
+
+def test_chunks_of_equal_counts_all_count(spark):
+    part = lambda k: "".join(f"ROW_{k}{n} = load({k}{n})\n" for n in range(6))
+    chunks = [("r", "a.py", part(k), k) for k in range(1, 9)] + [("r", "a.py", part(3), 3)]
+    df = spark.createDataFrame(chunks, "repo string, path string, text string, chunk_index int")
+    files = df.limit(0).drop("chunk_index")
+    assert [(r.path, r.label) for r in provenance.labelled(files, df).collect()] == [("a.py", "generated")]
+    ordered = df.repartition(1).sortWithinPartitions("repo", "path", "chunk_index", "text")
+    assert [tuple(r) for r in provenance._stats_of(ordered).groupBy("path").agg({"rows": "sum"}).collect()] == [("a.py", 48)]
