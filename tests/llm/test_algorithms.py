@@ -57,7 +57,7 @@ def test_nearest_against_brute_force(spark):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -9)
-    for settings in ({}, {"cell": 64, "probes": 64}):
+    for settings in ({}, {"cell": 64}):
         got = defaultdict(dict)
         for r in knn.nearest(df, 5, **settings).collect():
             got[r.vec_id][r.near_id] = r.cosine
@@ -74,32 +74,53 @@ def test_nearest_against_brute_force(spark):
     assert knn.nearest(df.limit(0)).count() == 0
 
 
-def test_no_cell_that_may_hold_a_neighbour_is_skipped(spark):
+def test_recall_holds_where_cells_are_skipped(spark):
     rng = np.random.default_rng(8)
-    x = rng.standard_normal((600, 12)).astype(np.float32)
-    x[:300] = x[300:] + 0.3 * rng.standard_normal((300, 12)).astype(np.float32)
+    x = rng.standard_normal((3000, 12)).astype(np.float32)
+    x[:1500] = x[1500:] + 0.3 * rng.standard_normal((1500, 12)).astype(np.float32)
     df = spark.createDataFrame([(i, "m", 12, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embed_model string, dim int, vector array<float>")
     u = knn.unit(x)
     s = u @ u.T
     np.fill_diagonal(s, -9)
     order = np.argsort(-s, axis=1)[:, :5]
-    for least in (-2.0, 0.9):
+    reps = df.select(knn.F.lit(0).alias("gid"), knn.F.col("vec_id").alias("id"), "vector", knn.F.lit(True).alias("ask"))
+    models = knn._fitted(reps, 8)
+    assert len(models[0].centres) > 300
+    for least, bound in ((-2.0, 0.93), (0.9, 0.98)):
         got = defaultdict(set)
-        for r in knn.nearest(df, 5, probes=2, cell=16, least=least).collect():
+        for r in knn.nearest(df, 5, cell=8, least=least).collect():
             got[r.vec_id].add(r.near_id)
-        want = [(i, j) for i in range(600) for j in order[i].tolist() if s[i, j] >= least]
-        assert all(len(v) <= 5 for v in got.values()) and len(want) > 300
-        assert sum(j in got[i] for i, j in want) / len(want) > 0.97
+        want = [(i, j) for i in range(3000) for j in order[i].tolist() if s[i, j] >= least]
+        assert all(len(v) <= 5 for v in got.values()) and len(want) > 1500
+        assert sum(j in got[i] for i, j in want) / len(want) > bound
+
+
+def test_two_levels_of_centres_agree_with_one():
+    rng = np.random.default_rng(2)
+    x = knn.unit(rng.standard_normal((4000, 8))).astype(np.float32)
+    m = knn.Model(x, 4000, 8, 400, 10)
+    flat = m.ranked(x[:200], 5)
+    m.FLAT = 10
+    deep = m.ranked(x[:200], 5)
+    assert (flat[:, 0] == deep[:, 0]).mean() > 0.9
+    assert all(len(set(r)) == 5 and (r >= 0).all() for r in deep.tolist() for r in [np.array(r)])
 
 
 def test_error_bounds_hold():
     rng = np.random.default_rng(5)
     raw = rng.standard_normal((400, 32)).astype(np.float32)
-    x, p, c = knn.unit(raw), knn.rotation(32), np.zeros(32, np.float32)
-    code, size, f = knn.encode(x, c, p)
-    block = knn.Block(np.arange(400), raw, code, size, f, c, p)
-    estimate = (x.astype(np.float32) @ p) @ block.codes
-    assert (np.abs(estimate - x @ x.T) <= block.error).mean() > 0.95
+    x, c = knn.unit(raw), 0.2 * knn.unit(rng.standard_normal((1, 32)))[0]
+    p = knn.rotation(32)
+    assert np.allclose(p @ p.T, np.eye(32), atol=1e-4)
+    r = x - c
+    code, size, along = knn.encode(r, 32), np.linalg.norm(r, axis=1), x @ c
+    differ = np.bitwise_count(code[:, None] ^ code[None]).sum(axis=2)
+    upper = along[None] + (r @ c)[:, None] + size[:, None] * size[None] * knn.highest_cosine(knn.bits_of(32))[differ]
+    assert (x @ x.T <= upper + 1e-9).mean() > 0.998
+    # The bound leaves few to compare.
+    cell = knn.Cell(np.arange(400), raw, code, size, along, c)
+    kept = [len(cell.candidates(code[i], float(size[i]), float(r[i] @ c), 0.6, 5)) for i in range(400)]
+    assert np.mean(kept) < 60
 
 
 def test_mixture(spark):
