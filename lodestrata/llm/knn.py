@@ -3,8 +3,8 @@
 A unit vector x of a cell with centre c is kept as the signs of the rotated residual x - c, packed into words, and two
 scalars: the residual's length and its product with the centre.  A query is coded in the same way in every cell it
 visits; the share of differing bits estimates the angle of the two residuals without bias and with a known error, and
-with the scalars that bounds the inner product from above.  The first word of all codes of a cell is compared, the rest
-for those it leaves, and only vectors whose bound reaches the query's k-th best exact value so far are compared exactly.
+with the scalars that bounds the inner product from above.  Where the first
+words of a cell's codes leave few, the others are compared for those alone.  Only vectors whose bound reaches the query's k-th best exact value so far are compared exactly.
 
 The number of cells follows the number of vectors.  How many cells a query visits is not fixed: true neighbours of some
 calibrating queries are found by brute force over all rows, and so many of the nearest cells are visited as held the
@@ -31,7 +31,7 @@ MODEL_BYTES, ROWS_A_CENTRE = 32 << 20, 8
 #: Calibrating queries of a group, and of all groups together.
 CALIBRATING, CALIBRATING_ALL = 256, 16384
 #: Width of the error bound in standard deviations.
-EPSILON = 3.2
+EPSILON = 2.0
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def highest_cosine(bits: int) -> np.ndarray:
     """By the number of differing bits, the greatest cosine two vectors with so many may have, within the error bound."""
     share = np.arange(bits + 1) / bits
     low = np.maximum(0, share - EPSILON * np.sqrt(share * (1 - share) / bits) - 0.5 / bits)
-    return np.cos(np.pi * low)
+    return np.cos(np.pi * low).astype(np.float32)
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -158,34 +158,42 @@ class Cell:
     """Codes, scalars and vectors of (a block of) a cell."""
 
     def __init__(self, ids: np.ndarray, raw: np.ndarray, codes: np.ndarray, size: np.ndarray, along: np.ndarray, centre: np.ndarray) -> None:
-        self.ids, self.raw, self.codes, self.size, self.along, self.centre = ids, raw, codes, size, along, centre
-        self.lead = np.ascontiguousarray(codes[:, 0])
+        self.ids, self.raw, self.size, self.along, self.centre = ids, raw, size, along, centre
+        self.words = np.ascontiguousarray(codes.T)
+        peak = np.abs(raw).max(axis=1)
+        self.scale = (1 / (peak * np.linalg.norm(raw / peak[:, None], axis=1))).astype(np.float32)
         self.widest, self.furthest = float(size.max()), float(along.max())
 
-    def estimates(self, code: np.ndarray) -> np.ndarray:
-        """Differing bits of the first word, of all vectors: all that is computed for each of them."""
-        return np.bitwise_count(self.lead ^ code[0])
-
-    def candidates(self, code: np.ndarray, size: float, shift: float, floor: float, k: int) -> np.ndarray:
-        """Places of the vectors whose bound reaches ``floor``; without a floor, of those that seem nearest as well."""
-        differ = self.estimates(code)
-        bits = 64 * len(code)
-        if floor <= -1:
-            counts = np.cumsum(np.bincount(differ, minlength=65))
-            return np.flatnonzero(differ <= np.searchsorted(counts, min(4 * k, len(differ))))
-        # The bound of the whole cell in the first word.
-        need = floor - shift - self.furthest
-        if need > 0:
-            cosine = highest_cosine(64)
-            most = np.searchsorted(-cosine, -min(need / max(self.widest * size, 1e-12), 2.0), "right") - 1
-            at = np.flatnonzero(differ <= most) if most >= 0 else np.zeros(0, int)
+    def differing(self, code: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Differing bits of the codes of all vectors, or of those at some places."""
+        words = self.words if at is None else self.words[:, at]
+        out = np.bitwise_count(words[0] ^ code[0]).astype(np.uint16)
+        for word, c in zip(words[1:], code[1:], strict=True):
+            out += np.bitwise_count(word ^ c)
+        return out
+
+    def most(self, bits: int, need: float, size: float) -> int:
+        """Of so many bits, how many a vector of this cell may differ in whose product of residuals is to reach ``need``."""
+        return int(np.searchsorted(-highest_cosine(bits), -min(need / max(self.widest * size, 1e-12), 2.0), "right")) - 1
+
+    def candidates(self, code: np.ndarray, size: float, shift: float, floor: float, differ: np.ndarray | None = None) -> np.ndarray:
+        """Places of the vectors whose bound reaches ``floor``."""
+        bits, need = 64 * len(code), floor - 1e-5 - shift - self.furthest
+        if need <= 0:
+            at, differ = np.arange(len(self.ids)), self.differing(code) if differ is None else differ
+        elif differ is not None:
+            at = np.flatnonzero(differ <= self.most(bits, need, size))
+            differ = differ[at]
         else:
-            at = np.arange(len(differ))
-        if not len(at):
-            return at
-        differ = np.bitwise_count(self.codes[at] ^ code).sum(axis=1, dtype=np.int64)
-        upper = self.along[at] + shift + self.size[at] * size * highest_cosine(bits)[differ]
-        return at[upper >= floor - 1e-5]
+            near = np.bitwise_count(self.words[0] ^ code[0]) <= self.most(64, need, size)
+            if 8 * np.count_nonzero(near) < len(near):
+                at = np.flatnonzero(near)
+                differ = self.differing(code, at)
+            else:
+                differ = self.differing(code)
+                at = np.flatnonzero(differ <= self.most(bits, need, size))
+                differ = differ[at]
+        return at[self.along[at] + shift + self.size[at] * np.float32(size) * highest_cosine(bits)[differ] >= floor - 1e-5]
 
 
 class Search:
@@ -208,14 +216,13 @@ class Search:
                 r = q[who] - cell.centre
                 codes, sizes, shifts = encode(r, self.model.dim), np.linalg.norm(r, axis=1).tolist(), (r @ cell.centre).tolist()
                 for code, size, shift, j in zip(codes, sizes, shifts, who, strict=True):
-                    found = cell.candidates(code, size, shift, floor[j], self.k)
+                    differ = None
                     if floor[j] <= -1:
-                        # The nearest by the first word give a first exact bound for all.
-                        self._compare(cell, found, ids[j], q[j], best, floor, j)
-                        if floor[j] > -1:
-                            found = np.setdiff1d(cell.candidates(code, size, shift, floor[j], self.k), found, assume_unique=True)
-                        else:
-                            found = np.setdiff1d(np.arange(len(cell.ids)), found, assume_unique=True)
+                        # Those that seem nearest give a first exact bound for all.
+                        differ = cell.differing(code)
+                        lead = np.flatnonzero(differ <= np.searchsorted(np.cumsum(np.bincount(differ)), min(4 * self.k, len(differ))))
+                        self._compare(cell, lead, ids[j], q[j], best, floor, j)
+                    found = cell.candidates(code, size, shift, floor[j], differ) if floor[j] > -1 else np.arange(len(cell.ids))
                     self._compare(cell, found, ids[j], q[j], best, floor, j)
         return [(int(i), [x for _, x in b], [-v for v, _ in b]) for i, b in zip(ids, best, strict=True) if b]
 
@@ -223,9 +230,13 @@ class Search:
         if not len(at):
             return
         self.compared += len(at)
+        if floor[j] > -1:
+            at = at[(cell.raw[at] @ q.astype(np.float32)) * cell.scale[at] >= floor[j] - 1e-4]
         cos = unit(cell.raw[at]) @ q
         keep = (cos >= floor[j] - 1e-9) & (cell.ids[at] != own)
-        best[j] = sorted([*best[j], *zip((-cos[keep]).tolist(), cell.ids[at[keep]].tolist(), strict=True)])[: self.k]
+        met = {i: c for c, i in best[j]}
+        met.update(zip(cell.ids[at[keep]].tolist(), (-cos[keep]).tolist(), strict=True))
+        best[j] = sorted((c, i) for i, c in met.items())[: self.k]
         if len(best[j]) == self.k:
             floor[j] = max(floor[j], -best[j][-1][0])
 
