@@ -38,6 +38,7 @@ def queries() -> dict[str, Query]:
         "p8_taken": lambda s, d: mix.taken(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_report": lambda s, d: mix.report(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_found": lambda s, d: shared_spans.sharing_pairs(table(s, d, "documents")),
+        "p9_passages": lambda s, d: shared_spans.passages(table(s, d, "documents")),
         "p9_shared": lambda s, d: shared_spans.shared_share(table(s, d, "documents")),
     }
 

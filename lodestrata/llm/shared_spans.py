@@ -24,6 +24,8 @@ GEAR = 32
 FINE, COARSE = 17, 192
 #: A digest found in more places than this is resolved by hashes of all its windows instead of by comparing places.
 HOT = 64
+#: Members of a group that meet another block of its members in one task.
+BLOCK = 256
 
 
 def gear(codes: np.ndarray) -> np.ndarray:
@@ -118,10 +120,10 @@ def _classes(documents: DataFrame, min_span: int) -> DataFrame:
     return documents.select("doc_id", "text").where((F.length("text") >= min_span) & F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("cls"))
 
 
-def _shared_places(documents: DataFrame, min_span: int) -> tuple[DataFrame, DataFrame]:
+def _shared_places(documents: DataFrame, min_span: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """What texts share, in two parts.
 
-    Spans (cls_a, lo_a, cls_b, lo_b, length) of digests found in up to ``HOT`` places, once per pair of places; and
+    Spans (cls_a, lo_a, cls_b, lo_b, length) of digests found in up to ``hot`` places, once per pair of places; and
     windows (digest, cls, at) of ``min_span`` characters round the other digests that stand in two texts or more, at
     every place.
 
@@ -150,24 +152,24 @@ def _shared_places(documents: DataFrame, min_span: int) -> tuple[DataFrame, Data
     places = found.join(repeated, "digest").groupBy("cls", "digest", "place").agg(F.max("n").alias("n"))
     wanted = places.groupBy("cls").agg(F.collect_list(F.struct("digest", "place", "n")).alias("places"))
     firsts = docs.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    around = wanted.join(firsts, "cls").join(docs.select("doc_id", "text"), "doc_id").select("cls", "places", "text")
+    around = wanted.join(firsts, "cls").join(docs, ["doc_id", "cls"]).dropDuplicates(["cls"]).select("cls", "places", "text")
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for row in range(batch.num_rows):
                 cls, places, text = (c[row].as_py() for c in batch.columns)
-                out, hot = [], set()
+                out, wide = [], set()
                 raw = None
                 for p in places:
                     at, n = p["place"] >> 16, p["place"] & 0xFFFF
-                    if p["n"] <= HOT:
+                    if p["n"] <= hot:
                         out.append((p["digest"], cls, at, n, text[max(0, at - min_span) : at], text[at + n : at + n + min_span]))
                     else:
-                        hot.update(range(max(0, at + n - min_span), min(at, len(text) - min_span) + 1))
-                if hot:
+                        wide.update(range(max(0, at + n - min_span), min(at, len(text) - min_span) + 1))
+                if wide:
                     raw = memoryview(text.encode("utf-32-le"))
-                    out += [(digest(raw[4 * x : 4 * (x + min_span)]) - (1 << 63), cls, x, 0, None, None) for x in sorted(hot)]
+                    out += [(digest(raw[4 * x : 4 * (x + min_span)]) - (1 << 63), cls, x, 0, None, None) for x in sorted(wide)]
                 if out:
                     yield _arrays(out, [i64, i64, i64, i32, s, s], ["digest", "cls", "at", "n", "left", "right"])
 
@@ -208,40 +210,82 @@ def _shared_places(documents: DataFrame, min_span: int) -> tuple[DataFrame, Data
     return cold, w.join(kept, "digest", "left_semi")
 
 
-def shared_spans(documents: DataFrame, min_span: int = 400) -> DataFrame:
-    """Spans of at least ``min_span`` characters that two different texts share, for every two texts that share any.
+def _passages(w: DataFrame) -> DataFrame:
+    """(passage, cls, at, n): of windows that stand in the same texts one each, with the texts and how many they are.
 
-    Columns: cls_a, lo_a, cls_b, lo_b, length, with cls_a < cls_b.  Every pair of places of spans found in up to ``HOT``
-    places; of a window found in more, the first place in each text.
+    The windows of a licence notice all stand in the same texts; they are told apart by the number of their texts and two
+    sums over hashes of them, so no set of texts is ever collected.
     """
-    cold, w = _shared_places(documents, min_span)
     w = w.groupBy("digest", "cls").agg(F.min("at").alias("at"))
-    hot = w.select("digest", F.col("cls").alias("cls_a"), F.col("at").alias("lo_a")).join(w.select("digest", F.col("cls").alias("cls_b"), F.col("at").alias("lo_b")), "digest")
-    hot = hot.where("cls_a < cls_b").select("cls_a", "lo_a", "cls_b", "lo_b", F.lit(min_span).cast("bigint").alias("length"))
-    return cold.unionByName(hot)
+    signs = w.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cls").bitwiseAND((1 << 32) - 1)).alias("s1"), F.sum(F.xxhash64("cls", F.lit(1)).bitwiseAND((1 << 32) - 1)).alias("s2"))
+    one = signs.groupBy("n", "s1", "s2").agg(F.min("digest").alias("digest")).select("digest", "n")
+    return w.join(one, "digest").select(F.col("digest").alias("passage"), "cls", "at", "n")
 
 
-def sharing_pairs(documents: DataFrame, min_span: int = 400) -> DataFrame:
-    """(doc_id_a < doc_id_b) of documents that share a span of at least ``min_span`` characters, exact copies included.
+def _pairs(members: DataFrame, key: str, by: str, n: str, *more: str) -> DataFrame:
+    """Every two members (``by``_a < ``by``_b, with the columns ``more``) of each ``key``; ``n`` is the number of its members.
+
+    Members are dealt into blocks of about ``BLOCK`` by a hash, and every two blocks meet in a task of their own, so a
+    large group is never in one task.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
+    dealt = members.select(key, by, *more, blocks.alias("blocks"), F.pmod(F.xxhash64(by, F.lit(9)), blocks).cast("int").alias("b"))
+    to = F.sequence(F.lit(0), F.col("blocks") - 1)
+    meets = dealt.select(key, by, *more, F.col("b"), F.explode(to).alias("o")).select(key, F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", by, *more)
+    x = meets.select(key, "p", "q", F.col("b").alias("b_x"), F.col(by).alias(f"{by}_a"), *[F.col(m).alias(f"{m}_a") for m in more])
+    y = meets.select(key, "p", "q", F.col("b").alias("b_y"), F.col(by).alias(f"{by}_b"), *[F.col(m).alias(f"{m}_b") for m in more])
+    # Of two blocks only pairs across, of one block with itself all.
+    return x.join(y, [key, "p", "q"]).where((F.col(f"{by}_a") < F.col(f"{by}_b")) & ((F.col("b_x") != F.col("b_y")) | (F.col("p") == F.col("q")))).drop("b_x", "b_y", "p", "q")
+
+
+def shared_spans(documents: DataFrame, min_span: int = 400, hot: int = HOT) -> DataFrame:
+    """Spans of at least ``min_span`` characters that two different texts share, for every two texts that share any.
+
+    Columns: cls_a, lo_a, cls_b, lo_b, length, with cls_a < cls_b.  Every pair of places of spans found in up to ``hot``
+    places; of passages found in more, one place in each text for every two texts.
+    """
+    cold, w = _shared_places(documents, min_span, hot)
+    pairs = _pairs(_passages(w), "passage", "cls", "n", "at")
+    return cold.unionByName(pairs.select("cls_a", F.col("at_a").alias("lo_a"), "cls_b", F.col("at_b").alias("lo_b"), F.lit(min_span).cast("bigint").alias("length")))
+
 
-    Null and short texts share nothing; rows with a null doc_id are left out; a repeated row counts once.
+def passages(documents: DataFrame, min_span: int = 400) -> DataFrame:
+    """Which documents hold which shared passage, without pairs: one row per passage and document.
+
+    Columns: passage (a number standing for the passage), doc_id, at (characters before it), texts (different texts that
+    hold it), documents (documents that hold it).  A passage is a window of ``min_span`` characters for every set of texts
+    that share one; rows grow with the texts times the passages in each, whatever the number of texts that share one.
     """
-    links = shared_spans(documents, min_span).select("cls_a", "cls_b").distinct()
+    _, w = _shared_places(documents, min_span, 0)
     docs = _classes(documents, min_span).select("doc_id", "cls").distinct()
+    held = _passages(w).join(docs, "cls").select("passage", "doc_id", "at", F.col("n").alias("texts"))
+    many = held.groupBy("passage").agg(F.count(F.lit(1)).alias("documents"))
+    return held.join(many, "passage")
+
+
+def sharing_pairs(documents: DataFrame, min_span: int = 400, hot: int = HOT) -> DataFrame:
+    """(doc_id_a < doc_id_b) of documents that share a span of at least ``min_span`` characters, exact copies included.
+
+    Null and short texts share nothing; rows with a null doc_id are left out; a repeated row counts once.  The output has
+    a row for every pair, as asked for; :func:`passages` tells the same by membership.
+    """
+    links = shared_spans(documents, min_span, hot).select("cls_a", "cls_b").distinct()
+    docs = stage(_classes(documents, min_span).select("doc_id", "cls").distinct(), "classes")
     a = docs.select(F.col("cls").alias("cls_a"), F.col("doc_id").alias("x"))
     b = docs.select(F.col("cls").alias("cls_b"), F.col("doc_id").alias("y"))
-    copies = a.join(b, F.col("cls_a") == F.col("cls_b")).where("x < y").select("x", "y")
-    other = links.join(a, "cls_a").join(b, "cls_b").select("x", "y")
-    return copies.unionByName(other).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    many = docs.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = _pairs(docs.join(many, "cls"), "cls", "doc_id", "n").select("doc_id_a", "doc_id_b")
+    other = links.join(a, "cls_a").join(b, "cls_b").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    return copies.unionByName(other).distinct()
 
 
-def shared_share(documents: DataFrame, min_span: int = 400) -> DataFrame:
+def shared_share(documents: DataFrame, min_span: int = 400, hot: int = HOT) -> DataFrame:
     """Per document how much of its text stands verbatim elsewhere in spans of at least ``min_span`` characters.
 
     Columns: doc_id, n_chars, copies, shared_chars, shared_share.  A null text counts as empty; an empty one has share
-    0.  A text with exact copies (and of span length) is shared wholly.
+    0.  A text with exact copies (and of span length) is shared wholly.  ``hot`` changes how it is found, not what.
     """
-    spans, windows = _shared_places(documents, min_span)
+    spans, windows = _shared_places(documents, min_span, hot)
     side = spans.select(F.col("cls_a").alias("cls"), F.col("lo_a").alias("lo"), "length").unionByName(spans.select(F.col("cls_b").alias("cls"), F.col("lo_b").alias("lo"), "length"))
     side = side.unionByName(windows.select("cls", F.col("at").alias("lo"), F.lit(min_span).cast("bigint").alias("length")))
     side = side.groupBy("cls", "lo").agg(F.max(F.col("lo") + F.col("length")).alias("hi"))

@@ -47,8 +47,7 @@ def test_spans(spark):
     assert shared_spans.sharing_pairs(df.limit(0)).count() == 0
 
 
-def test_hot_spans_by_windows(spark, monkeypatch):
-    monkeypatch.setattr(shared_spans, "HOT", 3)
+def test_hot_spans_by_windows(spark):
     import random
 
     rng = random.Random(2)
@@ -56,10 +55,31 @@ def test_hot_spans_by_windows(spark, monkeypatch):
     core, note = word(420), word(300)
     rows = [(k, word(100) + core + word(100)) for k in range(8)] + [(k, word(300) + note + word(300)) for k in range(20, 30)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {tuple(r) for r in shared_spans.sharing_pairs(df).collect()} == {(a, b) for a in range(8) for b in range(a + 1, 8)}
+    for hot in (0, 3, 1000):
+        assert {tuple(r) for r in shared_spans.sharing_pairs(df, hot=hot).collect()} == {(a, b) for a in range(8) for b in range(a + 1, 8)}
 
 
-def test_share_counts_every_copy_of_a_hot_passage(spark, monkeypatch):
+def test_a_note_in_many_texts_gives_rows_by_member(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
+    note = word(600)
+    rows = [(k, word(60) + "[" + note + "]" + word(80)) for k in range(700)] + [(k, word(900)) for k in range(1000, 1010)] + [(5000, None), (5001, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, passage string")
+    got = shared_spans.passages(df).collect()
+    whole = [r for r in got if r.texts == 700]
+    assert len(whole) == 700 and {r.documents for r in whole} == {700} and len({r.passage for r in whole}) == 1
+    assert {r.doc_id for r in whole} == set(range(700)) and all(rows[r.doc_id][1][r.at : r.at + 400] in "[" + note + "]" for r in whole)
+    # Others are the note with some characters beside it that chance has made alike.
+    assert len(got) < 10 * 700
+    # Blocks of a group meet in tasks of their own; every pair comes once.
+    pairs = shared_spans.sharing_pairs(df).collect()
+    assert len(pairs) == 700 * 699 // 2 == len(set(pairs))
+    assert shared_spans.passages(df.limit(0)).count() == 0
+
+
+def test_share_counts_every_copy_of_a_hot_passage(spark):
     import random
 
     rng = random.Random(3)
@@ -68,9 +88,9 @@ def test_share_counts_every_copy_of_a_hot_passage(spark, monkeypatch):
     rows = [(k, word(100) + "<" + note + ">" + word(200) + "<" + note + ">" * (k < 3) + word(50)) for k in range(6)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     cold = {tuple(r) for r in shared_spans.shared_share(df).collect()}
-    monkeypatch.setattr(shared_spans, "HOT", 3)
-    hot = {tuple(r) for r in shared_spans.shared_share(df).collect()}
-    assert hot == cold and all(r[3] >= 1000 for r in hot) and len(hot) == 6
+    assert all(r[3] >= 1000 for r in cold) and len(cold) == 6
+    for hot in (0, 3, 1 << 30):
+        assert {tuple(r) for r in shared_spans.shared_share(df, hot=hot).collect()} == cold
 
 
 @settings(max_examples=60, deadline=None)
