@@ -120,6 +120,10 @@ def test_leaks(spark):
     assert out == {1: (7, 20, 20), 3: (7, 12, 20)}
     clean = {r.doc_id: (r.text, r.dropped) for r in leak.cleaned(d, i, coverage=0.95).collect()}
     assert clean[1] == ("intro  outro", False) and clean[3] == ("x\n", False)
+    # Items in parts, each with an automaton of its own, give the same.
+    more = i.unionByName(spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 15))) for k in range(100, 112)] + [(50, " ".join(f"w{j}" for j in range(3, 18)))], "item_id bigint, text string"))
+    assert sorted(leak.leaks(d, more).collect()) == sorted(leak.leaks(d, more, part_bytes=90).collect())
+    assert sorted(leak.cleaned(d, more, coverage=0.95).collect()) == sorted(leak.cleaned(d, more, coverage=0.95, part_bytes=90).collect())
     assert leak.leaks(d, i.limit(0)).count() == 0 and leak.leaks(d.limit(0), i).count() == 0
 
 
