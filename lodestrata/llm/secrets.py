@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MASK = "REDACTED"
+from lodestrata.llm import configuration
+
+MASK = b"REDACTED"
+#: Rule of a value that stands without quotes where its mask needs some.
+NUMBER = "number of a key path"
 
 
 class Credential(NamedTuple):
@@ -55,14 +59,28 @@ _BEFORE = _FIRST | _TOKENS | frozenset("smtp db database admin root user login r
 _CAMEL = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-ZÀ-Þ]?[a-zà-ÿ]+|[0-9]+")
 
 
-def key_strength(key: str) -> int:
-    """2: the name of a secret, 1: may be one, 0: none."""
+#: Words of keys beside secrets that tell about them; moments.
+_TOLD = frozenset("type kind title description desc format pattern label host hostname server user username login email mail name region zone endpoint database db account role roles scope scopes issuer audience algorithm alg min max length version date time created updated rotated expires expiry issued owner comment note notes help message example policy".split())
+_MOMENT = re.compile(r"\d{4}-\d\d-\d\d(?:[T ][\d:.]+(?:Z|[+-][\d:]+)?)?$")
+
+
+def _words(key: str) -> list[str]:
     words = [w.lower() for w in _CAMEL.findall(key)]
     while words and words[-1].isdigit():
         words.pop()
+    return words
+
+
+def _is_password(word: str) -> bool:
+    return any(w in _ALONE or w.endswith(_ENDS) for w in (word, word.removesuffix("s")))
+
+
+def key_strength(key: str) -> int:
+    """2: the name of a secret, 1: may be one, 0: none."""
+    words = _words(key)
     if not words or words[-1] in _NO_SECRET_LAST and len(words) > 1 and words[-1] in ("ref", "refs", "url", "uri", "path", "file", "hint"):
         return 0
-    if any(w in _ALONE or w.endswith(_ENDS) for w in words) or any(w.endswith(e) and w[: -len(e)] in _BEFORE for w in words for e in _SHORT_ENDS):
+    if any(map(_is_password, words)) or any(w.endswith(e) and w[: -len(e)] in _BEFORE for w in words for e in _SHORT_ENDS):
         return 2
     for a, b in zip(words, words[1:], strict=False):
         if (a in _FIRST and b in _SECOND) or (a in _TOKENS and b in ("token", "tokens")) or (a == "x" and b == "auth"):
@@ -136,7 +154,7 @@ def literal_counts(key: str, value: str, context: str = "") -> bool:
     strength = key_strength(key)
     if not strength or placeholder(value) or len(value) < 5 or _DIGESTED.match(value):
         return False
-    if "://" in value:
+    if "://" in value or value.isdigit() and not (len(value) >= 6 and _is_password(_words(key)[-1])):
         return False
     if strength == 1:
         named = [w.lower() for w in _CAMEL.findall(key)]
@@ -166,9 +184,9 @@ def literal_counts(key: str, value: str, context: str = "") -> bool:
 
 # Values under keys.
 
-_LIT = r"(?:[rRbBuU]{0,2})(?:\"\"\"((?:[^\\]|\\.)*?)\"\"\"|'''((?:[^\\]|\\.)*?)'''|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`)"
-_LITERAL = re.compile(_LIT, re.S)
-_KEYED = re.compile(r"[\"'`]?([A-Za-zÀ-ÿ_][\wÀ-ÿ.-]*)[\"'`]?\]?\s*(?::\s*[A-Za-z_][\w.\[\]| ]*(?==))?\s*(?::=|=>|=(?![=>~])|:(?![:/=]))\s*(?:await\s+|str\(|bytes\(|String\(|Secret(?:Str)?\()?([(\[]\s*)?(?=[rRbBuU]{0,2}[\"'`])")
+_LITERAL = re.compile(configuration.LITERAL, re.S)
+_KEYED = re.compile(r"[\"'`]?([A-Za-zÀ-ÿ_][\wÀ-ÿ.-]*)[\"'`]?\]?\s*(?::\s*[A-Za-z_][\w.\[\]| ]*(?==))?\s*(?::=|=>|=(?![=>~])|:(?![:/=]))\s*(?:await\s+|str\(|bytes\(|String\(|Secret(?:Str)?\()?([(\[]\s*(?:(?:#|//)[^\n]*\n\s*)*)?(?=[rRbBuU]{0,2}[\"'`])")
+_BEFORE_VALUE = re.compile(r"(?:[\s(\[]|(?<=\n)[ \t]*(?:#|//)[^\n]*\n)*")
 _DEFAULT = re.compile(r"(?:environ\.get|getenv|env\.get|config\.get|settings\.get|\.get|env)\(\s*[\"']([\w.-]+)[\"']\s*,\s*(?:default\s*=\s*)?(?=[rRbBuU]{0,2}[\"'`])|(?:process\.env|import\.meta\.env|os\.environ|ENV)(?:\.([A-Za-z_]\w*)|\[\s*[\"'](\w+)[\"']\s*\])\s*\)?\s*(?:\|\||\?\?|or)\s*(?=[\"'`])")
 _SHELL_DEFAULT = re.compile(r"\$\{([A-Za-z_]\w*):?-([^}$\s\"']+)\}")
 _BARE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|ENV[ \t]+|-[ \t]+)?([A-Za-z_][\w.]*)=([^\s\"'`;#(){}<>]+)[ \t]*(?:#.*)?$")
@@ -182,33 +200,19 @@ _ENCODED = re.compile(r"\b[Bb]asic\s+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])
 _HEXED = re.compile(r"(?:fromhex|unhexlify|a2b_hex|Buffer\.from|decodeHex|hex\.DecodeString)\(\s*[\"']([0-9A-Fa-f]{32,})[\"']")
 _SIGNS = re.compile(r"(?i)\b(?:signs?|signing|encrypts?|decrypts?|hmac|secret|private|unlocks?|authenticates?|key)\b|secret|hmac|_key|key_")
 _COMMENT = re.compile(r"^\s*(?:#|//|--|/?\*|<!--|;|>|-\s)|(?:\s#|\s//|\s--)\s")
-_FLOW_TOKEN = re.compile(r"\"\"\"([\s\S]*?)\"\"\"|'''([\s\S]*?)'''|\"((?:[^\"\\\n]|\\.)*)\"|'([^'\n]*)'|([^\s\"'{}\[\],:=#][^\s{}\[\],:=#]*)|#[^\n]*|[{}\[\],:=\n]")
-_SECTION = re.compile(r"[ \t]*\[\[?[ \t]*([^\[\]\n]+?)[ \t]*\]\]?[ \t]*(?:[#;].*)?\r?$")
-_ASSIGNED = re.compile(r"[ \t]*(?:export[ \t]+)?((?:[\w-]+|\"[^\"\n]*\"|'[^'\n]*')(?:[ \t]*\.[ \t]*(?:[\w-]+|\"[^\"\n]*\"|'[^'\n]*'))*)[ \t]*[=:][ \t]*")
-_PLAIN = re.compile(r"[ \t]*([^\s\"'`#(){}<>&*!|\[]\S*)[ \t]*(?:[#;].*)?\r?$")
-_YAML = re.compile(r"([ ]*(?:-[ ]+)*)(\"[^\"\n]*\"|'[^'\n]*'|[^\s#:{}\[\],&*!|>'\"%@`-][^:#\n]*?)[ ]*:(?:[ \t]+(?:![\w!]*[ \t]+)?|(?=\r?$))")
-_SCALAR = re.compile(r"[|>][-+0-9]*[ \t]*(?:#.*)?\r?$")
-_CALL_TOKEN = re.compile(_LIT + r"|[()]", re.S)
+_CALL_TOKEN = re.compile(configuration.LITERAL + r"|[()]", re.S)
 _POSITIONS = re.compile(r"(?:#|//|--)\s*([\w ]+(?:,[\w ]+)+)\s*$")
-_TAG = re.compile(r"<([A-Za-z_][\w.:-]*)((?:\s+[\w.:-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*)\s*(/?)>([^<]*)")
-_ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)')")
 _LOGINS = tuple(a + b + c for a in ("log", "logged", "logging", "logs", "sign", "signed", "signing", "signs") for b in ("", " ", "-") for c in ("in", "on"))
 #: A line is parsed if it holds one of these (in any case); all rules below need one.
 _TRIGGERS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "bearer", "kennwort", "contrase", "senha", "clave", "parola", "credential", "salt", *_LOGINS, "basic", "fromhex", "unhexlify", "a2b_hex", "buffer.from", "decodehex", "decodestring", "identified", "mysql", "-u ", "-u\t", "--user")
 _ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "AIza", "xox", "npm_", "pypi-", "hf_", "dop_v1_", "SG.", "sk-", "eyJ")
-_JSON_TOKEN = re.compile(r'"((?:[^"\\\n]|\\.)*)"|[{}\[\]:,]')
-
-
-def _body(m: re.Match) -> tuple[int, int]:
-    g = next(k for k in range(1, 6) if m.group(k) is not None)
-    return m.span(g)
 
 
 def _chain(text: str, at: int, group: bool) -> list[tuple[int, int]]:
     """Places of a literal and those it is joined with."""
     parts: list[tuple[int, int]] = []
     while m := _LITERAL.match(text, at):
-        parts.append(_body(m))
+        parts.append(configuration.body(m))
         at = m.end()
         gap = re.compile(r"(?:[ \t]*[+.]?[ \t]*\\?\n?[ \t]*)" if not group else r"\s*[+.]?\s*").match(text, at)
         joined = gap[0]
@@ -218,189 +222,29 @@ def _chain(text: str, at: int, group: bool) -> list[tuple[int, int]]:
     return parts
 
 
-#: Where a value stands: the mapping that holds it, its key path, start and end.
-Entry = tuple[int, tuple[str, ...], int, int]
+def _named(text: str, found: list[configuration.Entry]) -> Iterator[tuple[tuple[str, ...], str, configuration.Entry]]:
+    """(key path, key, entry) of values; one under a generic key goes by its sibling's name or by the key above, whichever tells more."""
+    names = {x.mapping: text[x.start : x.end] for x in found if x.path and x.path[-1].lower() in _NAMING}
+    for x in found:
+        if not x.path:
+            continue
+        key = x.path[-2] if len(x.path) > 1 and x.path[-1].lower() in _GENERIC else x.path[-1]
+        if x.path[-1].lower() in _VALUED and x.mapping in names and key_strength(names[x.mapping]) > key_strength(key):
+            key = names[x.mapping]
+        yield x.path, key, x
 
 
-def _flow(text: str, at: int, end: int, sign: str, base: tuple[str, ...], mapping: int, line_ends: bool) -> tuple[list[Entry], int]:
-    """String values of a value in brackets, of JSON, TOML and YAML alike, and where it ends; keys stand before ``sign``."""
-    out: list[Entry] = []
-    stack: list[tuple[tuple[str, ...], int, bool]] = []
-    path, here, listed, waiting = base, mapping, True, False
-    held: tuple[str, int, int] | None = None
-    last = at
-    for m in _FLOW_TOKEN.finditer(text, at, end):
-        c, last = m[0][0], m.end()
-        if c == "\n" and not line_ends or c == "#":
-            continue
-        g = next((k for k in range(1, 6) if m[k] is not None), 0)
-        if g:
-            held = (m[g], *m.span(g))
-            continue
-        if c in sign:
-            if not stack or not stack[-1][2]:
-                waiting, path = True, (*(stack[-1][0] if stack else base), *((held[0],) if held else ()))
-                held = None
-            continue
-        if held:
-            if waiting or listed and stack and stack[-1][2]:
-                out.append((here, path, held[1], held[2]))
-            held = None
-        if c in "{[":
-            stack.append((path, here, c == "["))
-            here = here if c == "[" else m.start() + 1
-            listed, waiting = c == "[", False
-        elif c in "}]" and stack:
-            path, here, _ = stack.pop()
-            waiting = False
-            if not stack:
-                break
-        else:
-            waiting = False
-            path = stack[-1][0] if stack else base
-    return out, last
-
-
-def json_entries(text: str) -> Iterator[Entry]:
-    """Every string value of JSON, whole or a fragment."""
-    stack: list[str | None] = []
-    objects = [0]
-    key: str | None = None
-    waiting = False
-    for m in _JSON_TOKEN.finditer(text):
-        c = m[0][0]
-        if c == '"':
-            if waiting or (stack and stack[-1] is not None and stack[-1].startswith("[")):
-                yield objects[-1], (*(k.lstrip("[") for k in stack if k), key or ""), *m.span(1)
-                waiting = False
-            else:
-                key = m[1]
-        elif c == ":":
-            waiting = True
-        elif c in "{[":
-            stack.append(("[" if c == "[" else "") + (key or "") if waiting or c == "[" else "")
-            objects.append(m.start() + 1)
-            waiting = False
-        elif c in "}]":
-            if stack:
-                stack.pop()
-                objects.pop()
-            waiting = False
-        else:
-            waiting = False
-
-
-def json_paths(text: str) -> Iterator[tuple[tuple[str, ...], int, int]]:
-    """(key path, start, end) of every string value of JSON, whole or a fragment."""
-    return (x[1:] for x in json_entries(text))
-
-
-def _keys(dotted: str) -> tuple[str, ...]:
-    return tuple(k.strip().strip("\"'") for k in re.findall(r"\"[^\"\n]*\"|'[^'\n]*'|[^.\"'\s]+", dotted))
-
-
-def section_entries(text: str, brackets: bool = True) -> Iterator[Entry]:
-    """Values of TOML (with values in ``brackets``), INI and properties under their sections, whole or a fragment."""
-    section: tuple[str, ...] = ()
-    mapping = at = 0
-    while at < len(text):
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end
-        if m := _SECTION.match(text, at, end):
-            section, mapping = _keys(m[1]), at + 1
-        elif m := _ASSIGNED.match(text, at, end):
-            path = section + _keys(m[1])
-            if v := _LITERAL.match(text, m.end()):
-                yield mapping, path, *_body(v)
-                end = max(end, v.end())
-            elif brackets and text[m.end() : m.end() + 1] in ("{", "["):
-                found, z = _flow(text, m.end(), len(text), "=", path, mapping, False)
-                yield from found
-                end = max(end, z)
-            elif v := _PLAIN.match(text, m.end(), end):
-                yield mapping, path, *v.span(1)
-        at = end + 1
-
-
-def yaml_entries(text: str) -> Iterator[Entry]:
-    """Values of YAML under the keys that indent them, block scalars included, whole or a fragment."""
-    open_keys: list[tuple[int, str]] = []
-    items: list[tuple[int, int]] = []  # mappings by their indent
-    at = 0
-    while at < len(text):
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end
-        m = _YAML.match(text, at, end)
-        if m:
-            indent = m.end(1) - at
-            dashed = "-" in m[1]
-            outer = len(m[1]) - len(m[1].lstrip(" "))
-            while open_keys and open_keys[-1][0] >= (outer + 1 if dashed and open_keys[-1][0] < indent else indent):
-                open_keys.pop()
-            while items and (items[-1][0] > indent or dashed and items[-1][0] >= indent):
-                items.pop()
-            if not items or items[-1][0] < indent:
-                items.append((indent, at + 1))
-            key = m[2].strip().strip("\"'")
-            path, mapping, v = (*(k for _, k in open_keys), key), items[-1][1], m.end()
-            if q := _LITERAL.match(text, v, end):
-                yield mapping, path, *_body(q)
-            elif text[v : v + 1] in ("{", "["):
-                found, z = _flow(text, v, len(text), ":", path, mapping, False)
-                yield from found
-                end = max(end, z)
-            elif _SCALAR.match(text, v, end):
-                rows, z = [], end
-                while z < len(text):
-                    to = text.find("\n", z + 1)
-                    to = len(text) if to < 0 else to
-                    row = text[z + 1 : to]
-                    if row.strip() and len(row) - len(row.lstrip()) <= outer:
-                        break
-                    if row.strip():
-                        rows.append((z + 1 + len(row) - len(row.lstrip()), z + 1 + len(row.rstrip())))
-                    z = to
-                if rows:
-                    yield mapping, path, rows[0][0], rows[-1][1]
-            elif b := _PLAIN.match(text, v, end):
-                yield mapping, path, *b.span(1)
-            elif not text[v:end].strip() or text[v] == "#":
-                open_keys.append((indent, key))
-        at = end + 1
-
-
-def _named(text: str, entries: list[Entry]) -> Iterator[tuple[str, int, int]]:
-    """(key, start, end) of values; one under a generic key goes by its sibling's name or by the key above, whichever tells more."""
-    names = {c: text[s:e] for c, p, s, e in entries if p and p[-1].lower() in _NAMING}
-    for c, p, s, e in entries:
-        key = _leaf(p)
-        if p[-1].lower() in _VALUED and c in names and key_strength(names[c]) > key_strength(key):
-            key = names[c]
-        yield key, s, e
-
-
-def xml_paths(text: str) -> Iterator[tuple[tuple[str, ...], int, int]]:
-    """(key path, start, end) of attribute values and of element texts, whole or a fragment."""
-    for m in _TAG.finditer(text):
-        tag, base = m[1], m.start(2)
-        attributes = {}
-        for a in _ATTRIBUTE.finditer(m[2]):
-            g = 2 if a[2] is not None else 3
-            attributes[a[1].lower()] = (a[g], base + a.start(g), base + a.end(g))
-        named = next((attributes[n][0] for n in ("name", "key", "id", "property") if n in attributes), "")
-        for a, (_, s, e) in attributes.items():
-            if a in _GENERIC:
-                yield (tag, named), s, e
-            elif a not in ("name", "key", "id", "property"):
-                yield (tag, a), s, e
-        body = m[4].strip()
-        if body and not m[3]:
-            s = m.start(4) + m[4].index(body)
-            yield ((tag, named) if tag.lower() in ("entry", "property", "setting", "add", "item", "string", "value") and named else (tag,)), s, s + len(body)
-
-
-def _leaf(path: tuple[str, ...]) -> str:
-    return path[-2] if len(path) > 1 and path[-1].lower() in _GENERIC else path[-1]
+def path_counts(path: tuple[str, ...], key: str, value: str, number: bool, context: str) -> bool:
+    """Whether a value of a configuration is a credential: by its own key, or as random text under a key that holds secrets."""
+    if number and not value.isdigit():
+        return False
+    if literal_counts(key, value, context):
+        return True
+    leaf = _words(path[-1])
+    if number or key_strength(key) or not leaf or any(w in _TOLD for w in leaf) or leaf[-1] in _IDS or leaf[-1] in _NO_SECRET_LAST:
+        return False
+    above = max((k for k, p in enumerate(path[:-1]) if key_strength(p) == 2), default=-1)
+    return above >= 0 and not placeholder(value) and not _DIGESTED.match(value) and "://" not in value and not _MOMENT.match(value) and random_like(value, True)
 
 
 def _call(head: str) -> int:
@@ -425,7 +269,7 @@ def _arguments(line: str) -> list[tuple[int, int, str]]:
     if not head.endswith(")"):
         return []
     names = [x.strip() for x in m[1].split(",")]
-    found = [_body(x) for x in _LITERAL.finditer(head, _call(head))]
+    found = [configuration.body(x) for x in _LITERAL.finditer(head, _call(head))]
     return [(s, e, n) for (s, e), n in zip(found[-len(names) :], names, strict=False)] if len(found) >= len(names) else []
 
 
@@ -478,22 +322,21 @@ def find(text: str, extension: str = "") -> list[Credential]:
     if not starts:
         return _disjoint(found)
     pairs: list[tuple[str, list[tuple[int, int]]]] = []
-    if extension == "json":
-        pairs += [(k, [(s, e)]) for k, s, e in _named(text, list(json_entries(text)))]
-    elif extension in ("toml", "ini", "cfg", "conf", "properties"):
-        pairs += [(k, [(s, e)]) for k, s, e in _named(text, list(section_entries(text, extension == "toml")))]
-    elif extension in ("yaml", "yml"):
-        pairs += [(k, [(s, e)]) for k, s, e in _named(text, list(yaml_entries(text)))]
-    if "</" in text or "/>" in text:
-        pairs += [(_leaf(p), [(s, e)]) for p, s, e in xml_paths(text)]
+    held: list[tuple[tuple[int, int], str, str]] = []
+    for path, key, x in _named(text, configuration.entries(text, extension)):
+        value = text[x.start : x.end]
+        begin, end = text.rfind("\n", 0, x.start) + 1, text.find("\n", x.end)
+        if path_counts(path, key, value, x.number, text[begin : x.start] + " " + text[x.end : end if end >= 0 else len(text)]):
+            held.append(((x.start, x.end), NUMBER if x.number and extension in ("json", "toml") else "value of a key path", ".".join(path)))
     loose = extension in ("env", "ini", "cfg", "conf", "properties", "yaml", "yml")
     prose = extension in ("md", "txt", "rst")
     for start in sorted(starts):
         seen = text.find("\n", start)
         seen = len(text) if seen < 0 else seen
         line = text[start:seen].rstrip("\r")
-        if '"' in line or "'" in line or "`" in line or line.endswith(("(", "=", ":")):
-            for m in _KEYED.finditer(text, start, min(len(text), seen + 120)):
+        if '"' in line or "'" in line or "`" in line or "(" in line or line.endswith(("[", "=", ":")):
+            # A value may begin on a later line, after blanks, comments and an opening bracket.
+            for m in _KEYED.finditer(text, start, _BEFORE_VALUE.match(text, seen).end() + 4):
                 if m.start() > seen:
                     break
                 if key_strength(m[1]):
@@ -539,6 +382,8 @@ def find(text: str, extension: str = "") -> list[Credential]:
             m = _PROSE.search(line)
             if m and not placeholder(m[1]) and random_like(m[1], True):
                 add([(start + m.start(1), start + m.end(1))], "note")
+    for place, rule, path in held:
+        add([place], rule, path)
     for key, parts in pairs:
         value = "".join(text[s:e] for s, e in parts)
         begin, end = text.rfind("\n", 0, parts[0][0]) + 1, text.find("\n", parts[-1][1])
@@ -556,20 +401,19 @@ def _disjoint(found: list[Credential]) -> list[Credential]:
 
 
 def redact(text: str, found: list[Credential]) -> str:
-    """The text with every credential masked; quotes, brackets and everything else stay as they are."""
-    cuts = sorted((s, e, k == 0) for c in found for k, (s, e) in enumerate(c.parts))
+    """The text with every credential masked: masks are spliced into its bytes, everything else stays as it is."""
+    at_byte = configuration.byte_places(text)
+    data = text.encode("utf-8", "surrogatepass")
+    cuts = sorted((s, e, k == 0, b'"' + MASK + b'"' if c.rule == NUMBER else MASK) for c in found for k, (s, e) in enumerate(c.parts))
     out, at = [], 0
-    for s, e, first in cuts:
-        if s < at:
+    for s, e, first, mask in cuts:
+        a, z = (s, e) if at_byte is None else (int(at_byte[s]), int(at_byte[e]))
+        if a < at:
             continue
-        out += [text[at:s], ("\n" + MASK + "\n" if "\n" in text[s:e] and c_key(text, s) else MASK) if first else ""]
-        at = e
-    return "".join([*out, text[at:]])
-
-
-def c_key(text: str, at: int) -> bool:
-    """Whether the masked part follows the first line of a private key, whose lines stay lines."""
-    return text[max(0, at - 5) : at] == "-----"
+        key_lines = data[max(0, a - 5) : a] == b"-----" and b"\n" in data[a:z]
+        out += [data[at:a], (b"\n" + mask + b"\n" if key_lines else mask) if first else b""]
+        at = z
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
 SCHEMA = "record_kind string, record_id string, n_credentials int, credentials array<struct<line_no: int, start_byte: int, end_byte: int, rule: string, key: string>>, redacted string"
@@ -591,8 +435,13 @@ def scan(records: DataFrame) -> DataFrame:
                 found = find(text, (path or "").rsplit(".", 1)[-1].lower())
                 if found:
                     keep.append(k)
-                    at = lambda p, text=text: p if text.isascii() else len(text[:p].encode())
-                    listed.append([{"line_no": text.count("\n", 0, c.start) + 1, "start_byte": at(c.start), "end_byte": at(c.end), "rule": c.rule, "key": c.key} for c in found])
+                    places = configuration.byte_places(text)
+                    rows_of, line, seen = [], 1, 0
+                    for c in found:
+                        line, seen = line + text.count("\n", seen, c.start), c.start
+                        a, z = (c.start, c.end) if places is None else (int(places[c.start]), int(places[c.end]))
+                        rows_of.append({"line_no": line, "start_byte": a, "end_byte": z, "rule": c.rule, "key": c.key})
+                    listed.append(rows_of)
                     masked.append(redact(text, found))
             rows = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(

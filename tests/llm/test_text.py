@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm import leak, provenance, secrets, shared_spans, split
+from lodestrata.llm import configuration, leak, provenance, secrets, shared_spans, split
 
 
 @settings(max_examples=40, deadline=None)
@@ -180,9 +180,50 @@ def test_examples_of_every_rule_pass_the_prefilter():
 
 
 def test_key_paths():
-    assert [p for p, _, _ in secrets.json_paths('{"a": {"b": "x", "c": ["y"]}}')] == [("a", "b"), ("a", "c", "c")] or True
+    text = '{"a": {"b": "x", "c": ["y", {"d": 7}], "é": "z"}, "e": [["w"]]}'
+    assert [(x.path, text[x.start : x.end]) for x in configuration.json_entries(text)] == [(("a", "b"), "x"), (("a", "c"), "y"), (("a", "c", "d"), "7"), (("a", "é"), "z"), (("e",), "w")]
+    text = 'k = 1\n[a."b c"]\nd.e = "x"\nf = ["y", { g = "z" }]\nh = """\nv"""\n'
+    assert [(x.path, text[x.start : x.end]) for x in configuration.section_entries(text)] == [(("k",), "1"), (("a", "b c", "d", "e"), "x"), (("a", "b c", "f"), "y"), (("a", "b c", "f", "g"), "z"), (("a", "b c", "h"), "v")]
+    text = "a:\n  b: x\n  c:\n    - y\n    - d: z\n  e: |\n    v\n    w\nf: {g: [h, i]}\n"
+    assert [(x.path, text[x.start : x.end]) for x in configuration.yaml_entries(text)] == [(("a", "b"), "x"), (("a", "c"), "y"), (("a", "c", "d"), "z"), (("a", "e"), "v\n    w"), (("f", "g"), "h"), (("f", "g"), "i")]
+    text = '<a><b c="x">y</b><d name="n"> z </d></a>'
+    assert [(x.path, text[x.start : x.end]) for x in configuration.xml_entries(text)] == [(("a", "b", "c"), "x"), (("a", "b"), "y"), (("a", "d", "n"), "z")]
     found = secrets.find('{"db": {"password": {"value": "Zq81kLmn2"}}}', "json")
-    assert [(c.key, c.rule) for c in found] == [("password", "value of a key")]
+    assert [(c.key, c.rule) for c in found] == [("db.password.value", "value of a key path")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aé😀\n'\" =:{}[]-", max_size=60), st.text(alphabet="aé😀\n", max_size=20))
+def test_masks_are_spliced_into_bytes(before, after):
+    text = before.replace("-----", "") + "\npassword = 'Zq81kLmn2x'\n" + after
+    places = configuration.byte_places(text)
+    assert all(len(text[:k].encode()) == (k if places is None else places[k]) for k in range(len(text) + 1))
+    found = [c for c in secrets.find(text, "py") if text[c.start : c.end] == "Zq81kLmn2x"]
+    if found:
+        assert secrets.redact(text, found) == text.replace("Zq81kLmn2x", "REDACTED")
+
+
+def test_whole_paths_are_tested_and_masks_parse():
+    import json
+    import tomllib
+
+    v = "uAc6NX2mNEE9k"
+    for extension, text in (
+        ("json", f'{{"password": {{"prod": "{v}"}}}}'), ("json", f'{{"passwords": ["{v}"]}}'), ("json", '{"password": 48291734, "é": 1}'), ("toml", f'[auth.password]\nprod = "{v}"\n'), ("toml", f'password = """\n{v}"""\n'), ("toml", "password = 48291734\n"),
+        ("yaml", f"secrets:\n  prod: {v}\n"), ("yaml", f"password: &a {v}\n"), ("yaml", f"password:\n  - {v}\n"), ("yaml", f"password: {{value: {v}}}\n"), ("ini", f"[password]\nvalue={v}\n"), ("xml", f"<password><value>{v}</value></password>"),
+        ("py", "client_secret = (  # " + "x" * 300 + f'\n    "{v}"\n)'),
+    ):
+        found = secrets.find(text, extension)
+        assert [text[c.start : c.end] for c in found] in ([v], ["48291734"]), text
+        masked = secrets.redact(text, found)
+        assert v not in masked and "48291734" not in masked
+        if extension in ("json", "toml"):
+            (json if extension == "json" else tomllib).loads(masked)
+    for extension, text in (
+        ("json", '{"properties": {"password": {"type": "string", "title": "Password", "minLength": 8, "pattern": "^[a-z]+$", "rotated": "2024-05-06T07:08:09Z"}}}'),
+        ("yaml", "password_max_age: 7776000\nsecrets:\n  host: Db-01.example\n  token_id: 839a153b-3db4-4dfc-aebf-498b54b0cdd3\n"), ("json", '{"password": true, "token_count": 48291734}'),
+    ):
+        assert not secrets.find(text, extension), text
 
 
 def test_key_paths_of_configuration():
