@@ -8,6 +8,7 @@ shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,6 +29,9 @@ _SHARE = (
     (0.03, 0.01, 0.02, 0.93, 0.01),
     (0.40, 0.02, 0.02, 0.01, 0.55),
 )
+#: Evidence of a folder's name, and of the name of one above it, that it holds copies: more than its plain files can say
+#: against it, since copies look like files written here and there may be any number of them.
+_NAMED = 1e6
 #: Log prior of the label of a repository's root.
 _PRIOR = (0.0, -3.0, -3.5, -4.0, -4.0)
 
@@ -146,8 +150,6 @@ def _lse(terms: list[Column]) -> Column:
 
 
 def _logs() -> list[list[float]]:
-    import math
-
     return [[math.log(x) for x in row] for row in _SHARE]
 
 
@@ -173,7 +175,7 @@ def _stats_of(table: DataFrame) -> DataFrame:
 
     A row that follows its equal is left out.  A chunk_index of null or 0 begins a file; the heading of a file may run on into its later parts.
     """
-    names = ["repo", "path", *STATS]
+    names = ["repo", "path", "at", "h", *STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None, None)
@@ -200,10 +202,11 @@ def _stats_of(table: DataFrame) -> DataFrame:
                 got.append(statistics(text, found))
             cols = list(zip(*got, strict=True)) if got else [[]] * len(STATS)
             rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *[pa.array(x, pa.int64()) for x in cols]], names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(4), rows.column(5), *[pa.array(x, pa.int64()) for x in cols]], names)
 
-    rows = table.select("repo", "path", "chunk_index", F.coalesce("text", F.lit("")).alias("text")).where(F.col("repo").isNotNull() & F.col("path").isNotNull())
-    return rows.mapInArrow(run, "repo string, path string, " + ", ".join(f"{s} bigint" for s in STATS))
+    text = F.coalesce("text", F.lit(""))
+    rows = table.select("repo", "path", "chunk_index", text.alias("text"), "at", F.xxhash64(text).alias("h")).where(F.col("repo").isNotNull() & F.col("path").isNotNull())
+    return rows.mapInArrow(run, "repo string, path string, at bigint, h bigint, " + ", ".join(f"{s} bigint" for s in STATS))
 
 
 def labelled(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -213,11 +216,15 @@ def labelled(files: DataFrame, chunks: DataFrame) -> DataFrame:
     known by its chunks is judged by them.  Null texts count as empty, rows with null repo or path are left out, a
     repeated row counts once.
     """
-    whole = _stats_of(files.withColumn("chunk_index", F.lit(None).cast("int"))).groupBy("repo", "path").agg(*[F.max(s).alias(s) for s in STATS])
-    parts = chunks.select("repo", "path", "text", "chunk_index")
+    at = F.coalesce(F.unix_micros("scanned_at"), F.lit(-(1 << 62))) if "scanned_at" in files.columns else F.lit(0).cast("bigint")
+    # A file that stands there in several states is judged by the one scanned last.
+    whole = _stats_of(files.select("repo", "path", F.lit(None).cast("int").alias("chunk_index"), "text", at.alias("at")))
+    whole = whole.groupBy("repo", "path").agg(F.max_by(F.struct(*STATS), F.struct("at", "h")).alias("s")).select("repo", "path", *[f"s.{x}" for x in STATS])
+    # Which files are known by chunks only is told by keys alone; only their chunks are brought together.
     known = files.select("repo", "path").distinct()
-    parts = parts.join(known, ["repo", "path"], "left_anti").repartition("repo", "path").sortWithinPartitions("repo", "path", "chunk_index", "text")
-    parts = _stats_of(parts)
+    only = stage(chunks.select("repo", "path").distinct().join(known, ["repo", "path"], "left_anti"), "only")
+    parts = chunks.select("repo", "path", "text", "chunk_index", F.lit(0).cast("bigint").alias("at")).join(only, ["repo", "path"], "left_semi")
+    parts = _stats_of(parts.repartition("repo", "path").sortWithinPartitions("repo", "path", "chunk_index", "text"))
     parts = parts.groupBy("repo", "path").agg(*[F.sum(s).alias(s) for s in STATS])
     judged = whole.unionByName(parts)
     evidence = _evidence(F.col("path"))
@@ -229,7 +236,8 @@ def labelled(files: DataFrame, chunks: DataFrame) -> DataFrame:
     steps = F.split("dir", "/")
     every = told.select("repo", F.explode(F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat_ws("/", F.slice(steps, 1, n)))))).alias("dir")).distinct()
     name = F.lower(F.regexp_extract("dir", r"([^/]*)$", 1))
-    vendor = F.when(name.isin(*_VENDOR_DIRS), 9.0).otherwise(0.0) + F.when(name.rlike(_VERSIONED), 2.0).otherwise(0.0)
+    within = F.col("dir").rlike(r"(?i)(^|/)(" + "|".join(map(re.escape, _VENDOR_DIRS)) + r")(/|$)")
+    vendor = F.when(within, _NAMED).otherwise(0.0) + F.when(name.rlike(_VERSIONED), 2.0).otherwise(0.0)
     hint = [F.lit(0.0), F.when(name.isin(*_GENERATED_DIRS), 1.5).otherwise(0.0), F.when(name.isin(*_BUILT_DIRS), 1.0).otherwise(0.0), vendor, F.lit(0.0)]
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(steps))
     zero = F.lit(0.0)

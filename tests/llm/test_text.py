@@ -292,5 +292,18 @@ def test_chunks_of_equal_counts_all_count(spark):
     df = spark.createDataFrame(chunks, "repo string, path string, text string, chunk_index int")
     files = df.limit(0).drop("chunk_index")
     assert [(r.path, r.label) for r in provenance.labelled(files, df).collect()] == [("a.py", "generated")]
-    ordered = df.repartition(1).sortWithinPartitions("repo", "path", "chunk_index", "text")
+    ordered = df.withColumn("at", provenance.F.lit(0).cast("bigint")).repartition(1).sortWithinPartitions("repo", "path", "chunk_index", "text")
     assert [tuple(r) for r in provenance._stats_of(ordered).groupBy("path").agg({"rows": "sum"}).collect()] == [("a.py", 48)]
+
+
+def test_copies_in_a_named_folder_whatever_their_number(spark):
+    text = '"""Reads rows."""\nimport os\n\n\ndef read(a, b):\n    for x in a:\n        b.append(os.path.join(x, "row"))\n    return b\n'
+    rows = [("r", f"src/vendor/lib/m{k}.py", text + f"# {k}\n") for k in range(60)] + [("r", f"src/app/m{k}.py", text + f"# {k}\n") for k in range(60)]
+    rows += [("r", "src/vendor/lib/own.py", "# Hand-kept since the code generator was retired.\n" + text)]
+    files = spark.createDataFrame([(*r, "2025-01-01 00:00:00") for r in rows] + [("r", "src/app/old.py", "# Code generated by x. DO NOT EDIT.\n", "2024-01-01 00:00:00"), ("r", "src/app/old.py", text, "2025-01-01 00:00:00")], "repo string, path string, text string, scanned_at string")
+    files = files.withColumn("scanned_at", provenance.F.to_timestamp("scanned_at"))
+    chunks = spark.createDataFrame([], "repo string, path string, text string, chunk_index int")
+    got = {r.path: r.label for r in provenance.labelled(files, chunks).collect()}
+    assert {p for p, label in got.items() if label == "vendored"} == {f"src/vendor/lib/m{k}.py" for k in range(60)}
+    # Of several states of a file the one scanned last counts.
+    assert got["src/app/old.py"] == "handwritten" and got["src/vendor/lib/own.py"] == "handwritten"
