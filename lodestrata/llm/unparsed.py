@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.syntax import data, javascript, python
 from lodestrata.llm.syntax.base import Fault
 
+#: Bytes of stack for texts nested very deeply: some hundred thousand brackets.
+STACK = 512 << 20
 LANGUAGES: dict[str, tuple[str, Callable[[str], list[Fault]]]] = {
     "py": ("python", python.check),
     "js": ("javascript", javascript.check),
@@ -22,21 +24,25 @@ LANGUAGES: dict[str, tuple[str, Callable[[str], list[Fault]]]] = {
 }
 
 
-def faults(extension: str, text: str) -> list[Fault]:
-    """All syntax errors of a text; one nested too deeply for the ordinary stack is read again on a larger one."""
+def faults(extension: str, text: str) -> list[Fault] | None:
+    """All syntax errors of a text, None if they can't be told.
+
+    One nested too deeply for the ordinary stack is read again on a larger one, of ``STACK`` bytes; one too deep for that
+    as well is neither valid nor invalid.
+    """
     check = LANGUAGES[extension][1]
     try:
         return check(text)
     except RecursionError:
-        out: list[list[Fault]] = []
+        out: list[list[Fault] | None] = []
 
         def again() -> None:
             try:
                 out.append(check(text))
             except RecursionError:
-                out.append([Fault(1, "nested more deeply than the parser can follow")])
+                out.append(None)
 
-        limit, size = sys.getrecursionlimit(), threading.stack_size(512 << 20)
+        limit, size = sys.getrecursionlimit(), threading.stack_size(STACK)
         sys.setrecursionlimit(400_000)
         try:
             t = threading.Thread(target=again)
@@ -56,7 +62,7 @@ def parsed(files: DataFrame) -> DataFrame:
 
     Columns: repo, path, language, n_errors, first_line, first_cause, errors.  A null text counts as empty; rows with
     a null repo or path are left out; a repeated row counts once.  If a file stands there in several states, errors
-    are those of the state scanned last.  Only repo, path, text and scanned_at are read.
+    are those of the state scanned last.  n_errors is null where a text is nested too deeply to tell.  Only repo, path, text and scanned_at are read.
     """
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     rows = files.select("repo", "path", F.coalesce("text", F.lit("")).alias("text"), F.unix_micros("scanned_at").alias("at")).where(
@@ -72,9 +78,9 @@ def parsed(files: DataFrame) -> DataFrame:
                 found.append((LANGUAGES[ext][0], faults(ext, text.as_py())))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([len(e) for _, e in found], pa.int32()),
+                    batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([None if e is None else len(e) for _, e in found], pa.int32()),
                     pa.array([e[0].line if e else None for _, e in found], pa.int32()), pa.array([e[0].cause if e else None for _, e in found], pa.string()),
-                    pa.array([[{"line": f.line, "cause": f.cause} for f in e] for _, e in found], struct), batch.column(3), batch.column(4),
+                    pa.array([[{"line": f.line, "cause": f.cause} for f in e or []] for _, e in found], struct), batch.column(3), batch.column(4),
                 ],
                 ["repo", "path", "language", "n_errors", "first_line", "first_cause", "errors", "at", "h"],
             )
