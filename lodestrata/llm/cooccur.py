@@ -71,13 +71,14 @@ def cooccurrence(commits: DataFrame, min_count: int = 4, block: int = BLOCK) ->
 
     Columns: item_kind, repo, item_a, item_b, n_ab, n_a, n_b, n, lift, pmi, jaccard; item_a < item_b by code point.
     Null arrays count as empty; null or blank entries are no items; repeated entries and commits mined again count
-    once; rows with a null repo or sha are left out.  n counts commits with at least one item of the kind.
+    once; rows with a null repo or sha are left out.  n counts commits with at least one item of the kind.  lift, pmi and
+    jaccard are rounded to nine places.
     """
     p = pair_counts(entries(commits), min_count, block)
     lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
     return p.select(
         "item_kind", "repo", "item_a", "item_b", "n_ab", "n_a", "n_b", "n",
-        lift.alias("lift"), F.log2(lift).alias("pmi"), (F.col("n_ab") / (F.col("n_a") + F.col("n_b") - F.col("n_ab"))).alias("jaccard"),
+        F.round(lift, 9).alias("lift"), F.round(F.log2(lift), 9).alias("pmi"), F.round(F.col("n_ab") / (F.col("n_a") + F.col("n_b") - F.col("n_ab")), 9).alias("jaccard"),
     )
 
 

@@ -232,7 +232,7 @@ class Search:
         self.compared += len(at)
         if floor[j] > -1:
             at = at[(cell.raw[at] @ q.astype(np.float32)) * cell.scale[at] >= floor[j] - 1e-4]
-        cos = unit(cell.raw[at]) @ q
+        cos = np.round(unit(cell.raw[at]) @ q, 12)
         keep = (cos >= floor[j] - 1e-9) & (cell.ids[at] != own)
         met = {i: c for c, i in best[j]}
         met.update(zip(cell.ids[at[keep]].tolist(), (-cos[keep]).tolist(), strict=True))
@@ -406,7 +406,7 @@ def nearest_classes(reps: DataFrame, k: int, cell: int = CELL, least: float = -2
 def nearest(vectors: DataFrame, k: int = 5, cell: int = CELL, query_mod: int = 1, least: float = -2.0, recall: float = 0.97) -> DataFrame:
     """The ``k`` most similar vectors (cosine) of the same embed_model and dim, for every vector or a stated query set.
 
-    Columns: vec_id, rank (1..k), near_id, cosine.  Ties go to the smaller id.  Vectors that are null, of the wrong
+    Columns: vec_id, rank (1..k), near_id, cosine.  Ties (to twelve places) go to the smaller id.  Vectors that are null, of the wrong
     length, not finite or all zero, and rows without id, model or dim, take no part; a repeated row counts once.
     Exact copies are one entry of the index and are expanded afterwards, at most ``k`` for each vector.  With
     ``query_mod`` only vectors whose id is divisible by it are asked about, against all.  With ``least`` only neighbours

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.llm import cooccur, knn, leak, mix, provenance, secrets, shared_spans, split, unparsed
+from lodestrata.llm.oracles import ORACLES
 from lodestrata.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +33,7 @@ def queries() -> dict[str, Query]:
         "p5_pairs": lambda s, d: cooccur.cooccurrence(table(s, d, "commit_nodes"), min_count=1),
         "p6_found": lambda s, d: knn.alike(table(s, d, "vector_records")),
         "p6_top5": lambda s, d: knn.nearest(table(s, d, "vector_records")),
-        "p6_search": lambda s, d: knn.nearest(table(s, d, "vector_records"), query_mod=20),
+        "p6_search": lambda s, d: knn.nearest(table(s, d, "vector_records"), query_mod=20).withColumn("cosine", F.round("cosine", 6)),
         "p7_found": lambda s, d: leak.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
         "p7_leaks": lambda s, d: leak.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p7_clean": lambda s, d: leak.cleaned(table(s, d, "documents"), table(s, d, "eval_items")),
@@ -44,4 +46,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

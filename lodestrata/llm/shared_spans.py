@@ -297,5 +297,5 @@ def shared_share(documents: DataFrame, min_span: int = 400, hot: int = HOT) -> D
     chars = F.when(long_copy, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint")
     return docs.join(copies, "cls").join(covered, "cls", "left").select(
         "doc_id", F.col("n_chars").cast("bigint"), F.when(F.col("n_chars") > 0, F.col("copies")).otherwise(F.lit(1)).alias("copies"), chars.alias("shared_chars"),
-        F.when(F.col("n_chars") > 0, chars / F.col("n_chars")).otherwise(F.lit(0.0)).alias("shared_share"),
+        F.when(F.col("n_chars") > 0, F.round(chars / F.col("n_chars"), 9)).otherwise(F.lit(0.0)).alias("shared_share"),
     )
