@@ -5,6 +5,8 @@ Loops cut their lineage with tables in the shared folder and stop when a round a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,15 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reached from the seeds (column node) by one edge or more; a seed only if a cycle returns to it."""
     e = stage(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
     front = stage(e.join(seeds.select(F.col("node").alias("src")).distinct(), "src").select(F.col("dst").alias("node")).distinct(), "front")
-    seen = front
+    fronts = [front]
     while not front.isEmpty():
+        # Every front is written once; what was seen is their union, never written again.
         step = e.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        front = stage(step.join(seen, "node", "left_anti"), "front")
-        seen = stage(seen.unionByName(front), "seen")
-    return seen
+        front = stage(step.join(reduce(DataFrame.unionByName, fronts), "node", "left_anti"), "front")
+        fronts.append(front)
+        if len(fronts) > 32:
+            fronts = [stage(reduce(DataFrame.unionByName, fronts), "seen")]
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def within(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

@@ -71,8 +71,8 @@ def members(keys: DataFrame, key: str, base: DataFrame, added: DataFrame, remove
 
 
 def stale(cited: DataFrame, current: DataFrame, key: str, hash_: str) -> DataFrame:
-    """(key, fresh): fresh if the cited hash is the current one; a missing key or hash is stale."""
-    now = current.select(key, F.col(hash_).alias("_now")).dropDuplicates([key])
+    """(key, fresh): fresh if the cited hash is the current one (``current`` has a row a key; of several the greatest hash); a missing key or hash is stale."""
+    now = current.select(key, F.col(hash_).alias("_now")).groupBy(key).agg(F.max("_now").alias("_now"))
     return cited.join(now, key, "left").select(key, ((F.coalesce(F.col(hash_), F.lit("")) != "") & F.col(hash_).eqNullSafe(F.col("_now"))).alias("fresh"))
 
 

@@ -27,24 +27,21 @@ _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
 def symbols_of(module: ast.Module) -> list[tuple[str, str, int, int]]:
-    """(dotted name, kind, first line, last line) of every definition, in order of the text."""
+    """(dotted name, kind, first line, last line) of every definition, in order of the text.
+
+    A definition in a class is a method, asynchronous or not.  Definitions inside branches and loops are not listed.
+    """
     out: list[tuple[str, str, int, int]] = []
-    stack: list[tuple[ast.AST, str, bool]] = [(module, "", False)]
-    while stack:
-        node, prefix, in_class = stack.pop()
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, _DEFS):
-                name = prefix + child.name
-                if isinstance(child, ast.ClassDef):
-                    kind = "class"
-                elif isinstance(child, ast.AsyncFunctionDef):
-                    kind = "async_function"
-                else:
-                    kind = "method" if in_class else "function"
-                out.append((name, kind, child.lineno, child.end_lineno or child.lineno))
-                stack.append((child, name + ".", isinstance(child, ast.ClassDef)))
-            else:
-                stack.append((child, prefix, in_class))
+    todo: list[tuple[list[ast.stmt], str, bool]] = [(module.body, "", False)]
+    while todo:
+        body, prefix, in_class = todo.pop()
+        for d in body:
+            if not isinstance(d, _DEFS):
+                continue
+            is_class = isinstance(d, ast.ClassDef)
+            kind = "class" if is_class else "method" if in_class else "async_function" if isinstance(d, ast.AsyncFunctionDef) else "function"
+            out.append((prefix + d.name, kind, d.lineno, d.end_lineno or d.lineno))
+            todo.append((d.body, f"{prefix}{d.name}.", is_class))
     return sorted(out, key=lambda s: (s[2], s[3], s[0]))
 
 
@@ -80,13 +77,14 @@ def imports_of(module: ast.Module, here: str) -> list[str]:
 
 
 def facts_of(module: ast.Module) -> dict:
-    top = module.body
+    every = list(ast.walk(module))
     doc = ast.get_docstring(module) or ""
+    assigned = [t for n in every if isinstance(n, (ast.Assign, ast.AnnAssign)) for t in (n.targets if isinstance(n, ast.Assign) else [n.target])]
     return {
         "imports": sorted({a.name.split(".")[0] for n in ast.walk(module) if isinstance(n, ast.Import) for a in n.names} | {(n.module or "").split(".")[0] for n in ast.walk(module) if isinstance(n, ast.ImportFrom) and not n.level and n.module}),
-        "classes": [n.name for n in top if isinstance(n, ast.ClassDef)],
-        "functions": [n.name for n in top if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))],
-        "constants": sorted({t.id for n in top if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name) and t.id.isupper()}),
+        "classes": sorted({n.name for n in every if isinstance(n, ast.ClassDef)}),
+        "functions": sorted({n.name for n in every if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}),
+        "constants": sorted({t.id for t in assigned if isinstance(t, ast.Name) and t.id.isupper()}),
         "decorators": sorted({ast.unparse(d).split("(")[0] for n in ast.walk(module) if isinstance(n, _DEFS) for d in n.decorator_list}),
         "summary": doc[:200],
     }
@@ -166,11 +164,11 @@ def scores_of(module: ast.Module) -> dict[str, float]:
     functions = [n for n in ast.walk(module) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
     classes = [n for n in ast.walk(module) if isinstance(n, ast.ClassDef)]
     worst = max(map(_complexity, functions), default=1)
-    pairs = shared = 0
+    cohesion = []
     for c in classes:
         used = [{n.attr for n in ast.walk(m) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == "self"} for m in c.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
-        pairs += len(used) * (len(used) - 1) // 2
-        shared += sum(bool(a & b) for i, a in enumerate(used) for b in used[:i])
+        pairs = len(used) * (len(used) - 1) // 2
+        cohesion.append(sum(bool(a & b) for i, a in enumerate(used) for b in used[:i]) / pairs if pairs else 1.0)
     empty = sum(all(isinstance(s, ast.Pass) or (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant)) for s in f.body) for f in functions)
     attributes = [n for n in ast.walk(module) if isinstance(n, ast.Attribute)]
     chains = sum(isinstance(n.value, ast.Attribute) for n in attributes)
@@ -182,7 +180,7 @@ def scores_of(module: ast.Module) -> dict[str, float]:
     annotated = sum(f.returns is not None for f in functions)
     return {
         "simplicity": 10 / (10 + worst - 1),
-        "cohesion": shared / pairs if pairs else 1.0,
+        "cohesion": sum(cohesion) / len(cohesion) if cohesion else 1.0,
         "need": max(0.0, 1 - 0.1 * empty),
         "decoupling": ((1 - chains / len(attributes) if attributes else 1.0) + 10 / (10 + imports)) / 2,
         "encapsulation": 1 - private / len(attributes) if attributes else 1.0,

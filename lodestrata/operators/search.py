@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
-from lodestrata.runtime import stage
+from lodestrata.functions.stem import stem
+from lodestrata.runtime import parallelism, shared_path, stage
+
+_ALNUM = re.compile(r"[^\W_]+")
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -20,27 +25,67 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
+def build_index(docs: DataFrame, key: str, text: str, at: str, buckets: int = 64) -> None:
+    """Write the postings of a table under ``at``, in buckets of terms and sorted by term within, and one row of statistics.
+
+    A query reads the buckets of its terms, and of their files the row groups that may hold them.
+    """
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    p = postings(docs, key, text).withColumn("bucket", bucket)
+    # Files follow terms and keys, so a frequent term is spread over tasks.
+    p.repartitionByRange(parallelism(docs.sparkSession), "bucket", "term", key).sortWithinPartitions("bucket", "term", key).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
+    spark = docs.sparkSession
+    once = spark.read.schema(p.schema).parquet(f"{at}/postings").select(key, "dl").distinct()
+    once.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{at}/statistics")
+
+
+_indexes: dict[tuple, str] = {}
+
+
+def index_of(docs: DataFrame, key: str, text: str) -> str:
+    """Where the index of a table read from files stands in the shared folder; made once a session and state of the files."""
+    spark = docs.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for name in sorted(docs.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        state.append((name, status.getLen(), status.getModificationTime()))
+    mark = (spark.sparkContext.applicationId, docs.semanticHash(), key, text, *state)
+    if mark not in _indexes or not state:
+        at = shared_path(spark, "index")
+        build_index(docs, key, text, at)
+        _indexes[mark] = at
+    return _indexes[mark]
+
+
+def read_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf, dl, bucket) off the index of a table."""
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.sparkSession.read.schema(f"{key} {kind}, term string, tf bigint, dl int, bucket int").parquet(index_of(docs, key, text) + "/postings")
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: Sequence[str], k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The ``k`` best documents of a query: (key, score); a term asked for twice weighs twice; ties go to the smaller key.
 
-    One scan: of every document only its length and the counts of the query's terms are kept, so nothing grows with the
-    vocabulary; the corpus statistics are one row.
+    Read off the index of the table, which is made if there is none of its present state.  Null and empty texts and an
+    empty query give no rows.
     """
+    spark, at = docs.sparkSession, index_of(docs, key, text)
     asked = Counter(w.lower() for w in query)
-    words = F.col("w")
-    terms = docs.select(F.col(key), T.tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
-    tf = [(F.size("w") - F.size(F.array_remove(words, F.lit(t)))).alias(f"tf{i}") for i, t in enumerate(asked)]
-    # A few numbers a document, written once: statistics and scores both read them.
-    counted = stage(terms.select(key, F.size("w").alias("dl"), *tf), "bm25")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])
-    # One row of statistics.
-    joined = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(asked))) or "false").join(F.broadcast(stats))
-    score: Column = F.lit(0.0)
-    for i, (_, weight) in enumerate(asked.items()):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
-        f = F.col(f"tf{i}").cast("double")
-        score = score + weight * idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return joined.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    stats = spark.read.parquet(f"{at}/statistics").first()
+    n, avgdl, buckets = stats["n"], stats["avgdl"], stats["buckets"]
+    where = {r[0] for r in spark.createDataFrame([(t,) for t in asked], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).collect()}
+    p = read_postings(docs, key, text).where(F.col("bucket").isin(list(where)) & F.col("term").isin(list(asked))).select(key, "term", "tf", "dl")
+    df = {r[0]: r[1] for r in p.groupBy("term").agg(F.count(F.lit(1))).collect()}
+    weight: Column = F.lit(0.0)
+    for t, w in asked.items():
+        if t in df:
+            weight = F.when(F.col("term") == t, F.lit(w * math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1))).otherwise(weight)
+    f = F.col("tf").cast("double")
+    part = weight * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
+    return p.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
 
 
 def knn(vectors: DataFrame, key: str, vector: str, query: Sequence[float], k: int = 10, least: float = 0.0) -> DataFrame:
@@ -73,12 +118,37 @@ def all_words(docs: DataFrame, key: str, text: str, query: Sequence[str]) -> Dat
     return docs.where(F.size(F.array_except(need, T.tokens(F.col(text)))) == 0).select(key)
 
 
-def phrase_prefix(docs: DataFrame, key: str, text: str, phrase: Sequence[str]) -> DataFrame:
-    """Documents that hold the words of a phrase in a row, the last as the start of a word (words are stemmed lightly)."""
-    stem = lambda x: F.regexp_replace(x, r"(ing|ed|es|s)$", "")
-    joined = F.concat(F.lit(" "), F.array_join(F.transform(T.tokens(F.col(text)), stem), " "))
-    want = " " + " ".join(re.sub(r"(ing|ed|es|s)$", "", w.lower()) for w in phrase)
-    return docs.where(F.contains(joined, F.lit(want))).select(key)
+def phrase_prefix(docs: DataFrame, key: str, text: str, phrase: Sequence[str], k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``k`` best documents that hold the words of a phrase in a row, the last as the start of a word: (key, hits, score).
+
+    Words are compared by their stems (the last word is compared as it is, and as a stem), the phrase counts as one term of
+    BM25, and scores are negative, the least being the best.  Null texts hold nothing; an empty phrase gives no rows.
+    """
+    want = [w.lower() for w in phrase]
+    stems = [stem(w) for w in want]
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, size = [], []
+            for t in batch.column(1):
+                words = _ALNUM.findall(t.as_py().lower())
+                size.append(len(words))
+                n = 0
+                if want:
+                    got = [stem(w) for w in words]
+                    last = len(want) - 1
+                    n = sum(got[i : i + last] == stems[:-1] and (words[i + last].startswith(want[-1]) or got[i + last].startswith(stems[-1])) for i in range(len(words) - last))
+                hits.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.int64()), pa.array(size, pa.int64())], [key, "hits", "dl"])
+
+    # A few numbers a document: statistics and scores both read them.
+    seen = stage(docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, hits bigint, dl bigint"), "phrase")
+    stats = seen.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.count_if(F.col("hits") > 0).alias("df"))
+    f = F.col("hits").cast("double")
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    score = -idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return seen.where("hits > 0").join(F.broadcast(stats)).select(key, "hits", F.round(score, 6).alias("score")).orderBy("score", key).limit(k)
 
 
 def quotes(docs: DataFrame, key: str, text: str, query: Sequence[str], k: int = 5, most: int = 500) -> DataFrame:

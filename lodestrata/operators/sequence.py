@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,30 +53,52 @@ def pack(hits: DataFrame, group: Sequence[str], order: Sequence[Column], unique:
     return once.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def adaptive_threshold(hits: DataFrame, keys: Sequence[str], order: Sequence[Column], hit: str, start: float = 0.5, target: float = 0.8, warm: int = 20, step: float = 0.02) -> DataFrame:
+def adaptive_threshold(hits: DataFrame, keys: Sequence[str], order: Sequence[str], hit: str, start: float = 0.5, target: float = 0.8, warm: int = 20, step: float = 0.02) -> DataFrame:
     """A threshold learned by a fold over hits in order: after ``warm`` samples it rises while the hit rate is under the
     target and falls while it is 0.1 above, in [0.15, 0.9].  One row per key: samples, hit_rate, threshold.
 
-    The fold runs over an array per key, which must fit a task; split long logs by time first.
+    Rows of a key come in order and in Arrow batches; only three numbers are kept between them, however long a log is.
     """
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.col(hit).cast("int").alias("_h")))), lambda x: x["_h"])
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("h"), F.lit(start).alias("t"))
+    n_keys = len(keys)
 
-    def fold(a: Column, x: Column) -> Column:
-        n, h = a["n"] + 1, a["h"] + x
+    def learn(n: int, h: int, t: float) -> float:
         rate = h / n
-        t = F.when((n >= warm) & (rate < target), a["t"] + step).when((n >= warm) & (rate > target + 0.1), a["t"] - step).otherwise(a["t"])
-        return F.struct(n.alias("n"), h.alias("h"), F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.15), t)), 4).alias("t"))
-
-    s = hits.groupBy(*keys).agg(F.aggregate(seq, zero, fold).alias("s"))
-    return s.select(*keys, F.col("s.n").cast("bigint").alias("samples"), F.round(F.col("s.h") / F.col("s.n"), 6).alias("hit_rate"), F.col("s.t").alias("threshold"))
+        if n >= warm and rate < target:
+            t += step
+        elif n >= warm and rate > target + 0.1:
+            t -= step
+        return round(min(0.9, max(0.15, t)), 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, h, t = None, 0, 0, start
+        last = None
+
+        def row(k: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[k.column(j) for j in range(n_keys)], pa.array([n], pa.int64()), pa.array([round(h / n, 6)]), pa.array([t])], [*keys, "samples", "hit_rate", "threshold"])
+
+        for batch in batches:
+            names = list(zip(*[batch.column(j).to_pylist() for j in range(n_keys)], strict=True))
+            for k, (name, got) in enumerate(zip(names, batch.column(n_keys).to_pylist(), strict=True)):
+                if name != key or last is None:
+                    if last is not None:
+                        yield row(last)
+                    key, n, h, t, last = name, 0, 0, start, batch.slice(k, 1)
+                n, h = n + 1, h + int(bool(got))
+                t = learn(n, h, t)
+        if last is not None:
+            yield row(last)
+
+    rows = hits.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, F.col(hit).cast("boolean").alias("_h"))
+    head = ", ".join(f"{k} {hits.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(run, f"{head}, samples bigint, hit_rate double, threshold double")
 
 
 def streaks(log: DataFrame, keys: Sequence[str], order: Sequence[Column], status: str) -> DataFrame:
-    """Passes since the start; one capital failure revokes for good, ordinary failures don't reset: (keys, streak, revoked)."""
-    return log.groupBy(*keys).agg(F.count_if(F.col(status) == "PASS").alias("passes"), F.coalesce(F.bool_or(F.col(status) == "CAPITAL"), F.lit(False)).alias("revoked")).select(
-        *keys, F.when(F.col("revoked"), 0).otherwise(F.col("passes")).cast("bigint").alias("streak"), "revoked"
-    )
+    """(keys, streak, revoked, last): passes since the start; one capital failure revokes for good, ordinary failures don't
+    reset; ``last`` is the status of the last row in order."""
+    return log.groupBy(*keys).agg(
+        F.count_if(F.col(status) == "PASS").alias("passes"), F.coalesce(F.bool_or(F.col(status) == "CAPITAL"), F.lit(False)).alias("revoked"), F.max_by(status, F.struct(*order)).alias("last")
+    ).select(*keys, F.when(F.col("revoked"), 0).otherwise(F.col("passes")).cast("bigint").alias("streak"), "revoked", "last")
 
 
 def decay(df: DataFrame, weight: str, touched: str, now: Column, days: int = 90, least: float = 0.1, digits: int = 2) -> DataFrame:
@@ -99,3 +123,24 @@ def duplicate_blocks(files: DataFrame, keys: Sequence[str], text: str, size: int
     b = files.select(*keys, lines.alias("_l")).select(*keys, F.filter(blocks, lambda x: F.length(x) >= least).alias("_b"))
     count = F.size("_b")
     return b.select(*keys, count.cast("bigint").alias("blocks"), F.round(F.when(count > 0, 1 - F.size(F.array_distinct("_b")) / count).otherwise(F.lit(0.0)), 6).alias("duplicate_share"))
+
+
+def sample(df: DataFrame, key: str, rate: float, seed: int) -> DataFrame:
+    """max(1, round(rows * rate)) rows without replacement, those first in order of a hash of seed and key.
+
+    How many rows each of 65,536 ranges of the hash holds tells where the last row wanted lies; only the rows of that one
+    range are ordered.  An empty table gives no rows.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    marked = df.withColumns({"_h": h, "_b": F.substring(h, 1, 4)})
+    counts = sorted((r[0], r[1]) for r in marked.groupBy("_b").agg(F.count(F.lit(1))).collect() if r[0] is not None)
+    total = sum(n for _, n in counts)
+    want = min(total, max(1, math.floor(total * rate + 0.5)))
+    below, last = 0, ""
+    for b, n in counts:
+        last = b
+        if below + n >= want:
+            break
+        below += n
+    edge = marked.where(F.col("_b") == last).orderBy("_h", key).limit(want - below)
+    return marked.where(F.col("_b") < last).unionByName(edge).drop("_h", "_b")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestrata.functions import text as T
 
@@ -75,17 +78,55 @@ def compact_lines(docs: DataFrame, key: str, text: str, alike: float = 0.6, cove
     return docs.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, f"{key} {kind}, kept bigint, dropped bigint, lines string")
 
 
-def claim_support(claims: DataFrame, claim: str, claim_text: str, evidence: DataFrame, doc: str, doc_text: str) -> DataFrame:
+#: Words of claims that are shipped to every task, at most.
+CLAIM_WORDS = 2_000_000
+
+
+def claim_support(claims: DataFrame, claim: str, claim_text: str, evidence: DataFrame, doc: str, doc_text: str, most_words: int = CLAIM_WORDS) -> DataFrame:
     """Per claim the best share of its key words in one piece of evidence and its band.
 
     Columns: claim, best_doc, support, verdict (supported from 0.7, partial from 0.4, weak from 0.1, else unsupported).
-    Claims meet evidence by shared words; of a claim only words are exploded, so it is an equi-join with partial counts.
+    Claims of up to ``most_words`` words in all go to every task, where each text is counted against them and only the best
+    so far of every claim is kept; with more, claims are taken in parts, each of which reads the evidence once.
     """
-    words = claims.select(claim, F.array_distinct(T.key_tokens(F.col(claim_text))).alias("w"))
-    need = words.select(claim, F.size("w").alias("n"), F.explode("w").alias("term"))
-    have = evidence.select(doc, F.explode(T.key_tokens(F.col(doc_text))).alias("term")).join(need.select("term").distinct(), "term", "left_semi")
-    shared = need.join(have, "term").groupBy(claim, doc).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    best = shared.groupBy(claim).agg(F.max(F.struct((F.col("c") / F.col("n")).alias("s"), (-F.col(doc)).alias("d"))).alias("b"))
+    own = claims.select(claim, F.array_distinct(T.key_tokens(F.col(claim_text))).alias("w")).where(F.col(claim).isNotNull()).distinct()
+    total = own.agg(F.sum(F.size("w"))).first()[0] or 0
+    parts = max(1, -(-total // most_words))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((claims, claim), (evidence, doc))]
+    texts = evidence.where(F.col(doc_text).isNotNull() & F.col(doc).isNotNull()).select(doc, F.array_distinct(T.key_tokens(F.col(doc_text))).alias("w"))
+
+    def best_of(held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, sizes, where = held.value
+            top = np.zeros(len(names))
+            at: list = [None] * len(names)
+            for batch in batches:
+                for d, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    hit = [where[w] for w in words if w in where]
+                    if not hit:
+                        continue
+                    ids, n = np.unique(np.concatenate(hit), return_counts=True)
+                    share = n / sizes[ids]
+                    for i, s in zip(ids[share >= top[ids]].tolist(), share[share >= top[ids]].tolist(), strict=True):
+                        if s > top[i] or at[i] is None or d < at[i]:
+                            top[i], at[i] = s, d
+            keep = [i for i, d in enumerate(at) if d is not None]
+            yield pa.RecordBatch.from_pydict({claim: [names[i] for i in keep], "d": [at[i] for i in keep], "s": [float(top[i]) for i in keep]}, schema)
+
+        schema = pa.schema([(claim, to_arrow_type(claims.schema[claim].dataType)), ("d", to_arrow_type(evidence.schema[doc].dataType)), ("s", pa.float64())])
+        return texts.mapInArrow(run, f"{claim} {kinds[0]}, d {kinds[1]}, s double")
+
+    found = None
+    for k in range(parts):
+        rows = own.where(F.pmod(F.xxhash64(claim), F.lit(parts)) == k).collect()
+        where: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for w in r[1]:
+                where.setdefault(w, []).append(i)
+        held = evidence.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([max(1, len(r[1])) for r in rows]), {w: np.array(v) for w, v in where.items()}))
+        one = best_of(held)
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy(claim).agg(F.max(F.struct("s", (-F.col("d")).alias("d"))).alias("b"))
     s = F.round(F.coalesce("b.s", F.lit(0.0)), 6)
     band = F.when(s >= 0.7, "supported").when(s >= 0.4, "partial").when(s >= 0.1, "weak").otherwise("unsupported")
     return claims.select(claim).distinct().join(best, claim, "left").select(claim, (-F.col("b.d")).alias("best_doc"), s.alias("support"), band.alias("verdict"))

@@ -16,7 +16,10 @@ _EXT = r"lower(regexp_extract(path, '\.([^./]+)$', 1))"
 
 
 def source(s, d):
-    return table(s, d, "source_files").select("repo", "path", "text", "content_hash", "size").dropDuplicates(["repo", "path"])
+    """Every file once, in the state scanned last."""
+    state = F.struct("scanned_at", F.xxhash64("text"))
+    g = table(s, d, "source_files").groupBy("repo", "path").agg(F.max_by(F.struct("text", "content_hash", "size", "lang", "scanned_at"), state).alias("f"))
+    return g.select("repo", "path", "f.*")
 
 
 @R.query("prj15_language_module", rf"SELECT DISTINCT repo, path, CASE {_EXT} WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'json' THEN 'json' WHEN 'toml' THEN 'toml' WHEN 'xml' THEN 'xml' WHEN 'sh' THEN 'shell' WHEN 'md' THEN 'markdown' WHEN 'sql' THEN 'sql' ELSE 'unknown' END AS language, CASE WHEN path LIKE '%.py' THEN {_MOD} END AS module FROM source_files")
@@ -103,11 +106,13 @@ def _(s, d):
     return source(s, d).groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.count_distinct(ext).alias("languages"), F.sum(F.length("text")).alias("chars"), F.count_if(F.length("text") == 0).alias("empty"))
 
 
-@R.query("ag18_checksums", r"SELECT repo, regexp_extract(path, '^(.*)/', 1) AS dir, sha256(string_agg(path || ':' || sha256(text), ',' ORDER BY path)) AS checksum FROM (SELECT DISTINCT repo, path, text FROM source_files) GROUP BY ALL")
+@R.query("ag18_checksums", r"SELECT repo, dir, sha256(string_agg(part, ',' ORDER BY b)) AS checksum FROM (SELECT repo, dir, b, sha256(string_agg(path || ':' || sha256(text), ',' ORDER BY path)) AS part FROM (SELECT DISTINCT repo, path, text, regexp_extract(path, '^(.*)/', 1) AS dir, substr(sha256(path), 1, 2) AS b FROM source_files) GROUP BY ALL) GROUP BY repo, dir")
 def _(s, d):
+    """Files are hashed in 256 parts of a directory first, so that no row holds all of a directory's files."""
     row = F.struct("path", F.concat("path", F.lit(":"), F.sha2("text", 256)).alias("v"))
-    g = source(s, d).groupBy("repo", F.regexp_extract("path", "^(.*)/", 1).alias("dir")).agg(F.array_sort(F.collect_list(row)).alias("r"))
-    return g.select("repo", "dir", F.sha2(F.array_join(F.transform("r", lambda x: x["v"]), ","), 256).alias("checksum"))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]), ","), 256)
+    parts = source(s, d).groupBy("repo", F.regexp_extract("path", "^(.*)/", 1).alias("dir"), F.substring(F.sha2("path", 256), 1, 2).alias("b")).agg(joined(row).alias("v"))
+    return parts.groupBy("repo", "dir").agg(joined(F.struct("b", "v")).alias("checksum"))
 
 
 @R.query("ax18_sizes", r"SELECT coalesce(repo, '(all)') AS repo, coalesce(top, '(all)') AS top, sum(n)::BIGINT AS bytes FROM (SELECT repo, regexp_extract(path, '^([^/]*)', 1) AS top, strlen(text) AS n FROM (SELECT DISTINCT repo, path, text FROM source_files)) GROUP BY ROLLUP (repo, top)")
@@ -195,8 +200,10 @@ def _(s, d):
 
 @R.query("src17_upsert", "SELECT file_id, content_hash, scanned_at FROM (SELECT file_id, min(content_hash) AS content_hash, scanned_at, row_number() OVER (PARTITION BY file_id ORDER BY scanned_at DESC) AS i FROM source_files GROUP BY file_id, scanned_at) WHERE i = 1")
 def _(s, d):
+    """The state of the first scans, with the rows of all later scans put in."""
     f = table(s, d, "source_files").groupBy("file_id", "scanned_at").agg(F.min("content_hash").alias("content_hash")).select("file_id", "content_hash", "scanned_at")
-    return S.upsert(f, f.limit(0), ["file_id"], "scanned_at")
+    first = f.groupBy("file_id").agg(F.min("scanned_at").alias("scanned_at"))
+    return S.upsert(f.join(first, ["file_id", "scanned_at"]).select(*f.columns), f.join(first, ["file_id", "scanned_at"], "left_anti").select(*f.columns), ["file_id"], "scanned_at")
 
 
 @R.query("src18_delete", "SELECT DISTINCT file_id FROM source_files WHERE file_id NOT IN (SELECT file_id FROM source_files WHERE length(text) = 0)")

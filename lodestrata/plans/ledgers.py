@@ -11,14 +11,14 @@ from lodestrata.runtime import table
 R = Registry()
 
 RUN = "ts string, event string, worker string, tier string, total_tokens bigint, cost_usd double, status string, note string"
-_LINES = """l AS (SELECT doc_id, i::BIGINT AS pos, x FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS x, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE starts_with(x, '{"ts"') AND json_valid(x)),
+_LINES = """l AS (SELECT doc_id, i::BIGINT AS pos, x FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS x, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE starts_with(ltrim(x), '{') AND json_valid(x) AND json_extract_string(x, '$.event') IS NOT NULL),
 r AS (SELECT doc_id, pos, json_extract_string(x, '$.ts') AS ts, json_extract_string(x, '$.event') AS event, json_extract_string(x, '$.worker') AS worker, json_extract_string(x, '$.tier') AS tier, json_extract_string(x, '$.total_tokens')::BIGINT AS total_tokens, json_extract_string(x, '$.cost_usd')::DOUBLE AS cost_usd, json_extract_string(x, '$.status') AS status FROM l)"""
 
 
 def runs(s, d):
     """Rows of the run ledger: lines of JSON inside texts; lines that are none are left out."""
     lines = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n")).alias("p", "x"))
-    rows = lines.where(F.col("x").startswith('{"ts"') & (F.get_json_object("x", "$") != "") & F.get_json_object("x", "$").isNotNull())
+    rows = lines.where(F.ltrim("x").startswith("{") & F.get_json_object("x", "$.event").isNotNull() & (F.get_json_object("x", "$") != "") & F.get_json_object("x", "$").isNotNull())
     rows = rows.select("doc_id", (F.col("p") + 1).cast("bigint").alias("pos"), F.from_json("x", RUN + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     return rows.select("doc_id", "pos", "r.*").where("_corrupt_record is null").drop("_corrupt_record")
 
@@ -66,16 +66,16 @@ def _(s, d):
     return r.groupBy("worker").agg(F.when(F.bool_or(F.col("status") == "failed"), "failed").otherwise(F.max_by("status", F.struct("ts", "doc_id", "pos"))).alias("verdict"))
 
 
-@R.query("wn04_streaks")
+@R.query("wn04_streaks", f"WITH {_LINES}, v AS (SELECT *, CASE status WHEN 'ok' THEN 'PASS' WHEN 'failed' THEN 'CAPITAL' ELSE 'FAIL' END AS v FROM r WHERE worker IS NOT NULL) SELECT worker, CASE WHEN bool_or(v = 'CAPITAL') THEN 0 ELSE count_if(v = 'PASS') END::BIGINT AS streak, bool_or(v = 'CAPITAL') AS revoked, arg_max(v, (ts, doc_id, pos)) AS last FROM v GROUP BY worker")
 def _(s, d):
     r = runs(s, d).where("worker is not null").withColumn("v", F.when(F.col("status") == "ok", "PASS").when(F.col("status") == "failed", "CAPITAL").otherwise("FAIL"))
-    return sequence.streaks(r, ["worker"], [F.col("ts")], "v")
+    return sequence.streaks(r, ["worker"], [F.col("ts"), F.col("doc_id"), F.col("pos")], "v")
 
 
 @R.query("wn03_threshold")
 def _(s, d):
     e = events(s, d).where("user_id is not null").withColumn("hit", F.col("event_type") != "error")
-    return sequence.adaptive_threshold(e, ["user_id"], [F.col("ts"), F.col("event_id")], "hit")
+    return sequence.adaptive_threshold(e, ["user_id"], ["ts", "event_id"], "hit")
 
 
 @R.query("wn02_trend", "WITH d AS (SELECT date_trunc('day', ts) AS day, sum(value) AS v FROM events GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY day) - 1 AS x, v FROM d) SELECT round(coalesce(regr_slope(v, x), 0), 6) AS slope, round(coalesce(regr_intercept(v, x), avg(v)), 6) AS intercept, count(*)::BIGINT AS days FROM n")

@@ -175,10 +175,12 @@ def _(s, d):
     return table(s, d, "vector_records").select("vec_id", "repo", "path").join(c, ["repo", "path"], "left_semi").select("vec_id").distinct()
 
 
-@R.query("st02_posting_lists", r"SELECT term, array_to_string(list_sort(list(DISTINCT doc_id))::VARCHAR[], ',') AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_\-]+')) AS term FROM documents WHERE text IS NOT NULL AND fmt = 'dialogue') GROUP BY term")
+@R.query("st02_posting_lists", r"SELECT term, (doc_id // 1024)::BIGINT AS block, array_to_string(list_sort(list(DISTINCT doc_id))::VARCHAR[], ',') AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_\-]+')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY ALL")
 def _(s, d):
-    w = table(s, d, "documents").where("fmt = 'dialogue'").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return w.groupBy("term").agg(F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
+    """Sorted distinct posting lists in blocks of ids, so that a word of all documents fills no single row."""
+    w = table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    g = w.groupBy("term", F.floor(F.col("doc_id") / 1024).alias("block")).agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
+    return g.select("term", "block", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("docs"))
 
 
 @R.query("st11_append_new", "SELECT head, min(doc_id) AS first_doc, count(*)::BIGINT AS n FROM (SELECT substr(text, 1, 80) AS head, doc_id FROM documents WHERE text IS NOT NULL) WHERE head NOT IN (SELECT substr(text, 1, 80) FROM eval_items) GROUP BY head")

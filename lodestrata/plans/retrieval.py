@@ -32,7 +32,7 @@ def _(s, d):
 
 @R.query("tk02_bm25_postings", r"SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_\-]+')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY ALL")
 def _(s, d):
-    return search.postings(table(s, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf")
+    return search.read_postings(table(s, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf")
 
 
 def _first(s, d) -> list[float]:
@@ -59,7 +59,7 @@ def _(s, d):
 
 @R.query("tk07_phrase_prefix")
 def _(s, d):
-    return search.phrase_prefix(table(s, d, "documents"), "doc_id", "text", ("cold", "start"))
+    return search.phrase_prefix(table(s, d, "documents"), "doc_id", "text", ("cold", "start"), 10)
 
 
 @R.query("tk08_all_words", r"SELECT doc_id FROM documents WHERE text IS NOT NULL AND len(list_filter(['ledger','shard','index'], lambda x: list_contains(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_\-]+'), x))) = 3")
@@ -103,8 +103,8 @@ def _(s, d):
     return table(s, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@R.query("ax01_audit_sample")
+@R.query("ax01_audit_sample", "SELECT doc_id, source, length(text) = n_chars AS size_ok FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT (SELECT greatest(1, round(count(*) * 0.1))::BIGINT FROM documents)")
 def _(s, d):
-    """A seeded tenth of the documents without replacement: the sampling operator, by the order of a hash."""
-    t = table(s, d, "documents")
-    return t.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(10)) == 0).select("doc_id", "source", (F.length("text") == F.col("n_chars")).alias("size_ok"))
+    """A tenth of the documents, max(1, round(n / 10)) of them, without replacement: the sampling operator."""
+    t = table(s, d, "documents").select("doc_id", "source", (F.length("text") == F.col("n_chars")).alias("size_ok"))
+    return sequence.sample(t, "doc_id", 0.1, 7)

@@ -50,10 +50,10 @@ def _(s, d):
     return table(s, d, "commit_nodes").select("repo", "sha", T.alias_form(c).alias("alias"), T.slug(c, empty="unknown").alias("slug")).distinct()
 
 
-@R.query("sc12_hashes", rf"SELECT doc_id, sha256(text) AS sha, 'clm_' || substr(sha256(lower(trim(text))), 1, 8) AS claim, sha256(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) AS query_key FROM {_DOCS} AND text NOT SIMILAR TO '.*[^\x01-\x7f].*' AND regexp_matches(text, '^[\x09\x0a\x0d\x20-\x7e]*$')")
+@R.query("sc12_hashes", rf"SELECT doc_id, sha256(text) AS sha, 'clm_' || substr(sha256(lower(trim(text))), 1, 8) AS claim, sha256(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) AS query_key FROM {_DOCS} ")
 def _(s, d):
     c = F.col("text")
-    return docs(s, d).where(c.rlike(r"^[\x09\x0a\x0d\x20-\x7e]*\z")).select("doc_id", F.sha2(c, 256).alias("sha"), T.claim_id(c).alias("claim"), T.query_key(c).alias("query_key"))
+    return docs(s, d).select("doc_id", F.sha2(c, 256).alias("sha"), T.claim_id(c).alias("claim"), T.query_key(c).alias("query_key"))
 
 
 _STOP = "['the','and','for','with','that','this','from','into','are','was','you','please']"
@@ -86,9 +86,9 @@ def _(s, d):
 
 
 def _redacted(c: str) -> str:
-    for p in (r"AKIA[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"sk_live_[A-Za-z0-9]{16,}", r"AIza[A-Za-z0-9_-]{35}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"):
+    for p in T.MASKED:
         c = f"regexp_replace({c}, '{p}', '[REDACTED]', 'g')"
-    return rf"regexp_replace({c}, '((?:PASSWORD|SECRET|TOKEN|API_KEY)[A-Z_]*=)[^\s\"'']+', '\1[REDACTED]', 'g')"
+    return rf"regexp_replace({c}, '{T.ASSIGNED}', '\1=[REDACTED]', 'g')"
 
 
 @R.query("sc26_redact", f"SELECT DISTINCT chunk_id, sha256({_redacted('text')}) AS redacted FROM chunks")
@@ -143,10 +143,10 @@ def _(s, d):
     return sets.compact_lines(table(s, d, "documents"), "doc_id", "text")
 
 
-@R.query("st06_coverage", rf"WITH k AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{3,}}')) AS w, lower(substr(text, 1, 400)) AS p FROM {_DOCS}) SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_filter(w, lambda x: contains(p, x)))::DOUBLE / len(w) END, 6) AS covered FROM k")
+@R.query("st06_coverage", rf"WITH k AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{3,}}')) AS w, lower(regexp_replace(text, '\n[^\n]*\n', chr(10), 'g')) AS p FROM {_DOCS}) SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_filter(w, lambda x: contains(p, x)))::DOUBLE / len(w) END, 6) AS covered FROM k")
 def _(s, d):
-    """Share of a text's key words that its first 400 characters hold: the coverage a short stand-in keeps."""
-    return docs(s, d).select("doc_id", F.round(sets.coverage(F.col("text"), F.substring("text", 1, 400)), 6).alias("covered"))
+    """Share of a text's key words that every second line holds: the coverage a shorter stand-in keeps."""
+    return docs(s, d).select("doc_id", F.round(sets.coverage(F.col("text"), F.regexp_replace("text", r"\n[^\n]*\n", "\n")), 6).alias("covered"))
 
 
 @R.query("ax02_line_scan", r"SELECT DISTINCT repo, path, i::BIGINT AS line, substr(l, 1, 160) AS hit FROM (SELECT repo, path, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT DISTINCT repo, path, text FROM source_files)) WHERE regexp_matches(l, 'TODO|FIXME|Rename ')")

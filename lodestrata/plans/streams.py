@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestrata.plans.registry import Registry
-from lodestrata.runtime import shared_dir
+from lodestrata.runtime import shared_path
 from lodestrata.streaming import events as E
 
 R = Registry()
 
 
 def _run(s, stream, mode: str):
-    name = f"drained_{uuid.uuid4().hex}"
-    return E.drain(stream, f"{shared_dir(s)}/streams/{name}", mode, name=name)
+    return E.drain(stream, shared_path(s, "stream"), mode)
 
 
 @R.query("sm12_tumbling", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -32,4 +29,4 @@ def _(s, d):
 @R.query("sm09_open_state", "SELECT user_id, arg_max(event_type, (ts, event_id)) = 'error' AS open, count_if(event_type = 'error')::BIGINT AS errors FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
 def _(s, d):
     t = _run(s, E.open_state(E.read(s, d)), "update")
-    return t.groupBy("user_id").agg(F.max_by(F.struct("open", "errors"), "errors").alias("x")).select("user_id", "x.open", "x.errors")
+    return t.groupBy("user_id").agg(F.max_by(F.struct("open", "errors"), "_batch").alias("x")).select("user_id", "x.open", "x.errors")

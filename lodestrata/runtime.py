@@ -30,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, which is removed when the session's application ends."""
+    at = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut lineage: write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -37,10 +46,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     session's application ends.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}.parquet"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    at = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

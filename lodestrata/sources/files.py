@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,18 +124,33 @@ def addressed(blobs: DataFrame, content: str) -> DataFrame:
 def chunks(files: DataFrame, lines: int = 60, overlap: int = 10) -> DataFrame:
     """Windows of lines of every file: (repo, path, chunk_index, start_byte, end_byte, text, content_hash).
 
-    Lines keep their ends, so bytes are those of the file; windows of blanks alone are left out and don't count.
+    Lines keep their ends, so bytes are those of the file; windows of blanks alone are left out and don't count.  One pass
+    over the lines of a file; null and empty texts give no rows.
     """
     step = lines - overlap
-    parts = F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
-    n = F.size("l")
-    a = files.select("repo", "path", parts.alias("l")).where(n > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - lines) / step)).cast("int") * step, F.lit(step))
-    ends = F.transform("l", lambda x: F.octet_length(x))
-    b = a.select("repo", "path", "l", ends.alias("e"), F.explode(starts).alias("s"))
-    at = F.aggregate(F.slice("e", F.lit(1), F.col("s")), F.lit(0).cast("bigint"), lambda t, x: t + x.cast("bigint"))
-    size = F.aggregate(F.slice("e", F.col("s") + 1, F.lit(lines)), F.lit(0).cast("bigint"), lambda t, x: t + x.cast("bigint"))
-    text = F.array_join(F.slice("l", F.col("s") + 1, F.lit(lines)), "")
-    c = b.select("repo", "path", "s", at.alias("start_byte"), (at + size).alias("end_byte"), text.alias("text")).where(F.col("text").rlike(r"\S"))
-    w = Window.partitionBy("repo", "path").orderBy("s")
-    return c.select("repo", "path", (F.row_number().over(w) - 1).alias("chunk_index"), "start_byte", "end_byte", "text", F.sha2("text", 256).alias("content_hash"))
+
+    def windows(text: str) -> Iterator[tuple[int, int, int, str]]:
+        rows = text.split("\n")
+        rows = [r + "\n" for r in rows[:-1]] + ([rows[-1]] if rows[-1] else [])
+        ends = [0, *accumulate(len(r.encode()) for r in rows)]
+        n = 0
+        for at in range(0, max(1, len(rows) - overlap), step):
+            part = "".join(rows[at : at + lines])
+            if part.strip(" \t\n\r\x0b\x0c"):
+                yield n, ends[at], ends[min(at + lines, len(rows))], part
+                n += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, got = [], []
+            for k, text in enumerate(batch.column(2)):
+                for w in windows(text.as_py()):
+                    at.append(k)
+                    got.append(w)
+            cols = list(zip(*got, strict=True)) if got else [[]] * 4
+            part = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)]], ["repo", "path", "chunk_index", "start_byte", "end_byte", "text"])
+
+    kinds = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in ("repo", "path"))
+    cut = files.select("repo", "path", "text").where(F.length("text") > 0).mapInArrow(run, kinds + ", chunk_index int, start_byte bigint, end_byte bigint, text string")
+    return cut.withColumn("content_hash", F.sha2("text", 256))

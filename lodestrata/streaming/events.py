@@ -43,16 +43,19 @@ def outcomes(events: DataFrame) -> DataFrame:
 def open_state(events: DataFrame) -> DataFrame:
     """Per user whether the last event is an error that nothing has followed, kept over batches as state.
 
-    Columns: user_id, open, since, errors.  A user's state is one small row.
+    Columns: user_id, open, since, errors, seen (events taken so far), late (events older than one already taken, which
+    change nothing but this count).  A user's state is one small row and stays as long as the stream runs.
     """
-    state = "since timestamp, last timestamp, open boolean, errors bigint"
-    out = "user_id bigint, open boolean, since timestamp, errors bigint"
+    state = "since timestamp, last timestamp, open boolean, errors bigint, seen bigint, late bigint"
+    out = "user_id bigint, open boolean, since timestamp, errors bigint, seen bigint, late bigint"
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        since, last, is_open, errors = s.get if s.exists else (None, None, False, 0)
+        since, last, is_open, errors, seen, late = s.get if s.exists else (None, None, False, 0, 0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         for t, kind in zip(rows["ts"], rows["event_type"], strict=True):
+            seen += 1
             if last is not None and t < last:
+                late += 1
                 continue
             last = t
             if kind == "error":
@@ -61,15 +64,33 @@ def open_state(events: DataFrame) -> DataFrame:
                 is_open = True
             else:
                 is_open, since = False, None
-        s.update((since, last, is_open, errors))
-        yield pd.DataFrame({"user_id": [key[0]], "open": [is_open], "since": pd.Series([since], dtype="datetime64[ns]"), "errors": [errors]})
+        s.update((since, last, is_open, errors, seen, late))
+        yield pd.DataFrame({"user_id": [key[0]], "open": [is_open], "since": pd.Series([since], dtype="datetime64[ns]"), "errors": [errors], "seen": [seen], "late": [late]})
 
     return events.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull()).groupBy("user_id").applyInPandasWithState(update, out, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, checkpoint: str, mode: str = "append", handle: Callable[[DataFrame, int], None] | None = None, name: str = "drained") -> DataFrame:
-    """Run a stream over what is there and stop: into a memory table of that name, or through a function of (batch, id)."""
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    q = w.foreachBatch(handle).start() if handle else w.format("memory").queryName(name).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name) if not handle else stream.sparkSession.createDataFrame([], stream.schema)
+def drain(stream: DataFrame, at: str, mode: str = "append", handle: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Run a stream over what is there and stop; what it gave is a parquet table under ``at``, read back.
+
+    Every micro-batch is written under its own number, so that a batch run again after a failure replaces itself.  In
+    complete mode the last batch is what is there; in update mode rows have the number ``_batch`` of the batch they come
+    from, and of a key the last one holds.  ``handle`` gets every batch instead, and nothing is read back.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/_batch={number}")
+
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    w.foreachBatch(handle or keep).start().awaitTermination()
+    empty = spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/rows")
+    if handle or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return empty
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{at}/rows")
+    if mode != "complete":
+        return rows
+    last = rows.agg(F.max("_batch")).first()[0]
+    return rows.where(F.col("_batch") == (last if last is not None else 0))

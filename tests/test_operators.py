@@ -89,8 +89,8 @@ def test_sequence(spark):
     many = spark.createDataFrame([("k", i, i % 10 != 0) for i in range(40)] + [("j", 0, False)], "k string, i int, hit boolean")
     got = {r.k: r for r in sequence.adaptive_threshold(many, ["k"], [F.col("i")], "hit", target=0.95).collect()}
     assert got["k"].samples == 40 and got["k"].threshold == pytest.approx(0.9) and got["j"].threshold == 0.5
-    log = spark.createDataFrame([("c", "PASS"), ("c", "FAIL"), ("c", "PASS"), ("d", "PASS"), ("d", "CAPITAL")], "c string, s string")
-    assert rows(sequence.streaks(log, ["c"], [F.lit(1)], "s")) == [("c", 2, False), ("d", 0, True)]
+    log = spark.createDataFrame([("c", 1, "PASS"), ("c", 3, "FAIL"), ("c", 2, "PASS"), ("d", 2, "PASS"), ("d", 1, "CAPITAL")], "c string, i int, s string")
+    assert rows(sequence.streaks(log, ["c"], [F.col("i")], "s")) == [("c", 2, False, "FAIL"), ("d", 0, True, "PASS")]
     text = "a = compute(1)\nb = compute(2)\nc = compute(3)\n"
     f = spark.createDataFrame([("x", text * 2), ("y", ""), ("z", None)], "p string, t string")
     assert [r.duplicate_share > 0 for r in sequence.duplicate_blocks(f, ["p"], "t").orderBy("p").collect()][:2] == [True, False]
@@ -103,7 +103,11 @@ def test_search_and_sets(spark):
     assert [r.id for r in got] == [1, 2] and got[0].score > got[1].score
     assert search.bm25(d.limit(0), "id", "t", ["red"]).count() == 0 and search.bm25(d, "id", "t", []).count() == 0
     assert rows(search.all_words(d, "id", "t", ["red", "dog"])) == [(2,)]
-    assert rows(search.phrase_prefix(d, "id", "t", ["blue", "do"])) == [(3,)]
+    assert [r.id for r in search.phrase_prefix(d, "id", "t", ["blue", "do"]).collect()] == [3]
+    r = spark.createDataFrame([(1, "cold starts, cold start"), (2, "Cold starting of the long report about a cold start"), (3, "start cold"), (4, None), (5, "a colder start"), *[(k, "warm words") for k in range(10, 20)]], "id bigint, t string")
+    got = search.phrase_prefix(r, "id", "t", ["cold", "start"]).collect()
+    assert [(x.id, x.hits) for x in got] == [(1, 2), (2, 2)] and got[0].score < got[1].score < 0 and search.phrase_prefix(r, "id", "t", ["cold", "start"], k=1).count() == 1
+    assert search.phrase_prefix(r, "id", "t", []).count() == 0
     j = d.select(sets.jaccard(F.split("t", " "), F.array(F.lit("red"), F.lit("dog")))).collect()
     assert j[1][0] == 1.0 and j[3][0] == 0.0
     text = "always check the ledger before writing\nalways check the ledger before writing rows\nunrelated words entirely here\n\n"
@@ -193,9 +197,9 @@ def test_streams(spark, tmp_path):
     data = [(1, t(0), 7, "error", 1.0, "{}"), (2, t(1), 7, "view", 2.0, "{}"), (3, t(2), 8, "error", 3.0, "{}"), (3, t(2), 8, "error", 3.0, "{}")]
     spark.createDataFrame(data, E.EVENTS).write.parquet(str(src / "events.parquet"))
     read = lambda: E.read(spark, str(src / "events.parquet"), "*.parquet")
-    assert E.drain(E.tumbling(read()), str(tmp_path / "c1"), "complete", name="t1").count() == 2
-    assert E.drain(E.deduplicated(read()), str(tmp_path / "c2"), name="t2").count() == 3
-    assert rows(E.drain(E.open_state(read()), str(tmp_path / "c3"), "update", name="t3").select("user_id", "open", "errors")) == [(7, False, 1), (8, True, 2)]
+    assert E.drain(E.tumbling(read()), str(tmp_path / "c1"), "complete").count() == 2
+    assert E.drain(E.deduplicated(read()), str(tmp_path / "c2")).count() == 3
+    assert rows(E.drain(E.open_state(read()), str(tmp_path / "c3"), "update").select("user_id", "open", "errors")) == [(7, False, 1), (8, True, 2)]
     seen = []
     E.drain(E.outcomes(read()), str(tmp_path / "c4"), handle=lambda b, i: seen.append(b.count()))
     assert sum(seen) == 3
@@ -213,3 +217,32 @@ def test_rules_and_embedder(spark):
     assert got[0][0] == got[1][0] != got[2][0] and got[0][1] == ["A", "C"] and got[0][2] == ["do a", "b", "c"]
     v = spark.createDataFrame([("red fox",), ("fox RED",), (None,)], "t string").select(embedder(16)(F.col("t"))).collect()
     assert v[0][0] == v[1][0] == pytest.approx(bag("red fox", 16)) and sum(v[2][0]) == 0
+
+
+def test_stems():
+    from lodestrata.functions.stem import stem
+
+    words = "caresses ponies ties cats feed agreed plastered motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional rational digitizer operator feudalism decisiveness hopefulness formaliti triplicate formative formalize electrical goodness revival allowance inference airliner adjustable irritant replacement adoption probate rate cease controll roll"
+    want = "caress poni ti cat feed agre plaster motor sing conflat troubl size hop tan fall hiss fizz fail file happi sky relat condit ration digit oper feudal decis hope formal triplic form formal electr good reviv allow infer airlin adjust irrit replac adopt probat rate ceas control roll"
+    assert [stem(w) for w in words.split()] == want.split()
+
+
+def test_symbols_agree_with_the_table(spark):
+    from lodestrata.operators import parse
+
+    at = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in parse.python_symbols(spark.read.parquet(f"{at}/source_files.parquet").where("path like '%.py'")).collect()}
+    files = {r[:2] for r in got}
+    have = {tuple(r) for r in spark.read.parquet(f"{at}/symbols.parquet").select("repo", "path", "qualname", "kind", "start_line", "end_line").where("kind is not null and end_line is not null").collect()}
+    # Rows of the table of files that still parse are those found.
+    assert len(have) > 100 and {r for r in have if r[:2] in files} <= got
+    text = "class A:\n    async def m(self): pass\n    class B:\n        def n(self): pass\nasync def f():\n    def g(): pass\nif 1:\n    def h(): pass\n"
+    d = spark.createDataFrame([("r", "a.py", text), ("r", "b.py", "def (:"), ("r", "c.py", None)], "repo string, path string, text string")
+    assert [(r.qualname, r.kind, r.start_line, r.end_line) for r in parse.python_symbols(d).collect()] == [("A", "class", 1, 4), ("A.m", "method", 2, 2), ("A.B", "class", 3, 4), ("A.B.n", "method", 4, 4), ("f", "async_function", 5, 6), ("f.g", "function", 6, 6)]
+
+
+def test_exact_sample(spark):
+    d = spark.range(1000)
+    got = {r[0] for r in sequence.sample(d, "id", 0.05, 3).collect()}
+    assert len(got) == 50 and got == {r[0] for r in sequence.sample(d.repartition(7), "id", 0.05, 3).collect()}
+    assert sequence.sample(spark.range(3), "id", 0.01, 3).count() == 1 and sequence.sample(spark.range(0), "id", 0.5, 3).count() == 0
