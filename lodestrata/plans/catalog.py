@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import code, graphs, ledgers, more, relational, retrieval, scalars, streams
+from lodestrata.plans import code, graphs, ledgers, more, relational, retrieval, scalars, sources, streams
 from lodestrata.plans.registry import Query
 
-_PARTS = (scalars, code, retrieval, ledgers, graphs, more, relational, streams)
+_PARTS = (scalars, code, retrieval, ledgers, graphs, more, relational, streams, sources)
 
 
 def queries() -> dict[str, Query]:
