@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import hashlib
+import re
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -138,6 +140,44 @@ def python_imports(files: DataFrame) -> DataFrame:
     return _map(files, ["repo", "path"], "text", "target string", [("target", pa.string())], rows)
 
 
+def python_top_imports(files: DataFrame) -> DataFrame:
+    """(repo, path, package): the first names of absolute imports at the top of a file's statements."""
+    def rows(_: tuple, text: str | None) -> list[tuple]:
+        t = tree(text)
+        found = set()
+        for n in ast.walk(t) if t else ():
+            if isinstance(n, ast.Import):
+                found |= {a.name.partition(".")[0] for a in n.names}
+            elif isinstance(n, ast.ImportFrom) and not n.level and n.module:
+                found.add(n.module.partition(".")[0])
+        return [(x,) for x in sorted(found)]
+
+    return _map(files, ["repo", "path"], "text", "package string", [("package", pa.string())], rows)
+
+
+def locus_of(module: ast.Module, line: int) -> tuple[str, str]:
+    """(kind:scope, hash of the kinds of the children) of the innermost node that begins on a line; unknown:global without one."""
+    found, kinds = "unknown:global", []
+    todo: list[tuple[ast.AST, str]] = [(module, "global")]
+    while todo:
+        node, scope = todo.pop(0)
+        inner = node.name if isinstance(node, _DEFS) else scope
+        if getattr(node, "lineno", None) == line:
+            found, kinds = f"{type(node).__name__}:{inner}", [type(c).__name__ for c in ast.iter_child_nodes(node)]
+        todo[:0] = [(c, inner) for c in ast.iter_child_nodes(node)]
+    return found, hashlib.sha256("-".join(kinds).encode()).hexdigest()
+
+
+def python_loci(files: DataFrame) -> DataFrame:
+    """(repo, path, line, locus, children) of the lines asked for; ``files`` has repo, path, text and the array lines."""
+    def rows(keys: tuple, text: str | None) -> list[tuple]:
+        t = tree(text)
+        wrong = ("parse_error:global", hashlib.sha256(b"error").hexdigest())
+        return [(n, *(locus_of(t, n) if t else wrong)) for n in keys[2] or []]
+
+    return _map(files, ["repo", "path", "lines"], "text", "line int, locus string, children string", [("line", pa.int32()), ("locus", pa.string()), ("children", pa.string())], rows).drop("lines")
+
+
 def python_facts(files: DataFrame) -> DataFrame:
     """(repo, path, status, imports, classes, functions, constants, decorators, summary); status ok or error."""
     lists = ["imports", "classes", "functions", "constants", "decorators"]
@@ -204,6 +244,15 @@ def python_scores(files: DataFrame) -> DataFrame:
     return _map(files, ["repo", "path"], "text", "lines int, " + ", ".join(f"{p} double" for p in PRINCIPLES), [("lines", pa.int32()), *[(p, pa.float64()) for p in PRINCIPLES]], rows)
 
 
+def python_complexity(files: DataFrame) -> DataFrame:
+    """(repo, path, line, function, complexity) of every function of Python files that parse."""
+    def rows(_: tuple, text: str | None) -> list[tuple]:
+        t = tree(text)
+        return sorted((n.lineno, n.name, _complexity(n)) for n in ast.walk(t) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))) if t else []
+
+    return _map(files, ["repo", "path"], "text", "line int, function string, complexity int", [("line", pa.int32()), ("function", pa.string()), ("complexity", pa.int32())], rows)
+
+
 def scorecard(scores: DataFrame) -> DataFrame:
     """(repo, principle, mean, worst, composite): composite is the mean of means, from 0 to 100."""
     long = scores.select("repo", F.explode(F.create_map(*[x for p in PRINCIPLES for x in (F.lit(p), F.col(p))])).alias("principle", "v"))
@@ -254,6 +303,50 @@ def config_keys(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r'(?m)^\s{0,2}"?([A-Za-z_][A-Za-z0-9_.-]*)"?\s*[:=]'), F.lit(1))))
 
 
+def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, heading, text): runs of lines between headings and blank lines, the line (from 1) they begin at, and the last heading above."""
+    head, blank = re.compile(r"#{1,6}\s+(.+)$"), " \t"
+
+    def rows(_: tuple, body: str | None) -> list[tuple]:
+        out, heading, begin, held = [], "", 0, []
+        for k, line in enumerate([*(body or "").replace("\r", "").split("\n"), ""], 1):
+            m = head.match(line)
+            if m or not line.strip(blank):
+                if held:
+                    out.append((begin, heading, "\n".join(held)))
+                    held = []
+                heading = m[1] if m else heading
+            else:
+                begin = begin if held else k
+                held.append(line)
+        return out
+
+    return _map(docs, [key], text, "line bigint, heading string, text string", [("line", pa.int64()), ("heading", pa.string()), ("text", pa.string())], rows)
+
+
+def dispatched(files: DataFrame) -> DataFrame:
+    """(repo, path, kind, n) of every file (repo, path, text) through the parser its extension names: how many facts of that kind it has.
+
+    Python gives definitions (-1 if it does not parse), Markdown headings, SQL tables, shell scripts, configurations keys, the
+    rest lines.  Null texts count as empty.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    kind = F.when(ext == "py", "definitions").when(ext == "md", "headings").when(ext == "sql", "tables").when(ext == "sh", "scripts").when(ext.isin("json", "toml", "xml"), "keys").otherwise("lines")
+    by_text = (
+        F.when(ext == "md", F.regexp_count(t, F.lit(r"(?m)^#{1,6}[ \t]+\S"))).when(ext == "sql", F.size(sql_tables(t))).when(ext == "sh", F.size(shell_scripts(t)))
+        .when(ext.isin("json", "toml", "xml"), F.size(config_keys(t))).otherwise(F.size(F.split(t, "\n")))
+    )
+
+    def count(_: tuple, text: str | None) -> list[tuple]:
+        m = tree(text or "")
+        return [(-1 if m is None else sum(isinstance(n, _DEFS) for n in ast.walk(m)),)]
+
+    others = files.where(ext != "py").select("repo", "path", kind.alias("kind"), by_text.cast("bigint").alias("n"))
+    python = _map(files.where(ext == "py"), ["repo", "path"], "text", "n bigint", [("n", pa.int64())], count)
+    return others.unionByName(python.select("repo", "path", F.lit("definitions").alias("kind"), "n"))
+
+
 # Commits and diffs.
 
 COMMIT_TYPES = (("feature", "feat|feature"), ("bug", "fix|bug|bugfix|hotfix"), ("test", "test|tests"), ("refactor", "refactor|perf"), ("chore", "chore|docs|style|build|ci|revert"))
