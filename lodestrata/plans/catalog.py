@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import code, graphs, ledgers, lookups, more, relational, retrieval, scalars, sources, streams, texts
+from lodestrata.plans import code, graphs, ledgers, lookups, more, relational, retrieval, scalars, sources, streams, texts, tools
 from lodestrata.plans.registry import Query
 
-_PARTS = (scalars, code, retrieval, ledgers, graphs, more, relational, streams, sources, lookups, texts)
+_PARTS = (scalars, code, retrieval, ledgers, graphs, more, relational, streams, sources, lookups, texts, tools)
 
 
 def queries() -> dict[str, Query]:
