@@ -12,6 +12,7 @@ from lodestrata.plans.graphs import follows
 from lodestrata.plans.ledgers import events, runs
 from lodestrata.plans.ledgers import _LINES as LINES
 from lodestrata.plans.registry import Registry
+from lodestrata.plans.retrieval import first_vector
 from lodestrata.runtime import table
 
 R = Registry()
@@ -426,7 +427,7 @@ def _(s, d):
     sy, at = table(s, d, "symbols").select("repo", "path", "qualname"), shared_path(s, "shards")
     write_partitioned(sy, at, ["repo"])
     first = sy.agg(F.min("repo")).first()[0]
-    return s.read.parquet(at).where(F.col("repo") == F.lit(first)).groupBy("path").agg(F.count_distinct("qualname").alias("symbols"))
+    return s.read.schema(sy.schema).parquet(at).where(F.col("repo") == F.lit(first)).groupBy("path").agg(F.count_distinct("qualname").alias("symbols"))
 
 
 @R.query("tk05_index_search", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), q AS (SELECT x AS y FROM v ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_cosine_similarity(x, y), 6) AS score FROM v, q ORDER BY score DESC, vec_id LIMIT 10")
@@ -435,5 +436,5 @@ def _(s, d):
     from lodestrata.operators.planes import search as by_planes
 
     v = table(s, d, "embeddings").select("vec_id", "embedding")
-    q = [float(x) for x in v.orderBy("vec_id").select("embedding").first()[0]]
+    q = first_vector(v, "vec_id", "embedding")
     return by_planes(v, "vec_id", "embedding", q, 10)

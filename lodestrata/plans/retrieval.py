@@ -35,8 +35,14 @@ def _(s, d):
     return search.read_postings(table(s, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf")
 
 
+def first_vector(vectors, key: str, vector: str) -> list[float]:
+    """The vector of the least key as a query; a zero where there is none."""
+    r = vectors.orderBy(key).select(vector).first()
+    return [float(x) for x in r[0]] if r and r[0] else [0.0]
+
+
 def _first(s, d) -> list[float]:
-    return [float(x) for x in table(s, d, "embeddings").orderBy("vec_id").select("embedding").first()[0]]
+    return first_vector(table(s, d, "embeddings"), "vec_id", "embedding")
 
 
 @R.query("tk03_knn", "SELECT vec_id, score FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10) WHERE score >= 0.1")
@@ -53,7 +59,7 @@ def _(s, d):
         F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     )
     v = v.groupBy("vec_id").agg(F.first("text").alias("text"), F.first("vector").alias("vector"))
-    q = [float(x) for x in v.orderBy("vec_id").select("vector").first()[0]]
+    q = first_vector(v, "vec_id", "vector")
     return search.hybrid(v, "vec_id", "text", "vector", ("return", "def", "ledger"), q)
 
 

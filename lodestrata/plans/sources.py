@@ -196,8 +196,9 @@ def _(s, d):
 def _(s, d):
     """A store in partitions of models: of other models' files nothing is read."""
     at = shared_path(s, "vectors")
-    S.write_partitioned(table(s, d, "vector_records").select("vec_id", "vector", "embed_model"), at, ["embed_model"])
-    return s.read.parquet(at).where(F.col("embed_model").isin("hashbow-64", "nobody")).groupBy("embed_model").agg(F.count_distinct("vec_id").alias("n"))
+    v = table(s, d, "vector_records").select("vec_id", "vector", "embed_model")
+    S.write_partitioned(v, at, ["embed_model"])
+    return s.read.schema(v.schema).parquet(at).where(F.col("embed_model").isin("hashbow-64", "nobody")).groupBy("embed_model").agg(F.count_distinct("vec_id").alias("n"))
 
 
 @R.query("src23_vector_upsert", "SELECT vec_id, max(embedded_at) AS embedded_at FROM vector_records GROUP BY vec_id")

@@ -12,6 +12,7 @@ from lodestrata.functions import text as T
 from lodestrata.operators import parse
 from lodestrata.plans.code import source
 from lodestrata.plans.registry import Registry
+from lodestrata.plans.retrieval import first_vector
 from lodestrata.runtime import table
 
 R = Registry()
@@ -100,7 +101,7 @@ def _(s, d):
 @R.query("sc33_batch_cosine", "SELECT vec_id, round(list_cosine_similarity(embedding, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)), 3) AS score FROM embeddings")
 def _(s, d):
     v = table(s, d, "embeddings").select("vec_id", "embedding")
-    q = [float(x) for x in v.orderBy("vec_id").select("embedding").first()[0]]
+    q = first_vector(v, "vec_id", "embedding")
     return v.select("vec_id", F.round(N.batch_cosine(F.col("embedding"), q), 3).alias("score"))
 
 
