@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,10 +77,23 @@ def stale(cited: DataFrame, current: DataFrame, key: str, hash_: str) -> DataFra
     return cited.join(now, key, "left").select(key, ((F.coalesce(F.col(hash_), F.lit("")) != "") & F.col(hash_).eqNullSafe(F.col("_now"))).alias("fresh"))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], ltime: str, rtime: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the values of the latest right row at or before its time: one union and one window, no range join."""
-    a = left.withColumn("_t", F.col(ltime)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(F.struct(*values).alias("x")).schema["x"].dataType))
-    b = right.select(*keys, F.col(rtime).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], ltime: str, rtime: str, values: Sequence[str], bucket_seconds: int = 30 * 86400) -> DataFrame:
+    """Each left row with the values of the latest right row at or before its time; nulls where there is none or a key is null.
+
+    Times are cut into buckets, so that a key with many rows is spread over tasks; what a bucket hands on to later ones is
+    one row a key and bucket.  Of right rows at the same time the greatest values count.
+    """
+    width = bucket_seconds * 1_000_000
+    mark = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / width)
+    kind = right.select(F.struct(*values).alias("x")).schema["x"].dataType
+    a = left.withColumns({"_t": F.col(ltime), "_side": F.lit(1), "_v": F.lit(None).cast(kind), "_b": mark(ltime)})
+    b = right.select(*keys, F.col(rtime).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"), mark(rtime).alias("_b"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = a.unionByName(b, allowMissingColumns=True).withColumn("_in", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    ends = b.groupBy(*keys, "_b").agg(F.max_by("_v", F.struct("_t", "_v")).alias("_e")).unionByName(a.select(*keys, "_b", F.lit(None).cast(kind).alias("_e")).distinct())
+    ends = ends.groupBy(*keys, "_b").agg(F.max("_e").alias("_e"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(*keys, "_b", F.last("_e", ignorenulls=True).over(before).alias("_h")).where(F.col("_h").isNotNull())
+    got = inside.join(handed, [*keys, "_b"], "left").withColumn("_last", F.coalesce("_in", "_h"))
+    some = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    return got.select(*left.columns, *[F.when(some, F.col(f"_last.{v}")).alias(v) for v in values])

@@ -92,4 +92,5 @@ class Tools:
         except (ValueError, KeyError, TypeError) as e:
             return json.dumps({"error": f"{type(e).__name__}: {e}"})
         n = min(max(int(r.get("limit", 20)), 1), 100)
-        return json.dumps({"rows": [json.loads(x) for x in f(spark, folder, **r.get("arguments", {})).limit(n).toJSON().collect()]})
+        rows = f(spark, folder, **r.get("arguments", {})).limit(n).select(F.to_json(F.struct("*"))).collect()
+        return json.dumps({"rows": [json.loads(x[0]) for x in rows]})

@@ -31,19 +31,41 @@ def trend(daily: DataFrame, day: str, value: str) -> DataFrame:
     return s.select(F.round(F.coalesce("slope", F.lit(0.0)), 6).alias("slope"), F.round(F.coalesce("intercept", "mean", F.lit(0.0)), 6).alias("intercept"), "days")
 
 
-def rolling_count(df: DataFrame, keys: Sequence[str], time: str, seconds: int, name: str = "calls") -> DataFrame:
-    """Rows of the key within so many seconds up to each row."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn(name, F.count(F.lit(1)).over(w))
-
-
-def sessions(df: DataFrame, keys: Sequence[str], time: str, gap_seconds: int) -> DataFrame:
-    """(keys, start, end, n) of runs without a pause of the gap or longer."""
-    w = Window.partitionBy(*keys).orderBy("_t")
-    t = df.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
-    new = F.coalesce((F.col("_t") - F.lag("_t").over(w) >= gap_seconds * 1_000_000).cast("int"), F.lit(1))
-    numbered = t.withColumn("_new", new).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_s").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count(F.lit(1)).alias("n")).drop("_s")
+#: Seconds of a bucket of time; the rows of a key are spread over tasks by buckets.
+BUCKET = 30 * 86400
+
+
+def rolling_count(df: DataFrame, keys: Sequence[str], time: str, seconds: int, name: str = "calls", bucket: int = BUCKET) -> DataFrame:
+    """Rows of the key within so many seconds up to each row; rows without a time count those without one.
+
+    Rows near the end of a bucket of time are copied into the next, so that every bucket is counted by itself.
+    """
+    width, span = max(bucket, seconds) * 1_000_000, seconds * 1_000_000
+    t = df.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("_b", F.floor(F.col("_t") / width))
+    copies = t.where(F.col("_t") >= (F.col("_b") + 1) * width - span).withColumn("_b", F.col("_b") + 1)
+    both = t.withColumn("_own", F.lit(True)).unionByName(copies.withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(-span, 0)
+    return both.withColumn(name, F.count(F.lit(1)).over(w)).where("_own").drop("_t", "_b", "_own")
+
+
+def sessions(df: DataFrame, keys: Sequence[str], time: str, gap_seconds: int, bucket: int = BUCKET) -> DataFrame:
+    """(keys, start, end, n) of runs without a pause of the gap or longer; rows without a time are left out.
+
+    Runs are found within buckets of time first; only the first and the last run of every bucket can go on in another, and
+    only those are joined.
+    """
+    gap, width = gap_seconds * 1_000_000, bucket * 1_000_000
+    t = df.select(*keys, time, F.unix_micros(F.col(time).cast("timestamp")).alias("_t")).where(F.col("_t").isNotNull()).withColumn("_b", F.floor(F.col("_t") / width))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t")
+    new = F.coalesce((F.col("_t") - F.lag("_t").over(w) >= gap).cast("int"), F.lit(0))
+    runs = t.withColumn("_new", new).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*keys, "_b", "_s").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.min("_t").alias("_a"), F.max("_t").alias("_z"), F.count(F.lit(1)).alias("n"))
+    last = F.max("_s").over(Window.partitionBy(*keys, "_b"))
+    marked = runs.withColumn("_edge", (F.col("_s") == 0) | (F.col("_s") == last))
+    v = Window.partitionBy(*keys).orderBy("_a")
+    edges = marked.where("_edge").withColumn("_new", F.coalesce((F.col("_a") - F.lag("_z").over(v) >= gap).cast("int"), F.lit(1))).withColumn("_g", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edges.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_g")
+    return joined.unionByName(marked.where("not _edge").select(*joined.columns))
 
 
 def pack(hits: DataFrame, group: Sequence[str], order: Sequence[Column], unique: Sequence[str], size: str, budget: int) -> DataFrame:

@@ -149,13 +149,13 @@ def _(s, d):
     return joins.longest_prefix(names, "name", prefixes, "prefix")
 
 
-@R.query("jn09_cross_repo", rf"""WITH o AS (SELECT name, min(repo) AS to_repo FROM (SELECT DISTINCT repo, regexp_extract(path, '([^/]*)$', 1) AS name FROM source_files) GROUP BY name HAVING count(*) = 1),
-u AS (SELECT repo, regexp_extract(f, '([^/]*)$', 1) AS name, sha AS file FROM (SELECT DISTINCT repo, sha, unnest(files) AS f FROM commit_nodes) WHERE f IS NOT NULL)
+@R.query("jn09_cross_repo", """WITH o AS (SELECT name, min(repo) AS to_repo FROM (SELECT DISTINCT repo, split_part(qualname, '.', 1) AS name FROM symbols) GROUP BY name HAVING count(*) = 1), u AS (SELECT DISTINCT repo, path AS file, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM source_files)
 SELECT repo AS from_repo, to_repo, count(*)::BIGINT AS uses, array_to_string(list_sort(list_distinct(list(file)))[1:5], ',') AS examples FROM u JOIN o USING (name) WHERE repo <> to_repo GROUP BY repo, to_repo""")
 def _(s, d):
-    name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
-    owners = table(s, d, "source_files").select("repo", name("path").alias("name"))
-    uses = table(s, d, "commit_nodes").select("repo", F.col("sha").alias("file"), F.explode("files").alias("f")).distinct().where("f is not null").select("repo", "file", name("f").alias("name"))
+    """Names that one repository alone defines and files of another mention, with the first five files."""
+    owners = table(s, d, "symbols").select("repo", F.substring_index("qualname", ".", 1).alias("name"))
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))))
+    uses = table(s, d, "source_files").select("repo", F.col("path").alias("file"), names.alias("name")).distinct()
     return joins.ownership(uses, owners, "name")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions import text as T
 from lodestrata.operators import graph, joins, parse
+from lodestrata.plans.code import source
 from lodestrata.plans.registry import Registry
 from lodestrata.runtime import table
 
@@ -20,14 +22,40 @@ def follows(s, d):
     return f.where("p.a is not null and p.b is not null").select(F.concat_ws("/", "repo", "p.a").alias("src"), F.concat_ws("/", "repo", "p.b").alias("dst")).distinct()
 
 
-def imports(s, d):
+def python_files(s, d):
+    return source(s, d).where(F.col("path").endswith(".py")).select("repo", "path", "text")
+
+
+def imports_of(files):
     """Edges between modules of a repository: each import to the longest own module that is a prefix of it."""
-    files = table(s, d, "source_files").where("path like '%.py'").select("repo", "path", "text").dropDuplicates(["repo", "path"])
-    module = lambda c: F.regexp_replace(F.replace(F.regexp_replace(c, r"\.py$", ""), F.lit("/"), F.lit(".")), r"\.__init__$", "")
     targets = parse.python_imports(files).select("repo", "path", F.concat_ws(".", "repo", "target").alias("name"))
-    mods = files.select(F.concat_ws(".", "repo", module("path")).alias("module")).distinct()
+    mods = files.select(F.concat_ws(".", "repo", T.module_name(F.col("path"))).alias("module")).distinct()
     hit = joins.longest_prefix(targets.select("name").distinct(), "name", mods, "module")
-    return targets.join(hit, "name").select(F.concat_ws(".", "repo", module("path")).alias("src"), F.col("module").alias("dst")).where("src != dst").distinct()
+    return targets.join(hit, "name").select(F.concat_ws(".", "repo", T.module_name(F.col("path"))).alias("src"), F.col("module").alias("dst")).where("src != dst").distinct()
+
+
+def calls_of(files):
+    """Calls inside a file: the innermost definition a call stands in to a name defined in the same file, itself excluded."""
+    symbols = parse.python_symbols(files)
+    simple = F.regexp_extract("qualname", r"([^.]*)$", 1)
+    calls = parse.python_calls(files).distinct()
+    held = joins.innermost(calls, symbols, ["repo", "path"], "line", "start_line", "end_line", ["qualname"])
+    local = symbols.select("repo", "path", simple.alias("callee")).distinct()
+    return held.join(local, ["repo", "path", "callee"], "left_semi").where(simple != F.col("callee")).select("repo", "path", F.col("qualname").alias("caller"), "callee").distinct()
+
+
+def written(s, d):
+    """Modules that import what follows them in commits, some by relative imports, with three functions each: files the import and call graphs have edges of."""
+    e = follows(s, d).select(F.split_part("src", F.lit("/"), F.lit(1)).alias("repo"), F.regexp_replace("src", "^[^/]+/", "").alias("path"), F.regexp_replace("dst", "^[^/]+/", "").alias("to"))
+    plain = r"^[a-z_][a-z0-9_]*(/[a-z_][a-z0-9_]*)*\.py$"
+    e = e.where(F.col("path").rlike(plain) & F.col("to").rlike(plain))
+    dir_of = lambda c: F.regexp_extract(c, r"^(.*/)?[^/]*$", 1)
+    near = (dir_of("path") == dir_of("to")) & (dir_of("path") != "")
+    line = F.when(near, F.concat(F.lit("from . import "), F.regexp_extract("to", r"([^/]*)\.py$", 1))).otherwise(F.concat(F.lit("import "), T.module_name(F.col("to"))))
+    text = F.concat(F.array_join(F.array_sort(F.collect_set(line)), "\n"), F.lit("\n\n\ndef f():\n    g()\n    return len(h())\n\n\ndef g():\n    return g()\n\n\ndef h():\n    return []\n"))
+    made = e.groupBy("repo", "path").agg(text.alias("text"))
+    ends = e.select("repo", F.col("to").alias("path")).distinct().join(made.select("repo", "path"), ["repo", "path"], "left_anti").withColumn("text", F.lit("x = 1\n"))
+    return made.unionByName(ends)
 
 
 @R.query("gr00_edges", f"WITH {_EDGES} SELECT src, dst FROM e")
@@ -66,14 +94,28 @@ def _(s, d):
     return graph.cyclic(follows(s, d))
 
 
-@R.query("gr04_import_cycles")
+_PLAIN = r"'^[a-z_][a-z0-9_]*(/[a-z_][a-z0-9_]*)*\.py$'"
+_MODULE = r"regexp_replace(replace(regexp_replace({0}, '\.py$', ''), '/', '.'), '\.__init__$', '')"
+_WRITTEN = f"""{_EDGES}, p AS (SELECT split_part(src, '/', 1) AS repo, regexp_replace(src, '^[^/]+/', '') AS a, regexp_replace(dst, '^[^/]+/', '') AS b FROM e), q AS (SELECT * FROM p WHERE regexp_matches(a, {_PLAIN}) AND regexp_matches(b, {_PLAIN})),
+i AS (SELECT DISTINCT repo || '.' || {_MODULE.format('a')} AS src, repo || '.' || {_MODULE.format('b')} AS dst FROM q WHERE a <> b)"""
+
+
+@R.query("gr04_import_cycles", f"WITH RECURSIVE {_WRITTEN}, r AS (SELECT src AS a, dst AS b FROM i UNION SELECT r.a, i.dst FROM r JOIN i ON i.src = r.b) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def _(s, d):
+    """Cycles of imports among the written modules."""
+    return graph.cyclic(imports_of(written(s, d)))
+
+
+@R.query("gr05_import_graph", f"WITH {_WRITTEN} SELECT src, dst FROM i")
 def _(s, d):
-    return graph.cyclic(imports(s, d))
+    """The import graph of the written modules."""
+    return imports_of(written(s, d))
 
 
-@R.query("gr05_import_graph")
+@R.query("gr05_scanned_imports")
 def _(s, d):
-    return imports(s, d)
+    """The import graph of the files as they are: theirs name no module of their own repository, so it has no edges."""
+    return imports_of(python_files(s, d))
 
 
 @R.query("gr_components", f"WITH RECURSIVE {_EDGES}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a")
@@ -102,16 +144,16 @@ def _(s, d):
     return graph.valid_links(follows(s, d).withColumn("type", F.lit("follows")), nodes)
 
 
-@R.query("gr14_call_edges")
+@R.query("gr14_call_edges", f"WITH {_EDGES}, p AS (SELECT DISTINCT split_part(src, '/', 1) AS repo, regexp_replace(src, '^[^/]+/', '') AS path FROM e WHERE regexp_matches(regexp_replace(src, '^[^/]+/', ''), {_PLAIN}) AND regexp_matches(regexp_replace(dst, '^[^/]+/', ''), {_PLAIN})) SELECT repo, path, 'f' AS caller, unnest(['g', 'h']) AS callee FROM p")
 def _(s, d):
-    """Calls inside a file: the innermost definition a call stands in to a name defined in the same file, itself excluded."""
-    files = table(s, d, "source_files").where("path like '%.py'").select("repo", "path", "text").dropDuplicates(["repo", "path"])
-    symbols = parse.python_symbols(files)
-    simple = F.regexp_extract("qualname", r"([^.]*)$", 1)
-    calls = parse.python_calls(files).distinct()
-    held = joins.innermost(calls, symbols, ["repo", "path"], "line", "start_line", "end_line", ["qualname"])
-    local = symbols.select("repo", "path", simple.alias("callee")).distinct()
-    return held.join(local, ["repo", "path", "callee"], "left_semi").where(simple != F.col("callee")).select("repo", "path", F.col("qualname").alias("caller"), "callee").distinct()
+    """Calls inside the written modules."""
+    return calls_of(written(s, d))
+
+
+@R.query("gr14_scanned_calls")
+def _(s, d):
+    """Calls inside the files as they are."""
+    return calls_of(python_files(s, d))
 
 
 @R.query("tk23_degree_one", f"WITH {_EDGES}, h AS (SELECT src, count(*) AS n FROM e GROUP BY src ORDER BY n DESC, src LIMIT 1), v AS (SELECT DISTINCT dst AS node FROM e WHERE src = (SELECT src FROM h)) SELECT node, (SELECT count(*) FROM v)::BIGINT AS total FROM v ORDER BY node LIMIT 10")
