@@ -88,6 +88,46 @@ def _hole(text: str) -> bool:
     return known
 
 
+_GROUP = re.compile(r"\(\?(?::|=|!|<=|<!|<[$A-Za-z_][\w$]*>|[ims]*(?:-[ims]*)?:)")
+_regexes = Memo(1 << 14)
+
+
+def _sound(regex: str) -> bool:
+    """Whether flags and groups of a regular expression are in order, and nothing is repeated that isn't there."""
+    pattern, _, flags = regex[1:].rpartition("/")
+    if len(set(flags)) < len(flags) or not set(flags) <= set("dgimsuvy") or {"u", "v"} <= set(flags):
+        return False
+    depth, at, first = 0, 0, True
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at, first = at + 2, False
+            continue
+        if c == "[":
+            at += 1
+            while at < len(pattern) and pattern[at] != "]":
+                at += 2 if pattern[at] == "\\" else 1
+            first = False
+        elif c == "(":
+            depth += 1
+            if pattern[at + 1 : at + 2] == "?":
+                m = _GROUP.match(pattern, at)
+                if not m:
+                    return False
+                at = m.end() - 1
+            first = True
+        elif c == ")":
+            depth, first = depth - 1, False
+            if depth < 0:
+                return False
+        elif c in "*+?" and first:
+            return False
+        else:
+            first = c == "|"
+        at += 1
+    return depth == 0
+
+
 _BEFORE_DIVISION = frozenset(("N", "0", "S", "T", "R", "P", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--", "?"))
 
 
@@ -112,7 +152,8 @@ def _walk(text: str, at: int, inner: bool) -> tuple[list[str], list[str], int]:
             continue
         if k in ("/", "/=") and last not in _BEFORE_DIVISION and (r := regex.match(text, begin)):
             out.append(r[0])
-            kinds.append("R")
+            known = _regexes.get(r[0])
+            kinds.append("R" if (_regexes.keep(r[0], _sound(r[0])) if known is None else known) else "?")
             at, last = r.end(), "R"
             continue
         if k == "{":
@@ -196,6 +237,7 @@ class Parser:
         self.loop = self.switch = 0
         self.method = False
         self.labels: list[str] = []
+        self.defaulted = False
         self.faults: list[Fault] = []
 
     def _brackets(self) -> dict[int, int]:
@@ -434,6 +476,8 @@ class Parser:
                 self.fail("'export' not at the top of the module")
             self.exports()
         elif k == "N" and self.k[self.i + 1] == ":":
+            if self.t[self.i] in self.labels:
+                self.fail("a label within its own statement")
             self.labels.append(self.t[self.i])
             self.i += 2
             self.statement(single=True)
@@ -550,6 +594,9 @@ class Parser:
         self.take("export")
         k = self.k[self.i]
         if self.at("default"):
+            if self.defaulted:
+                self.fail("a second default export")
+            self.defaulted = True
             if self.k[self.i] == "function" or (self.word("async") and self.k[self.i + 1] == "function" and not self.nl[self.i + 1]):
                 self.functions(False)
             elif self.k[self.i] == "class":

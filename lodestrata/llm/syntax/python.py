@@ -899,6 +899,18 @@ def _depth(kinds: tuple[str, ...]) -> tuple[int, int]:
     return low, now
 
 
+#: Brackets that may stand within one another.
+DEEPEST = 200
+
+
+def _deepest(kinds: tuple[str, ...]) -> int:
+    now = most = 0
+    for k in kinds:
+        now += (k in ("(", "[", "{")) - (k in (")", "]", "}"))
+        most = max(most, now)
+    return most
+
+
 def _retoken(text: str) -> list[str]:
     """Tokens of a text with f-strings that hold their own quotes; slower than one search for all."""
     out, at, n = [], 0, len(text)
@@ -994,6 +1006,9 @@ def check(source: str) -> list[Fault]:
             held = ()
         else:
             begin = a
+        if len(body) > 2 * DEEPEST and _deepest(body) > DEEPEST:
+            faults.append(Fault(first_line, "too many nested brackets"))
+            continue
         got = _lines.get(body)
         if got is None:
             got = _lines.keep(body, _parse(body))

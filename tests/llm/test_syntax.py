@@ -134,3 +134,19 @@ def test_table(spark):
     rate = {(r.repo, r.language): (r.files, r.invalid) for r in acceptance(df).collect()}
     assert rate[("r", "python")] == (3, 1) and rate[("r", "json")] == (1, 1)
     assert parsed(df.limit(0)).count() == 0
+
+
+def test_early_errors_of_modules():
+    from lodestrata.llm.unparsed import faults
+
+    for text in ("x = /(/;", "x = /a)/;", "x = /a/gg", "x = /a/q", "x = /+a/", "x = /(?y)a/", "export default 1; export default 2", "a: a: for (;;) {}"):
+        assert len(faults("js", text)) == 1, text
+    for text in (r"x = /(?<n>a)[(]\(+?(?:b|c)*$/giu", r"y = /[^\]]+/", "z = /a{2,}/v", "a: for (;;) {} a: for (;;) {}", "x = a / b / c", "x = /(?i:a)|b/"):
+        assert not faults("js", text), text
+
+
+def test_deep_nesting():
+    from lodestrata.llm.unparsed import faults
+
+    assert not faults("py", "x = " + "(" * 200 + ")" * 200) and [f.cause for f in faults("py", "x = " + "(" * 201 + ")" * 201)] == ["too many nested brackets"]
+    assert not faults("json", "[" * 30_000 + "]" * 30_000) and faults("json", "[" * 30_000 + "]" * 29_999)
