@@ -21,6 +21,13 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def dominant(df: DataFrame, group: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """(group, value, n): the most frequent value of every group, of equals the one met first in order; nulls are a value."""
+    n = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("_o"))
+    w = Window.partitionBy(*group).orderBy(F.desc("n"), "_o")
+    return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*group, value, "n")
+
+
 def trend(daily: DataFrame, day: str, value: str) -> DataFrame:
     """(slope, intercept, days) of a value over the ordinal of its days; fewer than two days have slope 0.
 

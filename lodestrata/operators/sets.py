@@ -78,6 +78,11 @@ def compact_lines(docs: DataFrame, key: str, text: str, alike: float = 0.6, cove
     return docs.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, f"{key} {kind}, kept bigint, dropped bigint, lines string")
 
 
+def band(support: Column) -> Column:
+    """What a share of support means; null counts as none."""
+    return F.when(support >= 0.7, "supported").when(support >= 0.4, "partial").when(support >= 0.1, "weak").otherwise("unsupported")
+
+
 #: Words of claims that are shipped to every task, at most.
 CLAIM_WORDS = 2_000_000
 
@@ -128,5 +133,4 @@ def claim_support(claims: DataFrame, claim: str, claim_text: str, evidence: Data
         found = one if found is None else found.unionByName(one)
     best = found.groupBy(claim).agg(F.max(F.struct("s", (-F.col("d")).alias("d"))).alias("b"))
     s = F.round(F.coalesce("b.s", F.lit(0.0)), 6)
-    band = F.when(s >= 0.7, "supported").when(s >= 0.4, "partial").when(s >= 0.1, "weak").otherwise("unsupported")
-    return claims.select(claim).distinct().join(best, claim, "left").select(claim, (-F.col("b.d")).alias("best_doc"), s.alias("support"), band.alias("verdict"))
+    return claims.select(claim).distinct().join(best, claim, "left").select(claim, (-F.col("b.d")).alias("best_doc"), s.alias("support"), band(s).alias("verdict"))
