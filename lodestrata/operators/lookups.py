@@ -49,15 +49,17 @@ def roster(verdicts: DataFrame, runs: DataFrame, session: str, agent: str, order
 
     A verdict without a session meets the last record of every agent.
     """
-    rows = runs.where(F.col(agent).isNotNull())
-    named = rows.where(F.col(session).isNotNull()).join(verdicts.select(session).distinct(), session)
-    anywhere = rows.where(F.col(session).isNull()).drop(session).join(F.broadcast(verdicts.select(session).distinct())).select(*rows.columns)
-    last = lambda df, by: df.groupBy(*by).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v")).select(*by, *[f"v.{x}" for x in values])
-    of_session = last(named.unionByName(anywhere), [session, agent])
-    of_all = last(rows, [agent])
-    a = verdicts.where(F.col(session).isNotNull()).join(of_session, session)
-    b = verdicts.where(F.col(session).isNull()).join(F.broadcast(of_all))
-    return a.unionByName(b.select(*a.columns))
+    rows = runs.where(F.col(agent).isNotNull()).select(session, agent, F.struct(*order).alias("_o"), F.struct(*values).alias("_v"))
+    last = lambda df, by: df.groupBy(*by).agg(F.max(F.struct("_o", "_v")).alias("_x")).select(*by, "_x._o", "_x._v")
+    sessions = verdicts.where(F.col(session).isNotNull()).select(session).distinct()
+    named = last(rows.where(F.col(session).isNotNull()).join(sessions, session), [session, agent])
+    # Of runs without a session one row an agent is left before they meet the sessions.
+    anywhere = sessions.join(F.broadcast(last(rows.where(F.col(session).isNull()), [agent])))
+    of_session = last(named.unionByName(anywhere.select(*named.columns)), [session, agent])
+    found = verdicts.where(F.col(session).isNotNull()).join(of_session, session)
+    others = verdicts.where(F.col(session).isNull()).join(F.broadcast(last(rows, [agent])))
+    out = found.unionByName(others.select(*found.columns))
+    return out.select(*verdicts.columns, agent, *[F.col(f"_v.{x}").alias(x) for x in values])
 
 
 def bloom(keys: DataFrame, key: str, rate: float = 1e-4, n: int | None = None) -> tuple[bytes, int, int]:
@@ -121,7 +123,7 @@ def best_template(queries: DataFrame, key: str, words: str, templates: DataFrame
     """Each query with the template that shares most of its words, at least ``least``; of equals the first by name."""
     q = queries.select(key, F.explode(F.array_distinct(words)).alias("_w"))
     t = templates.select(name, F.explode(F.array_distinct(terms)).alias("_w"))
-    n = q.join(F.broadcast(t), "_w").groupBy(key, name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    n = q.join(t, "_w").groupBy(key, name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     best = n.groupBy(key).agg(F.max("n").alias("shared")).join(n.withColumnRenamed("n", "shared"), [key, "shared"]).groupBy(key, "shared").agg(F.min(name).alias(name))
     return best
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import code, graphs, ledgers, lookups, more, relational, retrieval, scalars, single, sources, streams, texts, tools
+from lodestrata.plans import code, graphs, ledgers, lookups, modules, more, relational, retrieval, scalars, single, sources, streams, texts, tools
 from lodestrata.plans.registry import Query
 
-_PARTS = (scalars, code, retrieval, ledgers, graphs, more, relational, streams, sources, lookups, texts, tools, single)
+_PARTS = (scalars, code, retrieval, ledgers, graphs, more, relational, streams, sources, lookups, texts, tools, single, modules)
 
 
 def queries() -> dict[str, Query]:

@@ -45,7 +45,7 @@ def calls_of(files):
 
 
 def written(s, d):
-    """Modules that import what follows them in commits, some by relative imports, with three functions each: files the import and call graphs have edges of."""
+    """Modules that import what follows them in commits, some by relative imports, with three functions each, every other one with a class: files the import and call graphs have edges of."""
     e = follows(s, d).select(F.split_part("src", F.lit("/"), F.lit(1)).alias("repo"), F.regexp_replace("src", "^[^/]+/", "").alias("path"), F.regexp_replace("dst", "^[^/]+/", "").alias("to"))
     plain = r"^[a-z_][a-z0-9_]*(/[a-z_][a-z0-9_]*)*\.py$"
     e = e.where(F.col("path").rlike(plain) & F.col("to").rlike(plain))
@@ -53,7 +53,8 @@ def written(s, d):
     near = (dir_of("path") == dir_of("to")) & (dir_of("path") != "")
     line = F.when(near, F.concat(F.lit("from . import "), F.regexp_extract("to", r"([^/]*)\.py$", 1))).otherwise(F.concat(F.lit("import "), T.module_name(F.col("to"))))
     text = F.concat(F.array_join(F.array_sort(F.collect_set(line)), "\n"), F.lit("\n\n\ndef f():\n    g()\n    return len(h())\n\n\ndef g():\n    return g()\n\n\ndef h():\n    return []\n"))
-    made = e.groupBy("repo", "path").agg(text.alias("text"))
+    held = F.lit("\n\nclass A:\n    def a(self):\n        return self.x\n\n    def b(self):\n        return self.x\n\n    def c(self):\n        return self._y.z\n")
+    made = e.groupBy("repo", "path").agg(text.alias("text")).withColumn("text", F.when(F.length("path") % 2 == 0, F.concat("text", held)).otherwise(F.col("text")))
     ends = e.select("repo", F.col("to").alias("path")).distinct().join(made.select("repo", "path"), ["repo", "path"], "left_anti").withColumn("text", F.lit("x = 1\n"))
     return made.unionByName(ends)
 

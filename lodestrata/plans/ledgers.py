@@ -72,7 +72,11 @@ def _(s, d):
     return sequence.streaks(r, ["worker"], [F.col("ts"), F.col("doc_id"), F.col("pos")], "v")
 
 
-@R.query("wn03_threshold")
+THRESHOLDS = """WITH l AS (SELECT user_id, list({'n': 1::BIGINT, 'h': CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END::BIGINT, 't': 0.0::DOUBLE} ORDER BY ts, event_id) AS l FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(l, lambda a, x: {'n': a.n + 1, 'h': a.h + x.h, 't': round(least(0.9, greatest(0.15, CASE WHEN a.n + 1 >= 20 AND (a.h + x.h) / (a.n + 1) < 0.8 THEN a.t + 0.02 WHEN a.n + 1 >= 20 AND (a.h + x.h) / (a.n + 1) > 0.8 + 0.1 THEN a.t - 0.02 ELSE a.t END)), 4)}, {'n': 0::BIGINT, 'h': 0::BIGINT, 't': 0.5::DOUBLE}) AS r FROM l) SELECT user_id, r.n AS samples, round(r.h / r.n, 6) AS hit_rate, r.t AS threshold FROM f"""
+
+
+@R.query("wn03_threshold", THRESHOLDS)
 def _(s, d):
     e = events(s, d).where("user_id is not null").withColumn("hit", F.col("event_type") != "error")
     return sequence.adaptive_threshold(e, ["user_id"], ["ts", "event_id"], "hit")

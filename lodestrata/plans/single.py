@@ -157,7 +157,7 @@ def _(s, d):
     return table(s, d, "events").select("event_id", sets.band(F.round(F.col("event_id") % 101 / 100, 2)).alias("band"))
 
 
-@R.query("sc61_scores")
+@R.query("sc61_file_scores")
 def _(s, d):
     """The seven scores of every Python file that parses."""
     return parse.python_scores(source(s, d).where(F.col("path").endswith(".py")))
@@ -179,3 +179,81 @@ def _(s, d):
     none = F.lit("")
     out = q.groupBy("intent").agg(F.count(F.lit(1)).alias("n")).join(top("fmt", 6, "labels"), "intent", "left").join(top("repo", 3, "units"), "intent", "left")
     return out.select("intent", "n", F.coalesce("labels", none).alias("labels"), F.coalesce("units", none).alias("units"))
+
+
+@R.query("sc55_token_estimates", "SELECT DISTINCT chunk_id, ((length(text) + 3) // 4)::BIGINT AS tokens FROM chunks WHERE text IS NOT NULL")
+def _(s, d):
+    return table(s, d, "chunks").where("text is not null").select("chunk_id", T.estimate_tokens(F.col("text")).alias("tokens")).distinct()
+
+
+@R.query("sc17_file_digests")
+def _(s, d):
+    """XXH64 of files, which SQL has no function for."""
+    return source(s, d).select("repo", "path", N.file_digest(F.col("text")).alias("digest"))
+
+
+@R.query("sc18_query_keys")
+def _(s, d):
+    """BLAKE2 of test items with single blanks, in lower case."""
+    return table(s, d, "eval_items").select("item_id", "text").distinct().select("item_id", N.query_key(F.col("text")).alias("key"))
+
+
+@R.query("src13_tails", "SELECT repo, branch, count(*)::BIGINT AS lines, max(n)::BIGINT AS longest FROM (SELECT repo, branch, length(x) AS n FROM (SELECT repo, branch, unnest(list_slice(string_split(text, chr(10)), 2, 100000)) AS x FROM (SELECT repo, branch, right(string_agg(line, '' ORDER BY sha), 100) AS text FROM (SELECT DISTINCT repo, branch, sha, sha || ' ' || branch || chr(10) AS line FROM commit_nodes) GROUP BY repo, branch HAVING length(string_agg(line, '')) > 100)) WHERE trim(x) <> '') GROUP BY repo, branch")
+def _(s, d):
+    """The last 100 bytes of each branch's log, by lines; branches whose logs are shorter are left out."""
+    from lodestrata.runtime import shared_path
+    from lodestrata.sources import files as S
+
+    line = F.concat("sha", F.lit(" "), "branch", F.lit("\n"))
+    logs = table(s, d, "commit_nodes").select("repo", "branch", "sha", line.alias("line")).distinct().groupBy("repo", "branch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sha", "line"))), lambda x: x["line"]), "").alias("text"))
+    at = shared_path(s, "logs")
+    S.write_tree(logs.where(F.length("text") > 100).select("repo", F.concat("branch", F.lit("/log.txt")).alias("path"), "text"), at)
+    files = S.listed(s, at).select("repo", F.regexp_replace("path", "/log.txt$", "").alias("branch"), "path")
+    x = S.tails(files, at, 100).select("repo", "branch", F.explode("lines").alias("x"))
+    return x.groupBy("repo", "branch").agg(F.count(F.lit(1)).alias("lines"), F.max(F.length("x")).cast("bigint").alias("longest"))
+
+
+@R.query("src28_followed", "SELECT event_type AS kind, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def _(s, d):
+    """A ledger followed by a stream while it grows: what was there first and what came later, each line once."""
+    from lodestrata.runtime import shared_path
+    from lodestrata.sources.files import telemetry
+    from lodestrata.streaming.events import drain
+
+    at, state = shared_path(s, "ledger"), shared_path(s, "stream")
+    e = table(s, d, "events")
+    for half in (0, 1):
+        part = e.where(F.pmod("event_id", F.lit(2)) == half)
+        part.select(telemetry(F.col("event_type"), F.col("event_id").cast("string"), F.lit("ledger"), F.lit("x")).alias("value")).write.mode("append").text(at)
+        out = drain(s.readStream.schema("kind string, source string").json(at), state)
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query("src32_snapshots", "WITH c AS (SELECT repo, path, start_byte, strlen(text) AS size FROM (SELECT DISTINCT repo, path, start_byte, text FROM chunks WHERE text IS NOT NULL)), m AS (SELECT *, size - lag(size) OVER (PARTITION BY repo ORDER BY path, start_byte) AS diff FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path DESC, start_byte DESC) AS i FROM m WHERE diff IS NULL OR abs(diff) >= 1024) SELECT repo, path, start_byte FROM k WHERE i <= 5")
+def _(s, d):
+    """Snapshots (chunks in order) whose size differs from the one before by 1,024 bytes or more, the newest five."""
+    c = table(s, d, "chunks").where("text is not null").select("repo", "path", "start_byte", "text").distinct().select("repo", "path", "start_byte", F.octet_length("text").alias("size"))
+    return sequence.snapshots(c.withColumn("o", F.struct("path", "start_byte")), ["repo"], F.col("o"), "size", 1024, 5).select("repo", "path", "start_byte")
+
+
+_LINE = r"SELECT doc_id, x, i, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(x), '[a-z][a-z0-9_]{3,}'))), ' ') AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL) WHERE trim(x) <> ''"
+
+
+@R.query("st05_longest", f"SELECT doc_id, md5(arg_max(x, (length(x), -i))) AS kept, count(*)::BIGINT AS members FROM ({_LINE}) GROUP BY doc_id, k")
+def _(s, d):
+    """Of the lines of a text with the same key words the longest, of equals the first."""
+    lines = docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x")).where(F.trim("x") != "")
+    g = lines.groupBy("doc_id", F.array_join(T.key_tokens(F.col("x")), " ").alias("k")).agg(F.max_by("x", F.struct(F.length("x"), -F.col("i"))).alias("x"), F.count(F.lit(1)).alias("members"))
+    return g.select("doc_id", F.md5("x").alias("kept"), "members")
+
+
+@R.query("sm07_synced", "WITH c AS (SELECT DISTINCT chunk_id, chunk_index, text FROM chunks) SELECT chunk_id, length(text)::BIGINT AS size FROM c WHERE chunk_index % 4 <> 3")
+def _(s, d):
+    """One sync of an embedded index: changed chunks embedded anew, deleted ones out."""
+    from lodestrata.functions.embed import embedder
+    from lodestrata.sources.files import sync
+
+    c = table(s, d, "chunks").select("chunk_id", "chunk_index", "text").distinct()
+    made = lambda df: df.select("chunk_id", F.length("text").cast("bigint").alias("size"), embedder(16)(F.col("text")).alias("vector"))
+    old = made(c.where("chunk_index % 2 = 0")).withColumn("size", F.lit(-1).cast("bigint")).unionByName(made(c.where("chunk_index % 4 = 3")))
+    return sync(old, made(c.where("chunk_index % 4 <> 3")), c.where("chunk_index % 4 = 3").select("chunk_id"), ["chunk_id"]).select("chunk_id", "size")

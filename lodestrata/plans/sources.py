@@ -159,8 +159,10 @@ def _(s, d):
     none = F.lit("")
     record = F.concat_ws("\x1f", "sha", F.coalesce("author", none), "commit_date", "subject", F.coalesce("body", none), F.array_join(F.coalesce("files", F.array().cast("array<string>")), "\n"))
     at = shared_path(s, "logs")
-    logs = c.select("repo", record.alias("r")).groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("r")), "\x1e").alias("text"))
-    S.write_tree(logs.withColumn("path", F.lit("log.txt")), at)
+    # A repository's log is many files, so that none holds it all.
+    part = F.concat(F.lit("log-"), F.substring(F.md5("sha"), 1, 3), F.lit(".txt"))
+    logs = c.select("repo", part.alias("path"), record.alias("r")).groupBy("repo", "path").agg(F.array_join(F.array_sort(F.collect_set("r")), "\x1e").alias("text"))
+    S.write_tree(logs, at)
     back = S.contents(S.listed(s, at).select("repo", "path"), at).select("repo", F.col("content").cast("string").alias("value"))
     return S.git_log(back, keep=["repo"]).select("repo", "sha", "author", "subject", "body", F.array_join("files", "|").alias("files")).distinct()
 

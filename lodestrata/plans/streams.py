@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.plans.ledgers import THRESHOLDS
 from lodestrata.plans.registry import Registry
 from lodestrata.runtime import shared_path, table
 from lodestrata.streaming import events as E
@@ -139,7 +140,7 @@ def _(s, d):
     return out
 
 
-@R.query("sm11_thresholds")
+@R.query("sm11_thresholds", THRESHOLDS)
 def _(s, d):
     """Thresholds learned from a stream of hits; the same as the batch fold gives."""
     from lodestrata.streaming.tables import learned_threshold

@@ -195,6 +195,19 @@ def tail_lines(at: str, most_bytes: int = 512_000) -> list[str]:
     return [r for r in (rows[1:] if begin else rows) if r.strip()]
 
 
+def tails(files: DataFrame, root: str, most_bytes: int = 512_000) -> DataFrame:
+    """The rows with ``lines``: the last lines of ``root/repo/path``, as :func:`tail_lines` reads them, read by the tasks."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    where = [files.columns.index(c) for c in ("repo", "path")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [tail_lines(f"{root}/{r}/{p}", most_bytes) for r, p in zip(batch.column(where[0]).to_pylist(), batch.column(where[1]).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.string()))], [*batch.schema.names, "lines"])
+
+    return files.mapInArrow(run, kinds + ", lines array<string>")
+
+
 def branch_heads(commits: DataFrame) -> DataFrame:
     """(repo, branch, sha): the latest commit of every branch, of equals the greatest sha."""
     return commits.where("repo is not null and branch is not null and sha is not null").groupBy("repo", "branch").agg(F.max_by("sha", F.struct("committed_at", "sha")).alias("sha"))
