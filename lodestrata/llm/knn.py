@@ -277,7 +277,9 @@ def _fitted(reps: DataFrame, cell: int) -> dict[int, Model]:
         at = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
         for g, v in reps.join(F.broadcast(rate), "gid").where(at < F.col("rate")).select("gid", "id", "vector", at.alias("at")).orderBy("gid", "at", "id").select("gid", "vector").collect():
             drawn.setdefault(g, []).append(v)
-    return {g: Model(np.array(drawn.get(g, []), np.float32).reshape(-1, dim), n, dim, cells[g], cell) for g, (n, dim) in sizes.items()}
+    # Groups of one cell share a model for each dimension, so that many small groups take no room.
+    single = {dim: Model(np.zeros((0, dim), np.float32), 1, dim, 1, cell) for dim in {dim for g, (n, dim) in sizes.items() if n <= cell}}
+    return {g: single[dim] if n <= cell else Model(np.array(drawn.get(g, []), np.float32).reshape(-1, dim), n, dim, cells[g], cell) for g, (n, dim) in sizes.items()}
 
 
 def _calibrate(base: DataFrame, models: dict[int, Model], k: int, least: float, recall: float) -> None:
@@ -395,7 +397,7 @@ def nearest_classes(reps: DataFrame, k: int, cell: int = CELL, least: float = -2
 
     rows = base.withColumn("kind", F.lit(0).cast("byte")).unionByName(base.where("kind = 1").select("gid", "id", "vec").mapInArrow(asks, _LAYOUT))
     answered = (
-        rows.repartition(max(parallelism(spark), sum(int(m.blocks.sum()) for m in models.values())), "gid", "part", "block")
+        rows.repartition(max(parallelism(spark), sum(int(m.blocks.sum()) for m in models.values() if len(m.centres) > 1 or m.blocks[0] > 1)), "gid", "part", "block")
         .sortWithinPartitions("gid", "part", "block", "kind", "cell")
         .mapInArrow(answer, "gid int, id bigint, near array<struct<id: bigint, cos: double>>")
     )
