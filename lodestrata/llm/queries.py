@@ -27,8 +27,8 @@ def queries() -> dict[str, Query]:
         "p2_labels": lambda s, d: provenance.labelled(table(s, d, "source_files"), table(s, d, "chunks")).select("repo", "path", "label", "probability"),
         "p3_found": lambda s, d: secrets.lines(_scanned(s, d)),
         "p3_redacted": lambda s, d: secrets.redacted(_scanned(s, d)),
-        "p4_found": lambda s, d: split.split_oversized(table(s, d, "chunks")).select("chunk_id").distinct(),
-        "p4_pieces": lambda s, d: split.split_oversized(table(s, d, "chunks")).drop("text"),
+        "p4_found": lambda s, d: split.split_oversized(table(s, d, "chunks"), with_text=False).select("chunk_id").distinct(),
+        "p4_pieces": lambda s, d: split.split_oversized(table(s, d, "chunks"), with_text=False),
         "p5_found": lambda s, d: cooccur.associated(table(s, d, "commit_nodes")),
         "p5_pairs": lambda s, d: cooccur.cooccurrence(table(s, d, "commit_nodes"), min_count=1),
         "p6_found": lambda s, d: knn.alike(table(s, d, "vector_records")),

@@ -86,29 +86,34 @@ def cut(data: bytes, limit: int, overlap: int, slack: int) -> list[tuple[int, in
     return pieces
 
 
-SCHEMA = "chunk_id string, piece_index int, start_byte bigint, end_byte bigint, cut_strength int, text string"
+SCHEMA = "chunk_id string, piece_index int, start_byte bigint, end_byte bigint, cut_strength int"
 
 
-def split_oversized(chunks: DataFrame, limit: int = 4096, overlap: int = 256, slack: int = 64) -> DataFrame:
+def split_oversized(chunks: DataFrame, limit: int = 4096, overlap: int = 256, slack: int = 64, with_text: bool = True) -> DataFrame:
     """Pieces of every chunk whose text is over ``limit`` bytes of UTF-8, with byte offsets in the file.
 
     Columns: chunk_id, piece_index, start_byte, end_byte, cut_strength, text.  A repeated chunk row gives its pieces
     once.  A null or short text gives no rows; a null chunk_id is kept as a key of its own; a null start_byte counts
     as 0.  Only chunk_id, start_byte and text are read, whatever else the table has.  Pieces never split a character
-    and neighbours share ``overlap`` bytes give or take ``slack``.
+    and neighbours share ``overlap`` bytes give or take ``slack``.  ``with_text`` = False leaves the column text out, and no
+    text is shuffled then.
     """
     if limit < 4 * (overlap + slack + 4):
         raise ValueError("limit must be at least four times overlap plus slack")
     big = chunks.select("chunk_id", F.coalesce("start_byte", F.lit(0)).cast("bigint").alias("at"), "text").where(F.octet_length("text") > limit)
-    big = big.dropDuplicates(["chunk_id", "at", "text"])
+    if with_text:
+        big = big.dropDuplicates(["chunk_id", "at", "text"])
+    types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *((pa.string(),) if with_text else ()))
+    names = ["chunk_id", "piece_index", "start_byte", "end_byte", "cut_strength", *(("text",) if with_text else ())]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for cid, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                out += [(cid, k, at + s, at + e, g, data[s:e].decode()) for k, (s, e, g) in enumerate(cut(data, limit, overlap, slack))]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["chunk_id", "piece_index", "start_byte", "end_byte", "cut_strength", "text"])
+                out += [(cid, k, at + s, at + e, g, *((data[s:e].decode(),) if with_text else ())) for k, (s, e, g) in enumerate(cut(data, limit, overlap, slack))]
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return big.mapInArrow(pieces, SCHEMA)
+    rows = big.mapInArrow(pieces, SCHEMA + (", text string" if with_text else ""))
+    return rows if with_text else rows.distinct()

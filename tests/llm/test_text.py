@@ -30,6 +30,7 @@ def test_split_table(spark):
     assert min(r.start_byte for r in out if r.chunk_id == "a") == 100 and max(r.end_byte for r in out if r.chunk_id == "a") == 5100
     assert sum(r.chunk_id == "a" for r in out) == 2 and all(len(r.text.encode()) == r.end_byte - r.start_byte <= 4096 for r in out)
     assert split.split_oversized(df.limit(0)).count() == 0
+    assert sorted(map(tuple, split.split_oversized(df, with_text=False).collect())) == sorted(tuple(r)[:5] for r in out)
 
 
 def test_spans(spark):
