@@ -20,23 +20,44 @@ _ALNUM = re.compile(r"[^\W_]+")
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, dl): term frequencies with the document's length.  Null texts have no terms."""
-    words = docs.select(F.col(key), T.tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
-    return words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """(key, term, tf, dl, lead): term frequencies with the document's length; ``lead`` marks one row of every document.
 
+    Texts are counted one by one, so nothing is shuffled.  Null texts have no terms.
+    """
+    word = re.compile(T.TOKEN)
+    kind = docs.schema[key].dataType.simpleString()
 
-def build_index(docs: DataFrame, key: str, text: str, at: str, buckets: int = 64) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 512):
+                batch = whole.slice(s, 512)
+                at, terms, tf, dl, lead = [], [], [], [], []
+                for k, t in enumerate(batch.column(1)):
+                    words = word.findall(t.as_py().lower())
+                    counts = Counter(words)
+                    at += [k] * len(counts)
+                    terms += counts
+                    tf += counts.values()
+                    dl += [len(words)] * len(counts)
+                    lead += [True] + [False] * (len(counts) - 1) if counts else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int32()), pa.array(lead, pa.bool_())], [key, "term", "tf", "dl", "lead"])
+
+    return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, term string, tf bigint, dl int, lead boolean")
+
+
+def build_index(docs: DataFrame, key: str, text: str, at: str, buckets: int = 32) -> None:
     """Write the postings of a table under ``at``, in buckets of terms and sorted by term within, and one row of statistics.
 
-    A query reads the buckets of its terms, and of their files the row groups that may hold them.
+    A query reads the buckets of its terms, and of their files the row groups that may hold them.  The postings of a bucket
+    are spread over several tasks by their documents, so a term of every document is in none alone.
     """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    p = postings(docs, key, text).withColumn("bucket", bucket)
-    # Files follow terms and keys, so a frequent term is spread over tasks.
-    p.repartitionByRange(parallelism(docs.sparkSession), "bucket", "term", key).sortWithinPartitions("bucket", "term", key).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
     spark = docs.sparkSession
-    once = spark.read.schema(p.schema).parquet(f"{at}/postings").select(key, "dl").distinct()
-    once.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{at}/statistics")
+    n = parallelism(spark)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    p = postings(docs, key, text).withColumns({"bucket": bucket, "_part": F.pmod(F.xxhash64(key), F.lit(max(1, n // 16)))})
+    p.repartition(n, "bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term", key).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
+    lengths = spark.read.schema(p.drop("_part").schema).parquet(f"{at}/postings").where("lead").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    lengths.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{at}/statistics")
 
 
 _indexes: dict[tuple, str] = {}
