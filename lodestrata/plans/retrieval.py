@@ -83,11 +83,12 @@ def _(s, d):
     return search.quotes(table(s, d, "documents"), "doc_id", "text", ("ledger", "shard", "token"), 20)
 
 
-@R.query("tk16_fused", f"WITH a AS ({_bm25('documents', 'doc_id', 40)}), c AS (SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'token', ''))) // 5)::BIGINT AS hits FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, hits FROM c WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 40), u AS (SELECT doc_id, score FROM a UNION ALL SELECT doc_id, 0.8 * hits FROM b) SELECT doc_id, round(max(score), 6)::DOUBLE AS score FROM u GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 25")
+@R.query("tk16_fused", f"WITH a AS ({_bm25('documents', 'doc_id', 40)}), c AS (SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'token', ''))) // 5)::BIGINT AS hits FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, hits FROM c WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 40), f AS (SELECT doc_id, (length(text) - length(replace(text, '# ', ''))) // 2 AS heads FROM documents WHERE fmt = 'markdown' AND text IS NOT NULL), g AS (SELECT doc_id, heads FROM f WHERE heads > 0 ORDER BY heads DESC, doc_id LIMIT 40), u AS (SELECT doc_id, score FROM a UNION ALL SELECT doc_id, 0.8 * hits FROM b UNION ALL SELECT doc_id, 0.7 * heads FROM g) SELECT doc_id, round(max(score), 6)::DOUBLE AS score FROM u GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 25")
 def _(s, d):
     t = table(s, d, "documents")
     b = search.substring_rank(t, "doc_id", "text", ("token",), 40).select("doc_id", F.col("hits").cast("double").alias("score"))
-    return search.fused([(search.bm25(t, "doc_id", "text", QUERY, 40), 1.0), (b, 0.8)], "doc_id", 25)
+    g = search.substring_rank(t.where("fmt = 'markdown'"), "doc_id", "text", ("# ",), 40).select("doc_id", F.col("hits").cast("double").alias("score"))
+    return search.fused([(search.bm25(t, "doc_id", "text", QUERY, 40), 1.0), (b, 0.8), (g, 0.7)], "doc_id", 25)
 
 
 @R.query("jn17_claims", r"""WITH c AS (SELECT DISTINCT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{3,}')) AS w FROM eval_items), n AS (SELECT item_id, len(w) AS n, unnest(w) AS term FROM c),
