@@ -1,10 +1,12 @@
 """Mixing sources to target weights by soft membership.
 
-A classifier fitted on a bounded labelled sample gives every document posteriors over the sources; a label counts with
-the weight ``trust``, and what is left goes by the posterior, as all does where there is no label.  Rates (how often a document is taken) minimise the squared distance between the expected tokens of
-every source and its target, by projected gradient with rates kept between nothing and the cap.  A document's rate
-depends on its posterior alone, so documents of equal posterior are summed up before the descent; each step is one
-distributed sum of a few numbers per mix.
+A classifier fitted on a bounded labelled sample gives every document, labelled or not, a posterior over the sources.  Rates
+(how often a document is taken) minimise the squared distance between the expected tokens of every source and its target,
+by projected gradient with rates kept between nothing and the cap.  They descend twice: by the posteriors, and from there
+by the sources that documents tell, so that shares by source meet their targets; there a label counts with the weight
+``trust``, and what is left goes by the posterior, as all does where there is no label.  A document's rate depends on its
+posterior and its label alone, so documents alike in both are summed up before the descent; each step is one distributed
+sum of a few numbers per mix.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Labelled documents of a source the classifier is fitted on, at most; hashed features; steps of a posterior.
 SAMPLE, FEATURES, STEPS = 400, 1024, 64
-#: Weight of a document's own source in its membership.
+#: Weight of a document's own source in its membership, by which shares are counted.
 TRUST = 1.0
 #: Rates are rounded in these parts of a copy, within cells of about so many rows.
 UNIT, CELL_ROWS = 1_000_000, 100_000
@@ -35,6 +38,21 @@ _WORD = re.compile(r"\w+|[^\w\s]")
 _encoders: dict[int, object] = {}
 
 
+class _Places(dict):
+    """Words' features, remembered for a process's next documents."""
+
+    def __missing__(self, word: str) -> int:
+        at = zlib.crc32(word.encode()) % FEATURES
+        if len(word) <= 40:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = at
+        return at
+
+
+_places = _Places()
+
+
 def encoder(ranks: bytes):
     """The tokenizer of a vocabulary file's content, made once per process."""
     key = zlib.crc32(ranks)
@@ -53,11 +71,9 @@ def _vocabulary(spark: SparkSession) -> str:
 def features(text: str) -> np.ndarray:
     """Hashed words and signs of a whole text, damped and of unit length, with a constant."""
     x = np.zeros(FEATURES + 1, np.float32)
-    counts: dict[str, int] = {}
-    for w in _WORD.findall(text.lower()):
-        counts[w] = counts.get(w, 0) + 1
-    for w, n in counts.items():
-        x[zlib.crc32(w.encode()) % FEATURES] += 1 + np.log(n)
+    counts = Counter(_WORD.findall(text.lower()))
+    at = np.fromiter(map(_places.__getitem__, counts), np.int64, len(counts))
+    x[:-1] = np.bincount(at, 1 + np.log(np.fromiter(counts.values(), float, len(counts))), FEATURES)
     norm = np.linalg.norm(x)
     if norm:
         x /= norm
@@ -87,12 +103,12 @@ def soft(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def in_steps(p: np.ndarray) -> np.ndarray:
-    """The same in whole ``STEPS``-ths, which add up to ``STEPS``."""
+    """The same row by row in whole ``STEPS``-ths, which add up to ``STEPS``; rows of zeros stay."""
     p = p * STEPS
-    q = np.floor(p + 1e-9).astype(int)
-    for j in np.argsort(-(p - q), kind="stable")[: STEPS - q.sum()]:
-        q[j] += 1
-    return q
+    q = np.floor(p + 1e-9).astype(np.int32)
+    left = np.where(p.any(axis=1), STEPS - q.sum(axis=1), 0)
+    place = np.argsort(np.argsort(-(p - q), axis=1, kind="stable"), axis=1, kind="stable")
+    return q + (place < left[:, None])
 
 
 def targets(spark: SparkSession, mixes: DataFrame) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
@@ -125,11 +141,10 @@ def _dense(b: bytes) -> np.ndarray:
     return x
 
 
-def read(documents: DataFrame, sources: list[str], vocabulary: str, sample: int = SAMPLE, trust: float = TRUST) -> DataFrame:
-    """(doc_id, tokens, s, drawn, x) of every document, in one pass over the texts: its size, its source, whether it is in the classifier's sample, and features where they are needed.
+def read(documents: DataFrame, sources: list[str], vocabulary: str, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, tokens, s, drawn, x) of every document, in one pass over the texts: its size, its source, whether it is in the classifier's sample, and the features of its text.
 
-    About ``sample`` documents a source are drawn by a hash of doc_id.  Features are kept of those and of documents whose
-    membership the classifier decides.
+    About ``sample`` documents a source are drawn by a hash of doc_id.  x is null where the text is.
     """
     spark = documents.sparkSession
     rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _source().alias("s"))
@@ -145,17 +160,21 @@ def read(documents: DataFrame, sources: list[str], vocabulary: str, sample: int
         enc = encoder(held.value)
         for batch in batches:
             size, x = [], []
-            for t, s, drawn in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for t in batch.column(1):
                 text = t.as_py()
                 size.append(len(enc.encode_ordinary(text or "")))
-                x.append(_sparse(features(text or "")) if (drawn and text is not None) or not s or trust < 1 else None)
+                x.append(None if text is None else _sparse(features(text)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), batch.column(2), batch.column(3), pa.array(x, pa.binary())], ["doc_id", "tokens", "s", "drawn", "x"])
 
     return stage(rows.mapInArrow(run, "doc_id bigint, tokens bigint, s string, drawn boolean, x binary"), "read")
 
 
 def classifier(docs: DataFrame, sources: list[str], sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """(weights, accuracy on a held-out fifth) fitted on at most ``sample`` of the drawn documents of every source."""
+    """(weights, accuracy on a held-out fifth) fitted on at most ``sample`` of the drawn documents of every source.
+
+    The sample holds sources alike, the documents don't: the constant of a source is moved by the logarithm of its documents
+    for each one fitted on, so that posteriors hold for all documents.
+    """
     drawn = docs.where("drawn and x is not null").select("s", "doc_id", "x").collect()
     rows, met = [], dict.fromkeys(sources, 0)
     for s, i, x in sorted(((r[0], r[1], bytes(r[2])) for r in drawn), key=lambda r: (zlib.crc32(b"%d" % r[1]), r)):
@@ -168,44 +187,55 @@ def classifier(docs: DataFrame, sources: list[str], sample: int = SAMPLE) -> tup
     y = np.array([sources.index(r[0]) for r in rows])
     test = np.arange(len(rows)) % 5 == 0
     trial = fit(x[~test], y[~test], len(sources), rounds=60)
-    return fit(x, y, len(sources)), float((np.argmax(x[test] @ trial, axis=1) == y[test]).mean())
+    weights = fit(x, y, len(sources))
+    counts = {r[0]: r[1] for r in docs.where(F.col("s").isin(*sources) & F.col("x").isNotNull()).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights[-1] += np.log([max(0.5, counts.get(s, 0)) / max(1, met[s]) for s in sources])
+    return weights, float((np.argmax(x[test] @ trial, axis=1) == y[test]).mean())
 
 
 def measured(documents: DataFrame, sources: list[str], vocabulary: str | None = None, sample: int = SAMPLE, trust: float = TRUST) -> DataFrame:
-    """(doc_id, tokens, known, p array<int>) of every document: its size and membership in whole ``STEPS``-ths.
+    """(doc_id, tokens, known, p array<int>, soft array<int>) of every document: its size, its membership and its posterior in whole ``STEPS``-ths.
 
     A document with a source belongs to it with the weight ``trust``, for the rest as the classifier predicts; one with a
-    null or blank source as predicted.  Documents of a source outside the targets belong to none (p all 0).  Null texts
-    have no tokens.  A repeated doc_id counts once, as the larger.
+    null or blank source as predicted.  Documents of a source outside the targets belong to none (p and soft all 0).  Null
+    texts have no tokens.  A repeated doc_id counts once, as the larger.
     """
-    docs = read(documents, sources, vocabulary or _vocabulary(documents.sparkSession), sample, trust)
+    docs = read(documents, sources, vocabulary or _vocabulary(documents.sparkSession), sample)
     weights, _ = classifier(docs, sources, sample)
     held = docs.sparkSession.sparkContext.broadcast(weights)
     order = {s: k for k, s in enumerate(sources)}
+    columns = "doc_id bigint, tokens bigint, known boolean, p array<int>, soft array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = held.value
         for batch in batches:
-            p = []
-            for s, x in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                q = np.zeros(len(order))
-                if s in order:
-                    q[order[s]] = 1.0
-                    if trust < 1:
-                        q = trust * q + (1 - trust) * soft(_dense(x.as_py()), weights)
-                elif not s:
-                    q = soft(_dense(x.as_py()), weights)
-                p.append(in_steps(q).tolist() if q.any() else [0] * len(order))
-            known = pa.array([bool(s) for s in batch.column(2).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), known, pa.array(p, pa.list_(pa.int32()))], ["doc_id", "tokens", "known", "p"])
-
-    out = docs.select("doc_id", "tokens", "s", "x").mapInArrow(run, "doc_id bigint, tokens bigint, known boolean, p array<int>")
-    return stage(out.groupBy("doc_id").agg(F.max(F.struct("tokens", "known", "p")).alias("d")).select("doc_id", "d.*"), "sizes")
+            if not batch.num_rows:
+                continue
+            s = batch.column(2).to_pylist()
+            # One by one, so that a posterior is the same to the last bit in any batch.
+            q = np.array([soft(_dense(x.as_py() or b""), weights) for x in batch.column(3)], float)
+            own, known = np.array([order.get(v, -1) for v in s]), np.array([bool(v) for v in s])
+            told = np.flatnonzero(own >= 0)
+            p = q.copy()
+            p[told] *= 1 - trust
+            p[told, own[told]] += trust
+            p[known & (own < 0)] = q[known & (own < 0)] = 0
+            ends = pa.array(np.arange(len(s) + 1) * len(order), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(in_steps(v).ravel(), pa.int32())) for v in (p, q)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known), *lists], ["doc_id", "tokens", "known", "p", "soft"])
+
+    out = docs.select("doc_id", "tokens", "s", "x").mapInArrow(run, columns)
+    return stage(out.groupBy("doc_id").agg(F.max(F.struct("tokens", "known", "p", "soft")).alias("d")).select("doc_id", "d.*"), "sizes")
+
+
+def _both(batch: pa.RecordBatch, at: int, k: int) -> np.ndarray:
+    """Membership and posterior side by side, from columns ``at`` and the next."""
+    return np.hstack([np.array(batch.column(j).flatten().to_numpy(), float).reshape(-1, k) / STEPS for j in (at, at + 1)])
 
 
 def _rates(p: np.ndarray, history: list[np.ndarray], cap: np.ndarray) -> np.ndarray:
-    """Rates (group, mix) after the steps so far: each step moves along the membership and is projected on the box."""
-    inside = np.where(p[:, None, :] > 0, cap[None], np.inf).min(axis=2)
+    """Rates (group, mix) after the steps so far: each step moves along membership and posterior (p) and is projected on the box, which the membership bounds."""
+    inside = np.where(p[:, None, : cap.shape[1]] > 0, cap[None], np.inf).min(axis=2)
     top = np.where(np.isfinite(inside), inside, 0)
     r = np.minimum(1.0, top)
     for step in history:
@@ -214,52 +244,57 @@ def _rates(p: np.ndarray, history: list[np.ndarray], cap: np.ndarray) -> np.ndar
 
 
 def descend(docs: DataFrame, share: np.ndarray, cap: np.ndarray, rounds: int = 60, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """(steps taken, tokens available by source, budget): the descent over all documents."""
-    groups = stage(docs.where("tokens > 0").groupBy("p").agg(F.sum("tokens").alias("tokens")), "groups")
+    """(steps taken, tokens available by source, budget): the descent over all documents, by their posteriors and then, from there, by their memberships."""
+    groups = stage(docs.where("tokens > 0").groupBy("p", "soft").agg(F.sum("tokens").alias("tokens")), "groups")
     k = share.shape[1]
 
     def total(history: list[np.ndarray] | None) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = np.zeros((1 if history is None else len(share), k))
+            s = np.zeros((1 if history is None else len(share), 2 * k))
             for batch in batches:
-                p = np.array(batch.column(0).flatten().to_numpy(), float).reshape(-1, k) / STEPS
-                t = batch.column(1).to_numpy().astype(float)
+                p = _both(batch, 0, k)
+                t = batch.column(2).to_numpy().astype(float)
                 s += (t @ p)[None] if history is None else (_rates(p, history, cap) * t[:, None]).T @ p
             yield pa.RecordBatch.from_arrays([pa.array(range(s.size), pa.int32()), pa.array(s.ravel(), pa.float64())], ["i", "v"])
 
-        out = np.zeros((1 if history is None else len(share)) * k)
+        out = np.zeros((1 if history is None else len(share)) * 2 * k)
         # A handful of numbers for each task of the groups' table.
-        for i, v in groups.select("p", "tokens").mapInArrow(run, "i int, v double").collect():
+        for i, v in groups.select("p", "soft", "tokens").mapInArrow(run, "i int, v double").collect():
             out[i] += v
-        return out.reshape(-1, k)
+        return out.reshape(-1, 2 * k)
 
-    have = total(None)[0]
+    both = total(None)[0]
+    have = both[:k]
     budget = float(have.sum())
     history: list[np.ndarray] = []
     want = share * budget
-    # Steps are scaled by a source's tokens, which is the curvature where memberships don't overlap.
-    scale = 1 / np.maximum(have, 1.0)
-    least, best, before, mark = np.inf, 0, None, (np.inf, 0)
-    # A source whose own documents are at their cap is moved by others' alone: its steps grow while its miss hardly shrinks.
-    grown = np.ones_like(want)
-    for _ in range(rounds if budget else 0):
-        miss = total(history) - want
-        if before is not None:
-            same = np.sign(miss) == np.sign(before)
-            grown = np.where(same & (np.abs(miss) > 0.8 * np.abs(before)), np.minimum(2 * grown, 32.0), np.where(same, grown, np.maximum(grown / 4, 1.0)))
-        before = miss
-        history.append(0.9 * miss * scale[None] * grown)
-        reachable = np.minimum(want, cap * have[None])
-        error = float(np.abs(miss + want - reachable).max() / budget)
-        if error < least:
-            least, best = error, len(history) - 1
-        if error < 0.9 * mark[0]:
-            mark = (error, len(history))
-        # Within reach, or hardly better for six steps.
-        if error < close or len(history) - mark[1] > 6:
-            break
-    # The steps up to the least error are those taken.
-    return history[:best], have, budget
+    for part in (slice(k, None), slice(0, k)):
+        # Steps are scaled by a source's tokens, which is the curvature where memberships don't overlap.
+        scale = 1 / np.maximum(both[part], 1.0)
+        reachable = np.minimum(want, cap * both[part][None])
+        least, best, before, mark = np.inf, len(history), None, (np.inf, 0)
+        # A source whose own documents are at their cap is moved by others' alone: its steps grow while its miss hardly shrinks.
+        grown = np.ones_like(want)
+        for _ in range(rounds if budget else 0):
+            miss = total(history)[:, part] - want
+            if before is not None:
+                same = np.sign(miss) == np.sign(before)
+                grown = np.where(same & (np.abs(miss) > 0.8 * np.abs(before)), np.minimum(2 * grown, 32.0), np.where(same, grown, np.maximum(grown / 4, 1.0)))
+            before = miss
+            step = np.zeros((len(share), 2 * k))
+            step[:, part] = 0.9 * miss * scale[None] * grown
+            history.append(step)
+            error = float(np.abs(miss + want - reachable).max() / budget)
+            if error < least:
+                least, best = error, len(history) - 1
+            if error < 0.9 * mark[0]:
+                mark = (error, len(history))
+            # Within reach, or hardly better for six steps.
+            if error < close or len(history) - mark[1] > 6:
+                break
+        # The steps up to the least error are those taken.
+        history = history[:best]
+    return history, have, budget
 
 
 def _copies(docs: DataFrame, names: list[str], history: list[np.ndarray], cap: np.ndarray) -> DataFrame:
@@ -275,20 +310,20 @@ def _copies(docs: DataFrame, names: list[str], history: list[np.ndarray], cap: n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         history, cap, names = held.value
         for batch in batches:
-            p = np.array(batch.column(3).flatten().to_numpy(), float).reshape(-1, cap.shape[1]) / STEPS
+            p = _both(batch, 3, cap.shape[1])
             r = _rates(p, history, cap)
-            own = p.argmax(axis=1)
+            own = p[:, : cap.shape[1]].argmax(axis=1)
             for m, name in enumerate(names):
                 # In millionths, so that sums are exact in any order.
                 parts = np.round(r[:, m] * UNIT).astype(np.int64)
                 keep = np.flatnonzero(parts > 0)
                 part = batch.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * part.num_rows, pa.string()), *part.columns, pa.array(own[keep], pa.int32()), pa.array(parts[keep], pa.int64()), pa.array(r[keep, m], pa.float64())],
+                    [pa.array([name] * part.num_rows, pa.string()), *part.columns[:4], pa.array(own[keep], pa.int32()), pa.array(parts[keep], pa.int64()), pa.array(r[keep, m], pa.float64())],
                     ["mix_id", "doc_id", "tokens", "known", "p", "own", "parts", "rate"],
                 )
 
-    rows = docs.where("tokens > 0").select("doc_id", "tokens", "known", "p").mapInArrow(run, "mix_id string, doc_id bigint, tokens bigint, known boolean, p array<int>, own int, parts bigint, rate double")
+    rows = docs.where("tokens > 0").select("doc_id", "tokens", "known", "p", "soft").mapInArrow(run, "mix_id string, doc_id bigint, tokens bigint, known boolean, p array<int>, own int, parts bigint, rate double")
     size = F.floor(F.log(F.col("tokens").cast("double")) / float(np.log(1.2))).cast("int")
     rows = stage(rows.withColumns({"size": size, "rest": F.col("parts") % UNIT, "h": F.xxhash64("doc_id", F.lit(3))}), "rates")
     cell = ["mix_id", "own", "size"]

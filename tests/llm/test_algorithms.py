@@ -149,3 +149,26 @@ def test_mixture(spark):
     # With labels trusted in part, memberships are soft and expected shares still meet their targets.
     out = {(r.mix_id, r.source): r for r in mix.report(docs, goals, trust=0.5).collect()}
     assert all(abs(out["m", s].share_reached - t) < 0.02 for s, t in (("docs", 0.4), ("code", 0.4), ("log", 0.2)))
+
+
+def test_mixture_goes_by_every_text(spark):
+    rng = random.Random(7)
+    say = lambda words: " ".join(rng.choice(words.split()) for _ in range(40))
+    rows = [(i, say("alpha beta gamma guide"), "docs") for i in range(300)] + [(300 + i, say("def return import x"), "code") for i in range(300)]
+    # Documents of one source that read like the other.
+    rows += [(1000 + i, say("def return import x"), "docs") for i in range(60)] + [(2000, None, "docs"), (2001, "", "code")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    goals = spark.createDataFrame([("m", "docs", 0.2, 4), ("m", "code", 0.8, 4)], "mix_id string, source string, target_share double, max_repeats int")
+    assert [r.doc_id for r in mix.read(docs, ["code", "docs"], mix.VOCABULARY).where("x is null").collect()] == [2000]
+    copies = {r.doc_id: r.copies for r in mix.taken(docs, goals).collect()}
+    mean = lambda ids: sum(copies.get(i, 0) for i in ids) / len(ids)
+    assert mean(range(1000, 1060)) > 2 * mean(range(300)) and max(copies.values()) <= 4
+    # Shares are by the sources told.
+    out = {r.source: r.share_reached for r in mix.report(docs, goals).collect()}
+    assert abs(out["docs"] - 0.2) < 0.01 and abs(out["code"] - 0.8) < 0.01
+
+
+def test_posteriors_know_how_common_a_source_is(spark):
+    docs = spark.createDataFrame([(i, "the same words", "rare" if i % 10 == 0 else "common") for i in range(1000)], "doc_id bigint, text string, source string")
+    weights, _ = mix.classifier(mix.read(docs, ["common", "rare"], mix.VOCABULARY, sample=50), ["common", "rare"], sample=50)
+    assert abs(mix.soft(mix.features("the same words"), weights)[1] - 0.1) < 0.03
